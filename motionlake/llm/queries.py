@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .bpe_count import token_counts
 from .common import table
 from .exact_dedup import exact_dedup
+from .secrets import secret_report
 
 TOKEN_LIMIT = 4096
 
@@ -18,6 +19,10 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -28,6 +33,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_secret_scan": op6_secret_scan,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_token_counts": op9_token_counts,
 }
