@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .bpe_count import token_counts
 from .common import table
 from .exact_dedup import exact_dedup
+from .mixing import mix
 from .secrets import secret_report
 
 TOKEN_LIMIT = 4096
@@ -19,6 +20,28 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+#: The production mix: half of all tokens, at most two epochs of a leaf.
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.5, 2, 1
+DOMAIN_WEIGHTS = {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1}
+LANG_WEIGHTS = {"en": 6, "fr": 2, "de": 2, "es": 1}
+
+
+def _weights(spark: SparkSession, key: str, weights: dict[str, int]) -> DataFrame:
+    rows = ", ".join(f"('{k}', {w})" for k, w in weights.items())
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({key}, weight)")
+
+
+def mixed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    number = F.expr("try_cast(regexp_extract(source, '([0-9]+)$', 1) AS bigint)")
+    domain = F.concat(F.lit("domain"), F.coalesce(number % 4, F.lit(0)).cast("string"))
+    weights = {"domain": _weights(spark, "domain", DOMAIN_WEIGHTS), "lang": _weights(spark, "lang", LANG_WEIGHTS)}
+    return mix(docs, domain, MIX_SHARE, MIX_EPOCHS, MIX_SEED, weights)
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(spark, table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
@@ -33,12 +56,64 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_source_mixing": op2_source_mixing,
     "op6_secret_scan": op6_secret_scan,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_token_counts": op9_token_counts,
 }
 
+
+
+def _fill_sql(name: str, parent: list[str], key: str, nodes: str) -> str:
+    """One level of the budget tree, as in mixing.fill."""
+    over = f"PARTITION BY {', '.join(parent)}" if parent else ""
+    and_full = f"PARTITION BY {', '.join([*parent, 'is_full'])}"
+    order = f"ORDER BY cap / weight, {key} NULLS FIRST"
+    return f"""
+        {name}_a AS (
+            SELECT *, greatest(amount - coalesce(sum(cap) OVER ({over} {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS pot,
+                   sum(weight) OVER ({over} {order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS among
+            FROM ({nodes}) WHERE weight > 0),
+        {name}_b AS (SELECT *, pot::HUGEINT * weight >= cap::HUGEINT * among AS is_full FROM {name}_a),
+        {name} AS (
+            SELECT * EXCLUDE (pot, among),
+                   CASE WHEN is_full THEN cap ELSE (first_value(pot) OVER w)::HUGEINT * weight // first_value(among) OVER w END AS given
+            FROM {name}_b WINDOW w AS ({and_full} {order}))"""
+
+
+def _mix_sql(docs: str) -> str:
+    case = lambda key, ws: f"CASE {key} " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in ws.items()) + " ELSE 1 END"
+    caps = lambda keys: f"SELECT {', '.join(keys)}, sum(tokens)::BIGINT * {MIX_EPOCHS} AS cap FROM leaves GROUP BY ALL"
+    below = lambda keys, up, on: (
+        f"SELECT n.*, u.given AS amount FROM ({caps(keys)}) n JOIN {up} u ON "
+        + " AND ".join(f"n.{c} IS NOT DISTINCT FROM u.{c}" for c in on)
+    )
+    return f"""
+        WITH docs AS ({docs}),
+        rows_ AS (
+            SELECT doc_id, 'domain' || coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) % 4, 0) AS domain, lang, source,
+                   len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+'))::BIGINT AS n_tokens
+            FROM docs),
+        leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM rows_ GROUP BY ALL),
+        {_fill_sql("by_domain", [], "domain", f"SELECT *, {case('domain', DOMAIN_WEIGHTS)} AS weight, (SELECT floor(sum(tokens) * {MIX_SHARE})::BIGINT FROM leaves) AS amount FROM ({caps(['domain'])})")},
+        {_fill_sql("by_lang", ["domain"], "lang", f"SELECT *, {case('lang', LANG_WEIGHTS)} AS weight FROM ({below(['domain', 'lang'], 'by_domain', ['domain'])})")},
+        {_fill_sql("by_source", ["domain", "lang"], "source", f"SELECT *, 1 AS weight FROM ({below(['domain', 'lang', 'source'], 'by_lang', ['domain', 'lang'])})")},
+        plan AS (
+            SELECT domain, lang, source, CASE WHEN cap > 0 THEN given // (cap // {MIX_EPOCHS}) ELSE 0 END AS epochs,
+                   CASE WHEN cap > 0 THEN given % (cap // {MIX_EPOCHS}) ELSE 0 END AS rest
+            FROM by_source),
+        placed AS (
+            SELECT r.*, p.epochs, p.rest, sum(r.n_tokens) OVER (
+                       PARTITION BY r.domain, r.lang, r.source ORDER BY md5('{MIX_SEED}:' || p.epochs || ':' || coalesce(r.doc_id::VARCHAR, '')), r.n_tokens
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+            FROM rows_ r JOIN plan p ON r.domain IS NOT DISTINCT FROM p.domain AND r.lang IS NOT DISTINCT FROM p.lang
+                 AND r.source IS NOT DISTINCT FROM p.source)
+        SELECT doc_id, domain, lang, source, n_tokens, (epochs + (upto <= rest)::INT)::BIGINT AS copies
+        FROM placed WHERE epochs + (upto <= rest)::INT > 0"""
+
+
 ORACLE_SQL = {
+    "op2_source_mixing": _mix_sql("SELECT * FROM documents"),
     "op7_exact_dedup": """
         WITH d AS (
             SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h
