@@ -11,6 +11,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .secrets import secret_report
+from .toxicity import ToxicityModel, drop_toxic, learn_from, score_texts
 
 TOKEN_LIMIT = 4096
 
@@ -59,6 +60,34 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(format_turns(told.unionByName(extra), path), path)
 
 
+LEAST_SCORE = 0.7
+
+
+def scored(docs: DataFrame, model, held_out) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    at = score_texts(docs, model)
+    return at.select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= LEAST_SCORE).cast("int").alias("predicted")
+    )
+
+
+def remainder(n: int):
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> ToxicityModel:
+    """Learned from the labelled rows outside the held-out third."""
+    return learn_from(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", remainder(3) != 1)
+
+
+def not_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    return drop_toxic(docs, model, LEAST_SCORE)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir), remainder(3) == 1)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
@@ -75,6 +104,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_source_mixing": op2_source_mixing,
     "op3_chat_format": op3_chat_format,
+    "op5_toxicity": op5_toxicity,
     "op6_secret_scan": op6_secret_scan,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_token_counts": op9_token_counts,
