@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality
 from .bpe_count import token_counts
 from .chat import conversation_digests, format_turns
 from .common import table
@@ -63,10 +64,9 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 LEAST_SCORE = 0.7
 
 
-def scored(docs: DataFrame, model, held_out) -> DataFrame:
+def predicted(scores: DataFrame, held_out) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    at = score_texts(docs, model)
-    return at.select(
+    return scores.select(
         "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= LEAST_SCORE).cast("int").alias("predicted")
     )
 
@@ -84,8 +84,14 @@ def not_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     return drop_toxic(docs, model, LEAST_SCORE)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.learn_from(docs, table(spark, sf_dir, "labels"), "quality", remainder(4) != 2)
+    return predicted(quality.score_texts(docs, model), remainder(4) == 2)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir), remainder(3) == 1)
+    return predicted(score_texts(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir)), remainder(3) == 1)
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +110,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_source_mixing": op2_source_mixing,
     "op3_chat_format": op3_chat_format,
+    "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
     "op6_secret_scan": op6_secret_scan,
     "op7_exact_dedup": op7_exact_dedup,
