@@ -9,6 +9,7 @@ from . import quality
 from .bpe_count import token_counts
 from .chat import conversation_digests, format_turns
 from .common import table
+from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .secrets import secret_report
@@ -107,6 +108,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op2_source_mixing": op2_source_mixing,
     "op3_chat_format": op3_chat_format,
@@ -115,6 +120,7 @@ QUERIES = {
     "op6_secret_scan": op6_secret_scan,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_token_counts": op9_token_counts,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 
