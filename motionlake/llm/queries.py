@@ -11,6 +11,7 @@ from .chat import conversation_digests, format_turns
 from .common import table
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_components
 from .mixing import mix
 from .secrets import secret_report
 from .toxicity import ToxicityModel, drop_toxic, learn_from, score_texts
@@ -48,6 +49,11 @@ def mixed(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return mix(docs, domain, MIX_SHARE, MIX_EPOCHS, MIX_SEED, weights)
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(spark, table(spark, sf_dir, "documents"))
 
@@ -113,6 +119,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_source_mixing": op2_source_mixing,
     "op3_chat_format": op3_chat_format,
     "op4_quality": op4_quality,
