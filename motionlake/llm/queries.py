@@ -11,6 +11,7 @@ from .chat import conversation_digests, format_turns
 from .common import table
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
+from .html_text import main_texts
 from .jaccard_join import jaccard_components
 from .mixing import mix
 from .secrets import secret_report
@@ -109,6 +110,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts(table(spark, sf_dir, "documents"), piece_model())
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -126,6 +131,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_secret_scan": op6_secret_scan,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_html_text": op8_html_text,
     "op9_token_counts": op9_token_counts,
     "op10_decontaminate": op10_decontaminate,
 }
