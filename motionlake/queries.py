@@ -343,7 +343,7 @@ def q_corpus_success(spark, sf_dir):
 def q_task_state(spark, sf_dir):
     kind = F.when(c("event_type") == "purchase", "succeed").when(c("event_type") == "error", "fail").otherwise("progress")
     log = read_table(spark, sf_dir, "events").select(
-        c("user_id").alias("task_id"), (F.unix_micros("ts") / 1e6).alias("at"), c("event_id").alias("seq"), kind.alias("kind"),
+        c("user_id").alias("task_id"), (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)") / 1e6).alias("at"), c("event_id").alias("seq"), kind.alias("kind"),
         (c("value") / 1000).alias("progress"), F.lit(0).alias("step"),
     )
     return task_states(log).select("task_id", "status", F.round("progress", 6).alias("progress"))
