@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -12,7 +12,9 @@ from ..functions.text import judge5, sanitised
 from . import segment as S
 
 c = F.col
-TASK = Window.partitionBy("task_id")
+def task() -> WindowSpec:
+    return Window.partitionBy("task_id")
+
 
 
 def world(k: int, row: str = "") -> Column:
@@ -100,7 +102,7 @@ def implementations() -> dict[str, Column]:
     arm = lambda *k: G.angle_3p(*(world(x) for x in k))
     left, right = arm(C.L_HIP, C.L_KNEE, C.L_ANKLE), arm(C.R_HIP, C.R_KNEE, C.R_ANKLE)
     shoulder, hip = turn(C.L_SHOULDER, C.R_SHOULDER), turn(C.L_HIP, C.R_HIP)
-    at_phase = lambda p, v: F.max(F.when(c("phase") == p, v)).over(TASK)
+    at_phase = lambda p, v: F.max(F.when(c("phase") == p, v)).over(task())
     xf = shoulder - hip
     xf_top, xf_down = at_phase("top", xf), at_phase("downswing", xf)
     rise = at_phase("address", forward_tilt()) - at_phase("impact", forward_tilt())
@@ -132,7 +134,7 @@ def stage_metrics(frames: DataFrame, swings: DataFrame, videos: DataFrame, specs
     events = S.events(swings).select("task_id", "phase", "phase_no", c("array_index").alias("i"), "estimated")
     rows = events.join(frames.select("task_id", "i", "norm", "world", "vis"), ["task_id", "i"]).join(facts, "task_id")
     base = F.first(F.when(c("phase") == "address", F.struct("world", "norm")), True)
-    rows = rows.withColumn("a", base.over(TASK.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    rows = rows.withColumn("a", base.over(task().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     measured = implementations()
     wide = rows.select("task_id", "phase", "phase_no", "view", F.struct(*[v.alias(k) for k, v in measured.items()]).alias("m"))
     whole = wide.where("phase = 'address'").withColumns({"phase": F.lit("global"), "phase_no": F.lit(9)})
