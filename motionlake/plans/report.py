@@ -17,7 +17,7 @@ c = F.col
 
 
 class Analysis:
-    """The tables of one analysis. Swings are written once, as four other tables read them; the rest is lazy."""
+    """The tables of one analysis. Swings and metrics are written once, as several others read them; the rest is lazy."""
 
     def __init__(self, frames: DataFrame, videos: DataFrame):
         spark = frames.sparkSession
@@ -25,16 +25,25 @@ class Analysis:
         self.swings = scratch(segmented(frames, videos))
         self.events = events(self.swings)
         self.facts = task_facts(frames, self.swings, videos)
-        self.metrics = stage_metrics(frames, self.swings, videos, metric_specs(spark))
-        self.risks = risk.risks(self.metrics, risk_rules(spark))
+        self._metrics = None
         self.errors = self.swings.where("code is not null").select("task_id", "code")
         self.phases = phase_dim(spark)
 
+    @property
+    def metrics(self) -> DataFrame:
+        if self._metrics is None:
+            self._metrics = scratch(stage_metrics(self.frames, self.swings, self.videos, metric_specs(self.frames.sparkSession)))
+        return self._metrics
+
+    @property
+    def risks(self) -> DataFrame:
+        return risk.risks(self.metrics, risk_rules(self.frames.sparkSession))
+
     def report(self, base_url: str = "") -> DataFrame:
         """task_id, report (JSON): phases by number, each with its metrics and risks; the global values."""
         fields = ["spec_no", "metric_key", "value", "unit", "ref_min", "ref_max", "status", "filled"]
         lists = self.metrics.groupBy("task_id", "view", "phase_no").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("metrics"))
-        found = risk.per_phase(self.risks, self.facts, self.phases).select("task_id", "phase_no", "risks")
+        found = risk.per_phase(self.risks, self.events.select("task_id").distinct(), self.phases).select("task_id", "phase_no", "risks")
         rows = self.events.join(lists, ["task_id", "phase_no"], "left").join(found, ["task_id", "phase_no"], "left")
         url = F.concat(F.lit(base_url), F.lit("/"), c("task_id").cast("string"), F.lit("/"), image_name(c("phase_no"), c("phase")))
         phase = F.struct("phase_no", "phase", "frame_index", "timestamp", "estimated", url.alias("image"), "metrics", "risks")
