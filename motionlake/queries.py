@@ -335,11 +335,11 @@ def q_corpus_success(spark, sf_dir):
     )
 
 
-@query("""WITH l AS (SELECT user_id AS task_id, epoch(ts) AS at, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'succeed' WHEN 'error' THEN 'fail' ELSE 'progress' END AS kind,
+@query("""WITH l AS (SELECT user_id AS task_id, epoch(ts) AS sec, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'succeed' WHEN 'error' THEN 'fail' ELSE 'progress' END AS kind,
         value / 1000 AS progress FROM events),
-    a AS (SELECT *, coalesce(max((kind IN ('succeed', 'fail'))::INT) OVER (PARTITION BY task_id ORDER BY at, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM l)
-    SELECT task_id, CASE arg_max(kind, (at, seq)) WHEN 'succeed' THEN 'success' WHEN 'fail' THEN 'failed' ELSE 'processing' END AS status,
-        round(CASE arg_max(kind, (at, seq)) WHEN 'succeed' THEN 1 ELSE max(progress) END, 6) AS progress FROM a WHERE ended = 0 GROUP BY task_id""")
+    a AS (SELECT *, coalesce(max((kind IN ('succeed', 'fail'))::INT) OVER (PARTITION BY task_id ORDER BY sec, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM l)
+    SELECT task_id, CASE arg_max(kind, (sec, seq)) WHEN 'succeed' THEN 'success' WHEN 'fail' THEN 'failed' ELSE 'processing' END AS status,
+        round(CASE arg_max(kind, (sec, seq)) WHEN 'succeed' THEN 1 ELSE max(progress) END, 6) AS progress FROM a WHERE ended = 0 GROUP BY task_id""")
 def q_task_state(spark, sf_dir):
     kind = F.when(c("event_type") == "purchase", "succeed").when(c("event_type") == "error", "fail").otherwise("progress")
     log = read_table(spark, sf_dir, "events").select(
