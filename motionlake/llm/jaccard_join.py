@@ -10,16 +10,17 @@ within all shingles or within any part of them. The join uses both:
    of its first n - ceil(t * n) + 1 shingles: it is replicated into the regions of
    these (its window). Every linked pair meets in the region of its first common
    shingle.
-3. In each region one class is the pivot. Links to pivots give the first
-   components; a region whose classes are all in one component is done, so a
-   group of any number of near copies costs one distance each.
-4. What is left is joined recursively. Small regions compare the classes of
-   different components. Larger ones get several pivots; a class goes to the Voronoi
-   cell of its nearest pivot if that is within ``RADIUS``, else to the outer cell, and
-   into each other cell j whose pivot is within min(nearest + 2e, RADIUS + e), where
-   e = 1 - t. A linked pair meets in a cell: with x in cell i and y in cell j,
-   d(x, pj) <= d(y, pj) + e <= d(y, pi) + e <= d(x, pi) + 2e. A cell that does not
-   shrink is compared as a small region is.
+3. In a small region every pair is a candidate. Of the candidates of a class the one
+   with the least class is compared first; most of the others then lie in one
+   component and need no comparison. In a larger region one class is the pivot, so a
+   group of any number of near copies costs one distance each, and a region whose
+   classes are all in one component is done.
+4. What is left of the larger regions is joined recursively. They get several pivots; a
+   class goes to the Voronoi cell of its nearest pivot if that is within ``RADIUS``, else
+   to the outer cell, and into each other cell j whose pivot is within
+   min(nearest + 2e, RADIUS + e), where e = 1 - t. A linked pair meets in a cell: with x
+   in cell i and y in cell j, d(x, pj) <= d(y, pj) + e <= d(y, pi) + e <= d(x, pi) + 2e. A
+   cell that does not shrink is compared as a small region is.
 
 Before two sets are compared, their distances to the empty set in ``PARTS`` parts of
 the shingle space give a lower bound on their symmetric difference; only pairs
@@ -165,7 +166,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
 def sets_of(docs: DataFrame, text_col: str, size: int, wanted: DataFrame) -> DataFrame:
     """node, set of the rows of wanted (node, text_key)."""
     text = docs.select(docs[text_col].cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
-    met = text.join(wanted, "text_key").select("node", "text")
+    met = text.join(wanted, "text_key").dropDuplicates(["text_key"]).select("node", "text")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -173,7 +174,7 @@ def sets_of(docs: DataFrame, text_col: str, size: int, wanted: DataFrame) -> Dat
             sets = [shingles(word_hashes(t.as_py(), known), size)[0].view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
 
-    return met.mapInArrow(made, "node bigint, set array<bigint>").dropDuplicates(["node"])
+    return met.mapInArrow(made, "node bigint, set array<bigint>")
 
 
 def _linked(inter: Column, na: Column, nb: Column, percent: int) -> Column:
@@ -189,8 +190,11 @@ class Join:
         entries = classes.where("n > 0").select("node", "n", F.posexplode("anchors").alias("pos", "region"))
         stats = entries.groupBy("region").agg(F.count("*").alias("c"), F.min(F.struct("n", "node")).alias("pivot")).where("c > 1")
         self.regions = cut(entries.join(stats, "region"))
-        wanted = self.regions.select("node").distinct().join(classes.select("node", "text_key"), "node")
-        self.sets = cut(sets_of(docs, text_col, size, wanted))
+        near = self.near(self.across(self.regions.where(F.col("c") <= SMALL).withColumn("comp", F.col("node"))))
+        self.pairs = cut(near.select("a", "b"))
+        self.large = self.regions.where(F.col("c") > SMALL)
+        nodes = self.pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(self.large.select("node")).distinct()
+        self.sets = cut(sets_of(docs, text_col, size, nodes.join(classes.select("node", "text_key"), "node")))
         self.links = None
         self.comps = None
 
@@ -228,24 +232,37 @@ class Join:
         met = met.where(_linked(rest, F.col("a.n"), F.col("b.n"), self.percent))
         return met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
 
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """Of the pairs a, b those in different components."""
+        comp = lambda x: self.comps.select(F.col("u").alias(x), F.col("comp").alias(f"c{x}"))
+        met = pairs.join(comp("a"), "a", "left").join(comp("b"), "b", "left")
+        return met.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+    def compare(self, pairs: DataFrame) -> None:
+        self.add(self.measure(self.near(pairs)))
+
     def run(self) -> DataFrame:
-        """node, comp of the classes that have links."""
-        first = self.regions.where("node <> pivot.node").select(F.col("pivot.node").alias("a"), F.col("node").alias("b"))
-        self.add(self.measure(self.near(first.distinct())))
-        regions, level = self.regions.select("region", "node", "n", "pos"), 0
+        """u, comp of the classes that have links."""
+        first = self.pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        star = self.large.where("node <> pivot.node").select(F.col("pivot.node").alias("a"), F.col("node").alias("b"))
+        self.compare(first.unionByName(star).distinct())
+        self.compare(self.apart(self.pairs))
+        regions, level = self.large.select("region", "node", "n", "pos"), 0
         while True:
-            rows = cut(self.live(regions).withColumn("flat", F.col("c") <= SMALL))
-            many = rows.where(~F.col("flat"))
-            done = self.across(rows.where("flat"))
+            rows = cut(self.live(regions))
+            if rows.isEmpty():
+                return self.comps
+            todo = self.across(rows.where(F.col("c") <= SMALL))
+            many = rows.where(F.col("c") > SMALL)
             if many.isEmpty():
-                self.add(self.measure(self.near(done)))
+                self.compare(todo)
                 return self.comps
             cells = self.cells(many, level)
             shrunk = cells.groupBy("region").agg(F.count("*").alias("now"), F.max("c").alias("was"))
             cells = cut(cells.drop("c").join(shrunk, "region"))
             stuck = cells.where("now > 0.9 * was").join(self.comps.withColumnRenamed("u", "node"), "node", "left")
             stuck = self.across(stuck.withColumn("comp", F.coalesce("comp", "node")))
-            self.add(self.measure(self.near(done.unionByName(stuck).distinct())))
+            self.compare(todo.unionByName(stuck).distinct())
             regions, level = cells.where("now <= 0.9 * was").select("region", "node", "n", "pos"), level + 1
 
     def cells(self, rows: DataFrame, level: int) -> DataFrame:
