@@ -15,7 +15,10 @@ on content paths, block by block.
 
 Wrappers are inferred inside each task first and merged per host after that (a
 merge is an alignment of two wrappers), so a host with most of the pages sends one
-small row per task. All pages are aligned. Pages then meet their wrapper by host.
+small row per task. All pages are aligned. Pages then meet their wrapper: where all
+wrappers together are below ``BROADCAST_CHARS`` these go to the pages, which stay where
+they are; beyond that the pages are dealt out by host and one of ``SALTS`` salts, with a
+copy of each wrapper per salt.
 
 Defined cases: null html counts as empty and gives an empty text; a null or odd
 url has the host ''; a page without markup is all text of its body; broken markup
@@ -36,6 +39,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
+BROADCAST_CHARS = 32_000_000
+SALTS = 64
+
 # HTML elements by how they are read.
 RAW = frozenset("script style noscript template iframe object svg math textarea title".split())
 BLOCKS = frozenset(
@@ -328,12 +336,18 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text, n_chars of every page."""
-    found = wrappers(pages, url_col, html_col)
+    found = cut(wrappers(pages, url_col, html_col))
     rows = pages.select(
         pages[id_col].alias("id"), pages[url_col].alias("url"), pages[html_col].cast("string").alias("html"),
         host_of(pages[url_col].cast("string")).alias("host"),
     )
-    met = rows.join(found, "host").select("id", "url", "html", "wrapper")
+    if (found.agg(F.sum(F.length("wrapper"))).first()[0] or 0) <= BROADCAST_CHARS:
+        met = rows.join(F.broadcast(found), "host")
+    else:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        dealt = rows.withColumn("salt", F.pmod(F.xxhash64("html", "url"), F.lit(SALTS)).cast("int"))
+        met = dealt.join(found.withColumn("salt", salts), ["host", "salt"])
+    met = met.select("id", "url", "html", "wrapper")
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
