@@ -4,12 +4,17 @@ Jaccard distance is a metric, and so is the size of the symmetric difference,
 within all shingles or within any part of them. The join uses both:
 
 1. Rows with equal shingle sets form one class; only classes are joined.
-2. Pivots of the first level are single shingles in one global order, rarest
-   first. A class lies in the region of its first shingle and, by the triangle
-   inequality through the empty set, can only be linked to a class that shares one
-   of its first n - ceil(t * n) + 1 shingles: it is replicated into the regions of
-   these (its window). Every linked pair meets in the region of its first common
-   shingle.
+2. The pivot of the first level is the empty set. The distance to it is a set's size n;
+   it is cut into rings, and by the triangle inequality a class of size n can only be
+   linked to classes of n * t to n / t shingles. A class lies in its own ring and is
+   replicated into those below that its window meets; a linked pair meets in the ring of
+   its smaller set. In a ring the symmetric difference of a linked pair is at most some k,
+   so in k + 1 parts of the shingle space one has distance zero: a region of a ring holds
+   the classes with one content of one part. (An empty part says nothing; its place take
+   the parts of a second division.)
+   Where t is so low that parts would hold less than ``FULL`` shingles, pivots are single
+   shingles in one global order, rarest first: a linked pair shares one of the first
+   n - ceil(t * n) + 1 of either set, and meets in the region of its first common shingle.
 3. In a small region every pair is a candidate. Of the candidates of a class the one
    with the least class is compared first; most of the others then lie in one
    component and need no comparison. In a larger region one class is the pivot, so a
@@ -26,7 +31,7 @@ Before two sets are compared, their distances to the empty set in ``PARTS`` part
 the shingle space give a lower bound on their symmetric difference; only pairs
 within the bound have their sets fetched. Shingles are 64-bit hashes.
 
-The order of shingles needs the counts of words: of all words of all rows, in a
+Only the order of shingles needs the counts of words: of all words of all rows, in a
 table of fixed size (2 ** TABLE_BITS sums), which is what the driver collects.
 
 Defined cases: null and empty texts and texts without words have an empty set and
@@ -39,6 +44,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +63,9 @@ PARTS = 64
 SMALL = 48
 PIVOTS = 8
 RADIUS = 0.5
+FULL = 5
+WIDTH = 3
+DIVIDED = 512
 REMEMBERED = 1_000_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -100,6 +109,60 @@ def window(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+class Rings:
+    """Rings of set sizes and, for each, the parts of which a linked pair shares one.
+
+    A ring is as wide as ``WIDTH`` windows, so a class lies in two at most.
+    """
+
+    def __init__(self, percent: int):
+        self.percent, self.bounds = percent, []
+        if percent < 100:
+            low = next(n for n in count(1) if 100 * n // percent > n)  # the least set with a link to another size
+            while low < 1 << 31:
+                self.bounds.append(low)
+                low = max(low + 1, -(-low * 100**WIDTH // percent**WIDTH))
+            self.bounds.append(low)
+
+    def of(self, n: int) -> range:
+        """The rings that hold a set of n shingles."""
+        own = int(np.searchsorted(self.bounds, n, "right")) - 1
+        least = int(np.searchsorted(self.bounds, -(-n * self.percent // 100), "right")) - 1
+        return range(max(least, 0), own + 1)
+
+    def parts(self, ring: int) -> int:
+        most = self.bounds[ring + 1] - 1
+        return (most + 100 * most // self.percent) * (100 - self.percent) // (100 + self.percent) + 1
+
+    def full(self) -> bool:
+        """Whether a part of a long set holds FULL shingles."""
+        return not self.bounds or self.bounds[-2] >= FULL * self.parts(len(self.bounds) - 2)
+
+
+def contents(s: np.ndarray, parts: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each part of the shingle space a hash of its content in the ascending set s, and which are empty."""
+    with np.errstate(over="ignore"):
+        edges = np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 64) // parts)
+        at = np.concatenate([[0], np.searchsorted(s, edges), [len(s)]])
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(s + _B), dtype=np.uint64)])
+        name = mixed(np.arange(parts, dtype=np.uint64) + np.uint64(seed) * _A)
+        return mixed((sums[at[1:]] - sums[at[:-1]]) ^ name), np.flatnonzero(at[1:] == at[:-1])
+
+
+def ring_regions(s: np.ndarray, rings: Rings) -> np.ndarray:
+    """The regions of the ascending set s in all its rings."""
+    out = [np.zeros(0, np.uint64)]
+    for ring in rings.of(len(s)):
+        parts = rings.parts(ring)
+        keys, empty = contents(s, parts, 2 * ring)
+        if len(empty) and parts <= DIVIDED:
+            again, _ = contents(np.sort(mixed(s ^ _C)), parts, 2 * ring + 1)
+            out += [mixed(again + keys[e]) for e in empty]
+            keys = np.delete(keys, empty)
+        out.append(keys)
+    return np.unique(np.concatenate(out))
+
+
 def word_counts(docs: DataFrame, text_col: str) -> np.ndarray:
     """A rarity class for each place of a table of word hashes; low is rare."""
     top = np.uint64(64 - TABLE_BITS)
@@ -123,8 +186,12 @@ def word_counts(docs: DataFrame, text_col: str) -> np.ndarray:
     return np.minimum(255, 4 * np.log2(table + 1)).astype(np.uint8)
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, rarity: np.ndarray) -> DataFrame:
-    """id, text_key, n, d1, d2 (together the set's digest), anchors, parts: one row per row of docs."""
+def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, rarity: np.ndarray | None) -> DataFrame:
+    """id, text_key, n, d1, d2 (together the set's digest), anchors (regions), parts: one row per row of docs.
+
+    Regions come from rings, or from the order of shingles where a rarity of words is given.
+    """
+    rings = Rings(percent)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     rows = rows.select(F.struct("id", F.xxhash64("text").alias("text_key")).alias("key"), "text")
     top, part = np.uint64(64 - TABLE_BITS), np.uint64(PARTS)
@@ -140,12 +207,15 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
                 if not n:
                     out.append((0, 0, 0, [], []))
                     continue
-                cls = rarity[words >> top]
-                rare = reduce(np.minimum, (cls[np.minimum(place + k, len(words) - 1)] for k in range(size)))
-                order = (rare.astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
-                first = window(n, percent)
-                at = np.argpartition(order, first - 1)[:first] if first < n else np.arange(n)
-                anchors = s[at[np.lexsort((s[at], order[at]))]]
+                if rarity is None:
+                    anchors = ring_regions(s, rings)
+                else:
+                    cls = rarity[words >> top]
+                    rare = reduce(np.minimum, (cls[np.minimum(place + k, len(words) - 1)] for k in range(size)))
+                    order = (rare.astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
+                    first = window(n, percent)
+                    at = np.argpartition(order, first - 1)[:first] if first < n else np.arange(n)
+                    anchors = s[at[np.lexsort((s[at], order[at]))]]
                 d1, d2 = mixed(s + _A).sum(dtype=np.uint64), np.bitwise_xor.reduce(mixed(s ^ _B))
                 parts = np.bincount((s % part).astype(np.int64), minlength=PARTS)
                 out.append((n, int(d1.view(np.int64)), int(d2.view(np.int64)), anchors.view(np.int64), parts))
@@ -184,18 +254,19 @@ def _linked(inter: Column, na: Column, nb: Column, percent: int) -> Column:
 class Join:
     """State of one join: the classes, their sets and the links found so far."""
 
-    def __init__(self, classes: DataFrame, docs: DataFrame, text_col: str, size: int, percent: int):
+    def __init__(self, classes: DataFrame, docs: DataFrame, text_col: str, size: int, percent: int, ordered: bool):
         self.percent, self.reach = percent, 1 - percent / 100
         self.parts = cut(classes.select("node", "n", "parts"))
         entries = classes.where("n > 0").select("node", "n", F.posexplode("anchors").alias("pos", "region"))
-        stats = entries.groupBy("region").agg(F.count("*").alias("c"), F.min(F.struct("n", "node")).alias("pivot")).where("c > 1")
+        if not ordered:
+            entries = entries.withColumn("pos", F.lit(0))
+        stats = entries.groupBy("region").agg(F.count("*").alias("c")).where("c > 1")
         self.regions = cut(entries.join(stats, "region"))
         near = self.near(self.across(self.regions.where(F.col("c") <= SMALL).withColumn("comp", F.col("node"))))
         self.pairs = cut(near.select("a", "b"))
         self.large = self.regions.where(F.col("c") > SMALL)
         nodes = self.pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(self.large.select("node")).distinct()
         self.sets = cut(sets_of(docs, text_col, size, nodes.join(classes.select("node", "text_key"), "node")))
-        self.links = None
         self.comps = None
 
     def near(self, pairs: DataFrame) -> DataFrame:
@@ -213,9 +284,18 @@ class Join:
         return met.withColumn("inter", F.size(F.array_intersect("sa", "sb"))).drop("sa", "sb")
 
     def add(self, found: DataFrame) -> None:
-        links = cut(found.where(_linked(F.col("inter"), F.col("na"), F.col("nb"), self.percent)).select("a", "b"))
-        self.links = links if self.links is None else self.links.unionByName(links)
-        self.comps = cut(components(self.links, "a", "b"))
+        """Takes the links of found into the components: links between old components are joined, not all links again."""
+        links = found.where(_linked(F.col("inter"), F.col("na"), F.col("nb"), self.percent)).select("a", "b")
+        if self.comps is None:
+            self.comps = cut(components(links, "a", "b"))
+            return
+        links = cut(self.apart(links).select("ca", "cb"))
+        if links.isEmpty():
+            return
+        new = cut(components(links, "ca", "cb").select(F.col("u").alias("old"), F.col("comp").alias("now")))
+        moved = self.comps.join(new, F.col("comp") == F.col("old"), "left").select("u", F.coalesce("now", "comp").alias("comp"))
+        single = new.join(self.comps, F.col("old") == F.col("u"), "left_anti").select(F.col("old").alias("u"), F.col("now").alias("comp"))
+        self.comps = cut(moved.unionByName(single))
 
     def live(self, regions: DataFrame) -> DataFrame:
         """Rows of regions that still hold several components, with c rows each; adds comp."""
@@ -233,10 +313,11 @@ class Join:
         return met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
 
     def apart(self, pairs: DataFrame) -> DataFrame:
-        """Of the pairs a, b those in different components."""
+        """Of the pairs a, b those in different components ca, cb."""
         comp = lambda x: self.comps.select(F.col("u").alias(x), F.col("comp").alias(f"c{x}"))
         met = pairs.join(comp("a"), "a", "left").join(comp("b"), "b", "left")
-        return met.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+        met = met.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+        return met.where("ca <> cb")
 
     def compare(self, pairs: DataFrame) -> None:
         self.add(self.measure(self.near(pairs)))
@@ -244,9 +325,10 @@ class Join:
     def run(self) -> DataFrame:
         """u, comp of the classes that have links."""
         first = self.pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        star = self.large.where("node <> pivot.node").select(F.col("pivot.node").alias("a"), F.col("node").alias("b"))
+        pivots = self.large.groupBy("region").agg(F.min(F.struct("n", "node")).alias("pivot"))
+        star = self.large.join(pivots, "region").where("node <> pivot.node").select(F.col("pivot.node").alias("a"), F.col("node").alias("b"))
         self.compare(first.unionByName(star).distinct())
-        self.compare(self.apart(self.pairs))
+        self.compare(self.apart(self.pairs).select("a", "b"))
         regions, level = self.large.select("region", "node", "n", "pos"), 0
         while True:
             rows = cut(self.live(regions))
@@ -291,12 +373,12 @@ class Join:
 
 def _placed(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """id, text_key, rid, n, node (class) and comp of every row of docs."""
-    rarity = word_counts(docs, text_col)
+    rarity = None if Rings(percent).full() else word_counts(docs, text_col)
     rows = cut(sketches(docs, id_col, text_col, size, percent, rarity).withColumn("rid", F.monotonically_increasing_id()))
     key = ["n", "d1", "d2"]
     firsts = [F.first(c).alias(c) for c in ("text_key", "anchors", "parts")]
     classes = cut(rows.where("n > 0").groupBy(*key).agg(F.min("rid").alias("node"), *firsts))
-    comps = Join(classes, docs, text_col, size, percent).run().withColumnRenamed("u", "node")
+    comps = Join(classes, docs, text_col, size, percent, rarity is not None).run().withColumnRenamed("u", "node")
     classed = rows.select("id", "text_key", "rid", *key).join(classes.select(*key, "node"), key, "left")
     classed = classed.withColumn("node", F.coalesce("node", "rid"))
     placed = classed.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))

@@ -69,7 +69,7 @@ def brute_components(texts, size, percent):
     return sets, comp
 
 
-@pytest.mark.parametrize("small,percent,size", [(48, 90, 3), (2, 60, 2)])
+@pytest.mark.parametrize("small,percent,size", [(48, 90, 3), (2, 90, 3), (48, 80, 5), (2, 60, 2)])
 def test_jaccard_components(spark, monkeypatch, small, percent, size):
     monkeypatch.setattr(jaccard_join, "SMALL", small)
     rng = random.Random(small)
@@ -90,6 +90,22 @@ def test_jaccard_components(spark, monkeypatch, small, percent, size):
     assert stay == set(comp)
 
 
+@pytest.mark.parametrize("percent", [90, 95])
+def test_linked_sets_share_a_region(percent):
+    rings, rng, met = jaccard_join.Rings(percent), np.random.default_rng(percent), 0
+    made = lambda n: jaccard_join.mixed(rng.integers(0, 2**63, n, dtype=np.uint64))
+    for _ in range(3000):
+        n = int(rng.integers(1, 150))
+        most = n * (100 - percent) // 100 + 2
+        a = np.unique(made(n))
+        b = np.unique(np.concatenate([rng.permutation(a)[rng.integers(0, most) :], made(rng.integers(0, most))]))
+        inter, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+        if inter and 100 * inter >= percent * union and not np.array_equal(a, b):
+            met += 1
+            assert len(np.intersect1d(jaccard_join.ring_regions(a, rings), jaccard_join.ring_regions(b, rings)))
+    assert met > 500
+
+
 def test_jaccard_odd_tables(odd, none):
     got = jaccard_join.jaccard_components(odd).collect()
     assert len(got) == len(ROWS) and {r.component_id for r in got if r.doc_id in (1, 2)} == {1}
