@@ -15,17 +15,15 @@ within all shingles or within any part of them. The join uses both:
    Where t is so low that parts would hold less than ``FULL`` shingles, pivots are single
    shingles in one global order, rarest first: a linked pair shares one of the first
    n - ceil(t * n) + 1 of either set, and meets in the region of its first common shingle.
-3. In a small region every pair is a candidate. Of the candidates of a class the one
-   with the least class is compared first; most of the others then lie in one
-   component and need no comparison. In a larger region one class is the pivot, so a
-   group of any number of near copies costs one distance each, and a region whose
-   classes are all in one component is done.
+3. In each region one class is the pivot, so a group of any number of near copies costs
+   one distance each, and a region whose classes are all in one component is done. Of
+   what is left, small regions are compared: pairs of different components.
 4. What is left of the larger regions is joined recursively. They get several pivots; a
    class goes to the Voronoi cell of its nearest pivot if that is within ``RADIUS``, else
    to the outer cell, and into each other cell j whose pivot is within
    min(nearest + 2e, RADIUS + e), where e = 1 - t. A linked pair meets in a cell: with x
    in cell i and y in cell j, d(x, pj) <= d(y, pj) + e <= d(y, pi) + e <= d(x, pi) + 2e. A
-   cell that does not shrink is compared as a small region is.
+   region that its cells do not split is compared as a small region is.
 
 Before two sets are compared, their distances to the empty set in ``PARTS`` parts of
 the shingle space give a lower bound on their symmetric difference; only pairs
@@ -66,6 +64,7 @@ RADIUS = 0.5
 FULL = 5
 WIDTH = 3
 DIVIDED = 512
+FEW = 100_000
 REMEMBERED = 1_000_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -255,30 +254,39 @@ class Join:
     """State of one join: the classes, their sets and the links found so far."""
 
     def __init__(self, classes: DataFrame, docs: DataFrame, text_col: str, size: int, percent: int, ordered: bool):
-        self.percent, self.reach = percent, 1 - percent / 100
+        self.percent, self.reach, self.size = percent, 1 - percent / 100, size
+        self.docs, self.text_col = docs, text_col
+        self.classes = classes.select("node", "text_key")
         self.parts = cut(classes.select("node", "n", "parts"))
         entries = classes.where("n > 0").select("node", "n", F.posexplode("anchors").alias("pos", "region"))
         if not ordered:
             entries = entries.withColumn("pos", F.lit(0))
         stats = entries.groupBy("region").agg(F.count("*").alias("c")).where("c > 1")
         self.regions = cut(entries.join(stats, "region"))
-        near = self.near(self.across(self.regions.where(F.col("c") <= SMALL).withColumn("comp", F.col("node"))))
-        self.pairs = cut(near.select("a", "b"))
-        self.large = self.regions.where(F.col("c") > SMALL)
-        nodes = self.pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(self.large.select("node")).distinct()
-        self.sets = cut(sets_of(docs, text_col, size, nodes.join(classes.select("node", "text_key"), "node")))
+        self.sets = None
         self.comps = None
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """Of the pairs a, b those within the bound by parts; adds na, nb."""
         side = lambda x: self.parts.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("parts").alias(f"p{x}"))
         met = pairs.join(side("a"), "a").join(side("b"), "b")
-        apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-        most = (F.col("na") + F.col("nb") - apart) / 2  # of the shared shingles
-        return met.where(_linked(most, F.col("na"), F.col("nb"), self.percent)).drop("pa", "pb")
+        return met.where(self.within("pa", "pb", "na", "nb")).drop("pa", "pb")
+
+    def within(self, pa: str, pb: str, na: str, nb: str) -> Column:
+        apart = F.aggregate(F.zip_with(pa, pb, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+        return _linked((F.col(na) + F.col(nb) - apart) / 2, F.col(na), F.col(nb), self.percent)
 
     def measure(self, pairs: DataFrame) -> DataFrame:
-        """a, b, na, nb and inter, the number of shared shingles."""
+        """a, b, na, nb and inter, the number of shared shingles. Fetches the sets that are not there yet."""
+        pairs = cut(pairs)
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        if self.sets is not None:
+            nodes = nodes.join(self.sets.select("node"), "node", "left_anti")
+        wanted = cut(nodes.join(self.classes, "node"))
+        n = wanted.count()
+        if n or self.sets is None:
+            new = cut(sets_of(self.docs, self.text_col, self.size, F.broadcast(wanted) if n <= FEW else wanted))
+            self.sets = new if self.sets is None else self.sets.unionByName(new)
         side = lambda x: self.sets.select(F.col("node").alias(x), F.col("set").alias(f"s{x}"))
         met = pairs.join(side("b"), "b").join(side("a"), "a")
         return met.withColumn("inter", F.size(F.array_intersect("sa", "sb"))).drop("sa", "sb")
@@ -305,12 +313,13 @@ class Join:
         return own.join(stats.where("lo <> hi").drop("lo", "hi"), "region")
 
     def across(self, rows: DataFrame) -> DataFrame:
-        """Pairs of different components that meet in a region and could be linked by size and place."""
-        a, b = rows.alias("a"), rows.alias("b")
-        met = a.join(b, (F.col("a.region") == F.col("b.region")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.comp") != F.col("b.comp")))
-        rest = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
-        met = met.where(_linked(rest, F.col("a.n"), F.col("b.n"), self.percent))
-        return met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+        """Pairs a, b (na, nb) of different components that meet in a region and are within the bounds by size, place and parts."""
+        rows = rows.select("region", "node", "comp", "n", "pos").join(self.parts.select("node", "parts"), "node")
+        a, b = (rows.select("region", *(F.col(c).alias(f"{c}_{x}") for c in rows.columns if c != "region")) for x in "ab")
+        met = a.join(b, "region").where("node_a < node_b and comp_a <> comp_b")
+        rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+        met = met.where(_linked(rest, F.col("n_a"), F.col("n_b"), self.percent)).where(self.within("parts_a", "parts_b", "n_a", "n_b"))
+        return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb")).distinct()
 
     def apart(self, pairs: DataFrame) -> DataFrame:
         """Of the pairs a, b those in different components ca, cb."""
@@ -319,17 +328,12 @@ class Join:
         met = met.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
         return met.where("ca <> cb")
 
-    def compare(self, pairs: DataFrame) -> None:
-        self.add(self.measure(self.near(pairs)))
-
     def run(self) -> DataFrame:
         """u, comp of the classes that have links."""
-        first = self.pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        pivots = self.large.groupBy("region").agg(F.min(F.struct("n", "node")).alias("pivot"))
-        star = self.large.join(pivots, "region").where("node <> pivot.node").select(F.col("pivot.node").alias("a"), F.col("node").alias("b"))
-        self.compare(first.unionByName(star).distinct())
-        self.compare(self.apart(self.pairs).select("a", "b"))
-        regions, level = self.large.select("region", "node", "n", "pos"), 0
+        pivots = self.regions.groupBy("region").agg(F.min(F.struct("n", "node")).alias("pivot"))
+        star = self.regions.join(pivots, "region").where("node <> pivot.node").select(F.col("pivot.node").alias("a"), F.col("node").alias("b"))
+        self.add(self.measure(self.near(star.distinct())))
+        regions, level = self.regions.select("region", "node", "n", "pos"), 0
         while True:
             rows = cut(self.live(regions))
             if rows.isEmpty():
@@ -337,18 +341,14 @@ class Join:
             todo = self.across(rows.where(F.col("c") <= SMALL))
             many = rows.where(F.col("c") > SMALL)
             if many.isEmpty():
-                self.compare(todo)
+                self.add(self.measure(todo))
                 return self.comps
-            cells = self.cells(many, level)
-            shrunk = cells.groupBy("region").agg(F.count("*").alias("now"), F.max("c").alias("was"))
-            cells = cut(cells.drop("c").join(shrunk, "region"))
-            stuck = cells.where("now > 0.9 * was").join(self.comps.withColumnRenamed("u", "node"), "node", "left")
-            stuck = self.across(stuck.withColumn("comp", F.coalesce("comp", "node")))
-            self.compare(todo.unionByName(stuck).distinct())
-            regions, level = cells.where("now <= 0.9 * was").select("region", "node", "n", "pos"), level + 1
-
-    def cells(self, rows: DataFrame, level: int) -> DataFrame:
-        """Split large regions into the cells of several pivots; adds the links to these."""
+            regions, stuck = self.cells(many, level)
+            self.add(self.measure(todo.unionByName(self.across(stuck)).distinct()))
+            level += 1
+
+    def cells(self, rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+        """Large regions as the cells of several pivots, and the rows of those that cells do not split; adds the links to pivots."""
         nth = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("node", F.lit(level)), "node"))
         pivots = rows.withColumn("j", nth).where(F.col("j") <= PIVOTS).select("region", "j", F.col("node").alias("a"))
         pairs = rows.join(pivots, "region").select("region", "j", "a", F.col("node").alias("b"))
@@ -364,11 +364,13 @@ class Join:
         limit = F.when(inside, F.least(F.col("home.d") + 2 * e, F.lit(RADIUS + e))).otherwise(RADIUS + e)
         others = F.transform(F.filter("all", lambda x: x["d"] <= F.col("limit")), lambda x: x["j"])
         homes = F.array(F.when(inside, F.col("home.j")).otherwise(0))
-        placed = least.withColumn("limit", limit).select(
-            F.col("region").alias("old"), "node", F.explode(F.array_union(homes, others)).alias("j")
-        )
-        met = placed.join(rows.select(F.col("region").alias("old"), "node", "n", "pos", "c"), ["old", "node"])
-        return met.select(F.xxhash64("old", "j", F.lit(level)).alias("region"), "node", "n", "pos", "c")
+        placed = cut(least.withColumn("limit", limit).select("region", "node", F.array_union(homes, others).alias("js")))
+        held = [F.sum(F.array_contains("js", j).cast("int")) for j in range(PIVOTS + 1)]
+        whole = placed.groupBy("region").agg((F.greatest(*held) > 0.9 * F.count("*")).alias("whole"))
+        placed = placed.join(whole, "region").join(rows.select("region", "node", "comp", "n", "pos"), ["region", "node"])
+        met = placed.where("not whole").select(F.col("region").alias("old"), "node", "n", "pos", F.explode("js").alias("j"))
+        split = cut(met.select(F.xxhash64("old", "j", F.lit(level)).alias("region"), "node", "n", "pos"))
+        return split, placed.where("whole")
 
 
 def _placed(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
