@@ -4,7 +4,8 @@ Base spans, leftmost and non-overlapping per kind: ``assign``, ``access`` and
 ``hex``. A pattern's spans come from splitting the text at its matches: the gaps
 and the matches, laid end to end, give every offset in code points.
 
-Linking adds spans of weak kinds. A ``secret`` (40 characters of base64) or an
+Linking adds spans of weak kinds. A ``secret`` (40 characters of base64 without
+padding, also directly after a name and ``=``) or an
 ``endpoint`` (a URL or a host with a port) means nothing alone; one is reported
 only where its scope holds the complementary part: an access identifier within
 ``scope`` code points for a secret, an access identifier or an assignment for an
@@ -28,7 +29,7 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ASSIGN_LEAST = 6
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # of AKIA[A-Z0-9]+ those with 20 characters or more
 HEX = r"[0-9a-f]{24,}"  # of the runs [0-9a-f]+ those with 24 characters or more
-SECRET = r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
+SECRET = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
 ENDPOINT = r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[A-Za-z0-9._~/?&=%+-]*)?|(?<![A-Za-z0-9.-])[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}(?![0-9])"
 
 KINDS = ("assign", "access", "hex", "secret", "endpoint")
