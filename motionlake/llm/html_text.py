@@ -7,11 +7,17 @@ that differ become text slots, parts that one side lacks become optional groups,
 and a group that meets more of its own kind is repeated. The result is a regular
 expression without unions, the wrapper of the host.
 
-A wrapper's texts stand below a path of elements. The paths below the content root
+Each page is matched against its host's wrapper. A text that meets a constant of the
+wrapper, required or optional, is template and goes, wherever it stands; what meets a
+slot or a repeated group (whose texts are slots) varies and may be content. A constant
+counts only with ``WITNESSES`` pages of different content that have it: one page, or
+copies of one, do not tell template from content. Constants have 80 characters at most.
+
+Among what varies, the paths of elements are a hint: those below the content root
 (an article, else a main element, else the body) are content, but for those that
 pass through an element, class, id or role of page furniture: menus, headers,
-footers, sidebars, notices, adverts, forms, comments. A page's text is what stands
-on content paths, block by block.
+footers, sidebars, notices, adverts, forms, comments. A page without a text on its host's content paths is hinted by its own paths. A page's
+text is what is left, block by block.
 
 Wrappers are inferred inside each task first and merged per host after that (a
 merge is an alignment of two wrappers), so a host with most of the pages sends one
@@ -30,6 +36,7 @@ from __future__ import annotations
 import html
 import json
 import re
+import zlib
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -43,6 +50,8 @@ from .common import cut
 
 BROADCAST_CHARS = 32_000_000
 SALTS = 64
+WITNESSES = 3
+CONSTANT_CHARS = 80
 
 # HTML elements by how they are read.
 RAW = frozenset("script style noscript template iframe object svg math textarea title".split())
@@ -147,7 +156,8 @@ def stream(page: str) -> Iterator[tuple[str, tuple[str, ...], str]]:
         stack.pop()
 
 
-# A wrapper is a list of items: ["<", path], [">", path], ["#", path, text or None for a slot], ["?", items], ["+", items].
+# A wrapper is a list of items: ["<", path], [">", path], ["#", path, text or None for a slot, witnesses], ["?", items], ["+", items].
+# Witnesses are the least WITNESSES fingerprints of the contents of pages that have this text.
 
 
 def key(item: list) -> str:
@@ -157,6 +167,18 @@ def key(item: list) -> str:
     return item[0] + item[1]
 
 
+def head(unit: list) -> str:
+    """What a unit is aligned by: its first item, whatever groups that stands in."""
+    item = unit[0]
+    while item[0] in "?+" and item[1]:
+        item = item[1][0]
+    return "" if item[0] in "?+" else key(item)
+
+
+def opcodes(a: list[str], b: list[str]) -> list[tuple]:
+    return [("equal", 0, len(a), 0, len(b))] if a == b else SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+
+
 def groups(items: list) -> list:
     """Top-level elements as units: an element from its start to its end tag is one unit."""
     out, k = [], 0
@@ -178,7 +200,7 @@ def groups(items: list) -> list:
 
 def generalised(items: list) -> list:
     """All texts of a repeated group are slots."""
-    return [[i[0], i[1], None] if i[0] == SLOT else [i[0], generalised(i[1])] if i[0] in "?+" else i for i in items]
+    return [[i[0], i[1], None, []] if i[0] == SLOT else [i[0], generalised(i[1])] if i[0] in "?+" else i for i in items]
 
 
 def fold(items: list) -> list:
@@ -195,7 +217,7 @@ def fold(items: list) -> list:
                 last = out[-1][0][1]
                 continue
             last = body
-        elif unit[0][0] != SLOT or (unit[0][2] or "").strip():
+        else:
             last = None
         out.append(unit)
     return [i for unit in out for i in unit]
@@ -204,10 +226,8 @@ def fold(items: list) -> list:
 def align(a: list, b: list) -> list:
     """The wrapper of what a and b describe."""
     ua, ub = groups(a), groups(b)
-    head = lambda u: key(u[0]) if u[0][0] not in "?+" else key(u[0][1][0]) if u[0][1] else ""
-    ka, kb = [head(u) for u in ua], [head(u) for u in ub]
     out: list = []
-    for op, i1, i2, j1, j2 in SequenceMatcher(None, ka, kb, autojunk=False).get_opcodes():
+    for op, i1, i2, j1, j2 in opcodes([head(u) for u in ua], [head(u) for u in ub]):
         if op == "equal":
             for x, y in zip(ua[i1:i2], ub[j1:j2]):
                 out.extend(merge(x, y))
@@ -230,35 +250,92 @@ def merge(x: list, y: list) -> list:
             inner = [["+", generalised(inner)]]
         return [["?", inner]] if optional else inner
     if kx == SLOT:
-        return [[SLOT, x[0][1], x[0][2] if x[0][2] == y[0][2] else None]]
+        if x[0][2] is None or x[0][2] != y[0][2]:
+            return [[SLOT, x[0][1], None, []]]
+        return [[SLOT, x[0][1], x[0][2], sorted({*x[0][3], *y[0][3]})[:WITNESSES]]]
     if kx == "<" and len(x) > 1 and len(y) > 1:
         return [x[0], *align(x[1:-1], y[1:-1]), x[-1]]
     return x
 
 
+def text_runs(tokens: list[tuple]) -> tuple[list, list[str], list[int | None]]:
+    """The unfolded items of a page (texts by number of their run), the runs' texts, and each token's run."""
+    items: list = []
+    parts: list[list[str]] = []
+    of: list[int | None] = []
+    for kind, path, text in tokens:
+        of.append(None)
+        if kind == SLOT:
+            if text.strip():
+                if not items or items[-1][0] != SLOT:
+                    items.append([SLOT, "/".join(path), None, len(parts)])
+                    parts.append([])
+            if items and items[-1][0] == SLOT:
+                parts[-1].append(text)
+                of[-1] = len(parts) - 1
+        elif kind == "|":
+            if items and items[-1][0] == SLOT:
+                parts[-1].append(" ")
+        else:
+            items.append([kind, "/".join(path)])
+    return items, [" ".join("".join(p).split()) for p in parts], of
+
+
+def constant(text: str) -> str | None:
+    return text if len(text) <= CONSTANT_CHARS else None
+
+
 def page_items(page: str) -> list:
     """The folded stream of a page; texts are cut to what telling them apart takes."""
-    out = []
-    for kind, path, text in stream(page):
-        if kind == SLOT:
-            text = " ".join(text.split())
-            if not text or (out and out[-1][0] == SLOT):
-                if text:
-                    out[-1][2] = None
-                continue
-            out.append([SLOT, "/".join(path), text if len(text) <= 80 else None])
-        elif kind != "|":
-            out.append([kind, "/".join(path)])
-    return fold(out)
+    items, texts, _ = text_runs(list(stream(page)))
+    content = content_paths(items)
+    witness = zlib.crc32("\n".join(texts[i[3]] for i in items if i[0] == SLOT and i[1] in content).encode("utf-8", "surrogatepass"))
+    return fold([[SLOT, i[1], constant(texts[i[3]]), [witness]] if i[0] == SLOT else i for i in items])
+
+
+def template(item: list) -> bool:
+    """Whether a text of a wrapper is a constant with enough witnesses."""
+    return item[2] is not None and isinstance(item[3], list) and len(item[3]) >= WITNESSES
 
 
-def slot_paths(items: list) -> set[str]:
+def slot_paths(items: list, varying: bool = False) -> set[str]:
+    """The paths of texts; of those that are not template, if varying."""
     found: set[str] = set()
     for i in items:
         if i[0] == SLOT:
-            found.add(i[1])
+            if not (varying and template(i)):
+                found.add(i[1])
         elif i[0] in "?+":
-            found |= slot_paths(i[1])
+            found |= slot_paths(i[1], varying)
+    return found
+
+
+def constants(items: list) -> list:
+    """What a page is matched with: (head, template text, inner) of each unit; no inner where no template text is."""
+    out = []
+    for unit in groups(items):
+        first = head(unit)
+        while unit[0][0] == "?" and unit[0][1]:
+            unit = unit[0][1]
+        if unit[0][0] == SLOT:
+            out.append((first, unit[0][2] if template(unit[0]) else None, None))
+        else:
+            inner = constants(unit[1:-1]) if unit[0][0] == "<" and len(unit) > 2 else []
+            out.append((first, None, inner if any(text is not None or below for _, text, below in inner) else None))
+    return out
+
+
+def met_constants(known: list, items: list) -> set[int]:
+    """The runs of a page's folded items that meet a template text."""
+    found: set[int] = set()
+    units = groups(items)
+    for op, i1, i2, j1, j2 in opcodes([k[0] for k in known], [head(u) for u in units]):
+        if op == "equal":
+            for (_, text, inner), unit in zip(known[i1:i2], units[j1:j2]):
+                if text is not None and unit[0][0] == SLOT and unit[0][2] == text:
+                    found.add(unit[0][3])
+                elif inner and unit[0][0] == "<":
+                    found |= met_constants(inner, unit[1:-1])
     return found
 
 
@@ -268,8 +345,8 @@ def furniture(element: str) -> bool:
 
 
 def content_paths(wrapper: list) -> frozenset[str]:
-    """The paths of a wrapper's texts that are main text."""
-    plain = [p for p in slot_paths(wrapper) if not any(furniture(e) for e in p.split("/"))]
+    """The paths of a wrapper's texts that are main text, template texts aside."""
+    plain = [p for p in slot_paths(wrapper, varying=True) if not any(furniture(e) for e in p.split("/"))]
     for root in ("article", "main"):
         below = [p for p in plain if any(root in e.split(".") for e in p.split("/"))]
         if below:
@@ -278,17 +355,24 @@ def content_paths(wrapper: list) -> frozenset[str]:
 
 
 @lru_cache(maxsize=4096)
-def content_of(wrapper: str) -> frozenset[str]:
-    return content_paths(json.loads(wrapper))
+def content_of(wrapper: str) -> tuple[frozenset[str], list]:
+    """The content paths and the constants of a wrapper."""
+    items = json.loads(wrapper)
+    known = constants(items)
+    return content_paths(items), known if any(text is not None or inner for _, text, inner in known) else []
 
 
-def main_text(page: str | None, content: frozenset[str]) -> str:
-    """The blocks of page on content paths."""
+def main_text(page: str | None, content: frozenset[str], known: list | None = None) -> str:
+    """The blocks of page on content paths that meet none of the known constants."""
     if not page:
         return ""
     tokens = list(stream(page))
-    if content and not any(kind == SLOT and text.strip() and "/".join(path) in content for kind, path, text in tokens):
-        content = content_paths(page_items(page))
+    items, texts, run_of = text_runs(tokens)
+    if content and not any(i[0] == SLOT and i[1] in content for i in items):
+        content = content_paths(items)
+    gone: set[int] = set()
+    if known:
+        gone = met_constants(known, fold([[SLOT, i[1], constant(texts[i[3]]), i[3]] if i[0] == SLOT else i for i in items]))
     blocks, now = [], []
 
     def close() -> None:
@@ -297,10 +381,10 @@ def main_text(page: str | None, content: frozenset[str]) -> str:
             blocks.append(text)
         now.clear()
 
-    for kind, path, text in tokens:
+    for (kind, path, text), run in zip(tokens, run_of):
         if kind != SLOT:
             close()
-        elif "/".join(path) in content:
+        elif run not in gone and "/".join(path) in content:
             now.append(text)
     close()
     return "\n".join(blocks)
@@ -351,7 +435,7 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(p.as_py(), content_of(w.as_py())) for p, w in zip(b.column(2), b.column(3))]
+            texts = [main_text(p.as_py(), *content_of(w.as_py())) for p, w in zip(b.column(2), b.column(3))]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 ["id", "url", "text", "n_chars"],

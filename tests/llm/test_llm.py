@@ -288,6 +288,32 @@ def test_html_tables(spark):
     assert html_text.main_texts(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_html_wrapper_decides(spark):
+    def made(k, text):
+        ad = "<div>Subscribe now</div>" if k % 2 else ""
+        more = f"<p>and {text}</p>" if k > 2 else ""
+        return f"<body><h3>The <i>Daily</i> Page</h3><section><h1>{text}</h1><p>{text} goes on</p>{more}</section>{ad}<address>All rights reserved</address>"
+
+    def left(k, text):
+        return "\n".join([text, f"{text} goes on"] + [f"and {text}"] * (k > 2))
+
+    rows = [(k, f"http://h.example/{k}", made(k, f"story {k}")) for k in range(6)]
+    want = {k: left(k, f"story {k}") for k in range(6)}
+    # the constant's words in a slot stay
+    rows.append((6, "http://h.example/6", made(6, "All rights reserved")))
+    want[6] = left(6, "All rights reserved")
+    # a page alone and copies of one article do not tell template from content
+    rows += [(10, "http://alone.example/", made(0, "lone")), *[(20 + k, f"http://copies.example/{k}", made(0, "same")) for k in range(5)]]
+    kept = lambda text: f"The Daily Page\n{left(0, text)}\nAll rights reserved"
+    want |= {10: kept("lone")} | {20 + k: kept("same") for k in range(5)}
+    # a long text between two equal elements is not folded away
+    rows.append((30, "http://long.example/", f"<body><p>a</p>{'long ' * 30}<p>b</p>"))
+    want[30] = f"a\n{('long ' * 30).strip()}\nb"
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for parts in (1, 5):
+        assert {r.page_id: r.text for r in html_text.main_texts(df.repartition(parts)).collect()} == want
+
+
 def test_token_counts(spark, odd, none):
     import sentencepiece
 
