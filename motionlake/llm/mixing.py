@@ -12,7 +12,10 @@ Each leaf takes full epochs of its rows and then a prefix of the next one, in
 the order of md5(seed:epoch:id). The prefix is found without sorting a leaf in
 one task: rows fall into ``buckets`` ranges of the digest, the running sum over
 the buckets of a leaf says where each begins, and only rows of the same bucket
-are sorted together. The tables of leaves and buckets are small; no broadcast is
+are sorted together. The prefix is one of whole rows: the row that crosses the budget
+is left out, so each leaf falls short by less than that row's tokens, which its siblings
+do not get; a leaf whose first row is longer than its rest takes full epochs only (none
+if its budget is below one epoch). The tables of leaves and buckets are small; no broadcast is
 forced on them.
 
 Defined cases: null texts and texts without words have 0 tokens and are taken
