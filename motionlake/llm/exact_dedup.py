@@ -9,7 +9,10 @@
 4. Global: the salt winners meet once more. They bring their text only where
    several salts can hold the same digest, so whole texts are moved once.
 
-Equality is that of whole texts at every stage; the digest only deals rows out.
+Whole texts are compared at the local and the salted stage, for hot digests at the
+global stage too. Groups of other digests meet there by SHA-256 and xxhash64 alone; rows
+get their keep_id by these two, and drop_copies finds its rows by SHA-256 and id. Texts
+that differ would be taken as equal only if they collide in these.
 
 Defined cases: a null text counts as empty; empty texts form one group; a null
 doc_id loses against any other; of rows that repeat both doc_id and text one
