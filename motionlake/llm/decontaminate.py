@@ -11,6 +11,12 @@ the item in a band of the same width, free at both ends, and kept within k edits
 k is lowered where the bound would fall below 1; items shorter than q characters
 must be met exactly, between spaces.
 
+Passages: an item of more than ``PIECE`` characters is also cut into overlapping pieces
+of that length, one every ``STEP`` characters, each with its own budget and bound. An
+item that is not met as a whole is reported with its best piece, and edits are then
+those of the piece. So a verbatim passage of PIECE + STEP - 1 characters is always
+found. Shorter passages, and parts of shorter items, are not reported.
+
 Items go to the executors in blocks of at most ``block_chars`` characters, one
 pass over the texts for each block; documents are never shuffled. Long texts are
 hashed window by window.
@@ -33,6 +39,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 Q = 8
 EDIT_SHARE = 0.1
+PIECE = 160
+STEP = 32
 BLOCK_CHARS = 4_000_000
 WINDOW = 1 << 20
 _TABLE_BITS = 22
@@ -86,6 +94,9 @@ class Items:
         self.edits = np.minimum(np.floor(edit_share * size).astype(np.int64), (size - Q) // Q)
         self.bound = size - Q + 1 - self.edits * Q
         self.width = self.edits + 1
+        self.long = size > PIECE
+        self.piece_edits = min(math.floor(edit_share * PIECE), (PIECE - Q) // Q)
+        self.piece_bound = PIECE - Q + 1 - self.piece_edits * Q
         hashes = [grams(c) for c in self.codes]
         key = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         item = np.repeat(np.arange(len(kept)), [len(h) for h in hashes])
@@ -98,9 +109,9 @@ class Items:
         self.seen = np.zeros(1 << _TABLE_BITS, np.bool_)
         self.seen[key >> np.uint64(64 - _TABLE_BITS)] = True
 
-    def hits(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Item and diagonal of every shared q-gram."""
-        items, diagonals = [], []
+    def hits(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Item, diagonal and place in the text of every shared q-gram."""
+        items, diagonals, places = [], [], []
         for start in range(0, len(c) - Q + 1, WINDOW):
             h = grams(c[start : start + WINDOW + Q - 1])
             at = np.flatnonzero(self.seen[h >> np.uint64(64 - _TABLE_BITS)])
@@ -111,11 +122,12 @@ class Items:
             n = self.last[k] - self.first[k]
             where = np.repeat(self.first[k] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
             items.append(self.item[where])
-            diagonals.append(np.repeat(at + start, n) - self.place[where])
-        return np.concatenate(items), np.concatenate(diagonals)
+            places.append(np.repeat(at + start, n))
+            diagonals.append(places[-1] - self.place[where])
+        return np.concatenate(items), np.concatenate(diagonals), np.concatenate(places)
 
     def regions(self, text: str) -> list[tuple]:
-        """(item_id, start, end, edits): the best region of each item met, by item."""
+        """(item_id, start, end, edits): the best region of each item met, whole or by a piece, by item."""
         found = []
         for i, t in self.short:
             at = f" {text} ".find(f" {t} ")
@@ -124,7 +136,7 @@ class Items:
         c = codes(text)
         if len(c) < Q or not len(self.keys):
             return found
-        item, diagonal = self.hits(c)
+        item, diagonal, at = self.hits(c)
         if not len(item):
             return found
         shift = self.longest  # no diagonal is below its negative
@@ -138,22 +150,49 @@ class Items:
             k, w, size = int(self.edits[j]), int(self.width[j]), len(self.codes[j])
             low = int(key % span) * w - shift
             a, b = max(0, low - k), min(len(c), low + 2 * w + size + k)
-            got = self._met(int(j), text, c, a, b, k)
+            got = _met(self.codes[j], self.texts[j], text, c, a, b, k)
             if got and (j not in best or got[2] < best[j][2]):
                 best[j] = got
+        # a piece's bands are no wider than its item's, so what reaches the piece's bound does so here
+        for j in sorted({*of[(pair >= self.piece_bound) & self.long[of]].tolist()} - set(best)):
+            got = self._piece(j, text, c, diagonal[item == j], at[item == j])
+            if got:
+                best[j] = got
         return found + [(self.ids[j], *best[j]) for j in sorted(best)]
 
-    def _met(self, j: int, text: str, c: np.ndarray, a: int, b: int, k: int) -> tuple[int, int, int] | None:
-        at = text.find(self.texts[j], a, b)
-        if at >= 0:
-            return at, at + len(self.texts[j]), 0
-        ended = align(self.codes[j], c[a:b], k)
-        if ended is None:
-            return None
-        edits, end = ended
-        # the same from the right gives where it begins
-        began = align(self.codes[j][::-1], c[a : a + end][::-1], k)
-        return a + end - began[1], a + end, edits
+    def _piece(self, j: int, text: str, c: np.ndarray, diagonal: np.ndarray, at: np.ndarray) -> tuple[int, int, int] | None:
+        """The best region of the pieces of item j, of whose q-grams these are the hits."""
+        k, w, size = self.piece_edits, self.piece_edits + 1, len(self.codes[j])
+        starts = np.unique(np.append(np.arange(0, size - PIECE, STEP), size - PIECE))
+        place, band = at - diagonal, (diagonal + size) // w
+        keys, counts = np.unique(band, return_counts=True)
+        follows = np.append(keys[1:] == keys[:-1] + 1, False)
+        pair = counts + np.where(follows, np.append(counts[1:], 0), 0)
+        best = None
+        for key in keys[pair >= self.piece_bound].tolist():
+            low = key * w - size
+            places = np.unique(place[(band == key) | (band == key + 1)])  # a q-gram of the item counts once
+            held = np.searchsorted(places, starts + PIECE - Q, "right") - np.searchsorted(places, starts)
+            for start in starts[held >= self.piece_bound].tolist():
+                a, b = max(0, low + start - k), min(len(c), low + 2 * w + start + PIECE + k)
+                got = _met(self.codes[j][start : start + PIECE], self.texts[j][start : start + PIECE], text, c, a, b, best[2] - 1 if best else k)
+                if got and got[2] == 0:
+                    return got
+                best = got or best
+        return best
+
+
+def _met(item: np.ndarray, item_text: str, text: str, c: np.ndarray, a: int, b: int, k: int) -> tuple[int, int, int] | None:
+    at = text.find(item_text, a, b)
+    if at >= 0:
+        return at, at + len(item_text), 0
+    ended = align(item, c[a:b], k)
+    if ended is None:
+        return None
+    edits, end = ended
+    # the same from the right gives where it begins
+    began = align(item[::-1], c[a : a + end][::-1], k)
+    return a + end - began[1], a + end, edits
 
 
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple]]:
@@ -170,7 +209,7 @@ def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", edit_share: float = EDIT_SHARE, block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
-    """One row per document and item met: id, item, start and end in the normalised text, edits."""
+    """One row per document and item met, whole or by a piece: id, item, start and end in the normalised text, edits."""
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     id_type, item_type = (d.schema[c].dataType.simpleString() for d, c in ((docs, id_col), (benchmark, item_col)))
     item_kind = to_arrow_type(benchmark.schema[item_col].dataType)

@@ -362,6 +362,26 @@ def test_decontaminate(spark, odd, none):
     assert decontaminate.contaminated(none, bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_passages(spark):
+    rng = random.Random(8)
+    text = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(2, 7))) for _ in range(n))
+    item, other = text(90)[:390], text(40)[:150]
+    edited = list(item[60:300])
+    for p in range(5, 240, 30):
+        edited[p] = "x"
+    passages = [item[:195], item[195:], item[: 390 * 4 // 5], item[101:292], "".join(edited), item, item[:60], other, other[:75], text(40)]
+    docs = [(i, f"{text(30)} {p} {text(30)}") for i, p in enumerate(passages)]
+    docs.append((len(docs), passages[0]))
+    schema = "doc_id bigint, text string"
+    bench = spark.createDataFrame([(0, item), (1, other)], "item_id bigint, text string")
+    df = spark.createDataFrame(docs, schema)
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(df, bench).collect()}
+    assert set(got) == {(0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (5, 0), (7, 1), (10, 0)}
+    assert got[5, 0].end - got[5, 0].start == len(item) and got[3, 0].edits == 0 < got[4, 0].edits
+    assert all(decontaminate.normal(docs[d][1])[r.start : r.end] in item for (d, i), r in got.items() if i == 0 and r.edits == 0)
+    assert {r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()} == {6, 8, 9}
+
+
 def test_pipeline_stages_keep_columns(spark):
     import corpus_pipeline
 
