@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Tables
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -23,13 +23,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return tied.where("u <> v").distinct()
 
 
-def components(links: DataFrame, a: str, b: str) -> DataFrame:
+def components(tables: Tables, links: DataFrame, a: str, b: str) -> DataFrame:
     """u, comp for every node that has a link; comp is the least node that links reach."""
-    edges = cut(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
+    edges = tables.cut(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
     state = None
     while True:
-        edges = cut(_star(_star(edges, True), False))
+        before, edges = edges, tables.cut(_star(_star(edges, True), False))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        tables.free(before)
         if now == state:
             break
         state = now

@@ -1,18 +1,14 @@
 """Exact dedup by skew-safe combining. DataFrame operations only.
 
-1. Each row gets the SHA-256 of its normalised text. A digest with at least
-   ``hot_share`` of all rows is hot; there are at most 1 / hot_share of these,
-   which bounds every broadcast below.
-2. Local: the map side of one aggregation folds equal texts inside a task.
-3. Salted: its reduce side merges per (digest, salt); only hot digests have
-   more than one salt, so no task gets a whole hot group.
-4. Global: the salt winners meet once more. They bring their text only where
-   several salts can hold the same digest, so whole texts are moved once.
+1. Local: the map side of an aggregation folds equal texts inside a task.
+2. Salted: its reduce side merges per (digest, salt), where the salt is that of the map
+   task. So a text meets in at most ``salts`` places, however many rows have it, and no
+   task gets a whole hot group.
+3. Global: the salt winners of a text, ``salts`` at most, are combined.
 
-Whole texts are compared at the local and the salted stage, for hot digests at the
-global stage too. Groups of other digests meet there by SHA-256 and xxhash64 alone; rows
-get their keep_id by these two, and drop_copies finds its rows by SHA-256 and id. Texts
-that differ would be taken as equal only if they collide in these.
+Each of the three compares whole normalised texts (they are grouping keys beside their
+SHA-256 and xxhash64), so texts that differ are never merged. Rows then find their group by
+SHA-256 and xxhash64 together, rows without their texts.
 
 Defined cases: a null text counts as empty; empty texts form one group; a null
 doc_id loses against any other; of rows that repeat both doc_id and text one
@@ -21,67 +17,49 @@ stays; an empty table gives an empty result. Other columns are never looked at.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut
+from .common import Tables, ascii_lower, cut
+from .rows import keep_rows
 
-HOT_SHARE = 1 / 256
-SALTS = 32
+SALTS = 16
 
 
-def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    norm = ascii_lower(F.coalesce(docs[text_col], F.lit("")))
-    rows = docs.select(docs[id_col].alias("id"), norm.alias("norm"))
-    return rows.select("id", "norm", F.sha2("norm", 256).alias("digest"), F.xxhash64("norm").alias("fp"))
+def _norm(docs: DataFrame, text_col: str) -> Column:
+    return ascii_lower(F.coalesce(docs[text_col], F.lit("")))
 
 
-def exact_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_share: float = HOT_SHARE, salts: int = SALTS
-) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256 (and fp, a second fingerprint)."""
-    rows = _keys(docs, id_col, text_col)
-    keyed = cut(rows.select("id", "digest", "fp").withColumn("rid", F.monotonically_increasing_id()))
-    least = max(2, int(keyed.count() * hot_share))
-    hot = cut(keyed.groupBy("digest").count().where(F.col("count") >= least).select("digest", F.lit(True).alias("hot")))
+def groups_of(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFrame:
+    """digest, fp, keep_id and group_size of each distinct text."""
+    rows = docs.select(docs[id_col].alias("id"), _norm(docs, text_col).alias("norm"), F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt"))
+    rows = rows.select("id", "norm", "salt", F.unhex(F.sha2("norm", 256)).alias("digest"), F.xxhash64("norm").alias("fp"))
+    salted = rows.groupBy("digest", "fp", "norm", "salt").agg(F.max("id").alias("id"), F.count("*").alias("n"))
+    whole = salted.groupBy("digest", "fp", "norm").agg(F.max("id").alias("keep_id"), F.sum("n").alias("group_size"))
+    return whole.drop("norm")
+
 
-    salted = (
-        rows.join(F.broadcast(hot), "digest", "left")
-        .withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(salts))).otherwise(0))
-        .groupBy("digest", "salt", "hot", "fp", "norm")
-        .agg(F.max("id").alias("id"), F.count("*").alias("n"))
-    )
-    groups = cut(
-        salted.withColumn("norm", F.when(F.col("hot"), F.col("norm")))
-        .groupBy("digest", "hot", "fp", "norm")
-        .agg(F.max("id").alias("keep_id"), F.sum("n").alias("group_size"))
-        .drop("norm")
-    )
-    flagged = keyed.join(F.broadcast(hot), "digest", "left")
-    few = F.broadcast(groups.where("hot").drop("hot"))
-    rest = groups.where("hot is null").drop("hot")
-    joined = (
-        flagged.where("hot is null").drop("hot").join(rest, ["digest", "fp"])
-        .unionByName(flagged.where("hot").drop("hot").join(few, ["digest", "fp"]))
-    )
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
+    """One row per input row: id, keep_id, group_size, kept, text_sha256 (and fp, a second fingerprint)."""
+    t = Tables(docs.sparkSession)
+    norm = _norm(docs, text_col)
+    rows = docs.select(docs[id_col].alias("id"), norm.alias("norm"), F.monotonically_increasing_id().alias("rid"))
+    keyed = rows.select("id", "rid", F.unhex(F.sha2("norm", 256)).alias("digest"), F.xxhash64("norm").alias("fp"))
     nth = F.row_number().over(Window.partitionBy("digest", "fp", "id").orderBy("rid"))
-    return joined.withColumn("nth", nth).select(
-        F.col("id").alias(id_col),
-        "keep_id",
-        "group_size",
-        (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"),
-        F.col("digest").alias("text_sha256"),
-        "fp",
-    )
+    keyed = t.cut(keyed.withColumn("nth", nth))
+    groups = t.cut(groups_of(docs, id_col, text_col, salts))
+    met = keyed.join(groups, ["digest", "fp"])  # the rows of one text are dealt out anew where they are many
+    kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)
+    sha = F.lower(F.hex("digest")).alias("text_sha256")
+    out = cut(met.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), sha, "fp"))
+    t.close()
+    return out
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """The rows of docs that stay, with their columns as they were."""
-    kept = exact_dedup(docs, id_col, text_col, **options).where("kept")
-    kept = kept.select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__digest"))
-    digest = F.sha2(ascii_lower(F.coalesce(docs[text_col], F.lit(""))), 256)
-    rows = docs.withColumn("__row_digest", digest)
-    met = rows.join(
-        kept, rows["__row_digest"].eqNullSafe(kept["__digest"]) & rows[id_col].eqNullSafe(kept["__id"]), "left_semi"
-    )
-    return met.dropDuplicates(["__row_digest", id_col]).drop("__row_digest")
+    groups = cut(groups_of(docs, id_col, text_col, salts))
+    pair = lambda digest, fp: F.concat_ws(":", F.hex(digest), fp.cast("string"))
+    norm = _norm(docs, text_col)
+    stay = groups.select(pair(F.col("digest"), F.col("fp")).alias("key"), F.col("keep_id").alias("id"))
+    return keep_rows(docs, pair(F.unhex(F.sha2(norm, 256)), F.xxhash64(norm)), id_col, stay)

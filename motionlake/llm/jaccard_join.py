@@ -1,36 +1,36 @@
 """N-gram Jaccard join as a metric-space join, exact.
 
-Jaccard distance is a metric, and so is the size of the symmetric difference,
-within all shingles or within any part of them. The join uses both:
-
-1. Rows with equal shingle sets form one class; only classes are joined.
-2. The pivot of the first level is the empty set. The distance to it is a set's size n;
-   it is cut into rings, and by the triangle inequality a class of size n can only be
-   linked to classes of n * t to n / t shingles. A class lies in its own ring and is
-   replicated into those below that its window meets; a linked pair meets in the ring of
-   its smaller set. In a ring the symmetric difference of a linked pair is at most some k,
-   so in k + 1 parts of the shingle space one has distance zero: a region of a ring holds
-   the classes with one content of one part. (An empty part says nothing; its place take
-   the parts of a second division.)
-   Where t is so low that parts would hold less than ``FULL`` shingles, pivots are single
-   shingles in one global order, rarest first: a linked pair shares one of the first
-   n - ceil(t * n) + 1 of either set, and meets in the region of its first common shingle.
-3. In each region one class is the pivot, so a group of any number of near copies costs
-   one distance each, and a region whose classes are all in one component is done. Of
-   what is left, small regions are compared: pairs of different components.
-4. What is left of the larger regions is joined recursively. They get several pivots; a
-   class goes to the Voronoi cell of its nearest pivot if that is within ``RADIUS``, else
-   to the outer cell, and into each other cell j whose pivot is within
-   min(nearest + 2e, RADIUS + e), where e = 1 - t. A linked pair meets in a cell: with x
-   in cell i and y in cell j, d(x, pj) <= d(y, pj) + e <= d(y, pi) + e <= d(x, pi) + 2e. A
-   region that its cells do not split is compared as a small region is.
-
-Before two sets are compared, their distances to the empty set in ``PARTS`` parts of
-the shingle space give a lower bound on their symmetric difference; only pairs
-within the bound have their sets fetched. Shingles are 64-bit hashes.
-
-Only the order of shingles needs the counts of words: of all words of all rows, in a
-table of fixed size (2 ** TABLE_BITS sums), which is what the driver collects.
+Jaccard distance d = 1 - |x & y| / |x | y| is a metric. Rows with equal shingle sets form
+one class; classes within e = 1 - t of each other are linked.
+
+1. Pivots. A document is at distance 1 from nearly every other, so pivots drawn at random
+   would leave all documents in every window. A pivot is therefore drawn where documents
+   can be near each other at all: a linked pair shares one of the first n - ceil(t * n) + 1
+   shingles of either set in one global order, rarest first, so all classes that have a
+   shingle among these meet there, and of each meeting the class with the least hash is a
+   pivot. Its region holds the classes that met it; a linked pair meets in the region of the
+   pivot of its first common shingle.
+2. Windows about the empty set and its likes. The distance of a set to the empty set is its
+   size, in all shingles or in any part of them. By the triangle inequality these sizes
+   bound the symmetric difference of two sets from below; a class that has no other class of
+   its region within this bound leaves the region before any set is fetched.
+3. Recursion. A region of more than ``CELL_ROWS`` classes (or ``CELL_SHINGLES`` shingles) is
+   split by ``PIVOTS`` of its documents. A class lies in the Voronoi cell of its nearest
+   pivot, and is replicated into each cell before it in order whose pivot is within
+   nearest + 2e; pivot 0 is the empty set, at distance 1 from all. A linked pair meets in the
+   first of its two cells: with x in cell i and y in cell j, d(y, pi) <= d(x, pi) + e <=
+   d(x, pj) + e <= d(y, pj) + 2e. Pivots are compared with their whole region and leave it; a
+   cell whose classes are all linked to one pivot is done. So it goes on, level by level.
+4. A region within the bounds is joined in one task by the same recursion, down to ``LEAF``
+   classes, which are compared. A large region that its cells do not split is dealt out in
+   blocks of bounded size, and each pair of blocks is joined in a task.
+
+Links of a task are reduced to a forest, and components() joins the forests. Shingles are
+64-bit hashes. The order of shingles takes the expected frequency from the counts of their
+words, and the counts of shingles themselves where these stand out (passages that many
+documents share): two tables of fixed size (2 ** WORD_BITS and 2 ** SHINGLE_BITS sums over
+all rows), which is all that the driver collects. The order changes what is compared, never
+what is found.
 
 Defined cases: null and empty texts and texts without words have an empty set and
 are linked with nothing; with fewer words than ``size`` the whole sequence is the
@@ -41,32 +41,36 @@ repeated rows are rows of one class; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from itertools import count
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import Tables, cut, grouped
 from .components import components
+from .rows import keep_rows
 
 PERCENT = 90
 SIZE = 3
-TABLE_BITS = 18
-PARTS = 64
-SMALL = 48
+WORD_BITS = 18
+SHINGLE_BITS = 20
+CHUNK = 1 << 14
+SUM_SALTS = 64
+CELL_ROWS = 512
+CELL_SHINGLES = 1 << 20
+LEAF = 32
 PIVOTS = 8
-RADIUS = 0.5
-FULL = 5
-WIDTH = 3
-DIVIDED = 512
-FEW = 100_000
+UNSPLIT = 0.75
+COLUMNS = 4096
+BROADCAST_ROWS = 500_000
 REMEMBERED = 1_000_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+_WORD_SHIFT, _SHINGLE_SHIFT = np.uint64(64 - WORD_BITS), np.uint64(64 - SHINGLE_BITS)
 
 
 class WordHashes(dict):
@@ -91,16 +95,19 @@ def word_hashes(text: str | None, known: WordHashes) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-def shingles(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles, ascending, and for each the place of its first word."""
+def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """The hash of each shingle, in the order of the text."""
     n = len(words)
-    if not n:
-        return words, np.zeros(0, np.int64)
     size = min(size, n)
-    h = np.full(n - size + 1, np.uint64(size))
+    h = np.full(n - size + 1 if n else 0, np.uint64(size))
     for k in range(size):
         h = mixed(h * _A + words[k : n - size + 1 + k])
-    return np.unique(h, return_index=True)
+    return h
+
+
+def shingles(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles, ascending, and for each the place of its first word."""
+    return np.unique(shingle_hashes(words, size), return_index=True)
 
 
 def window(n: int, percent: int) -> int:
@@ -108,95 +115,84 @@ def window(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-class Rings:
-    """Rings of set sizes and, for each, the parts of which a linked pair shares one.
-
-    A ring is as wide as ``WIDTH`` windows, so a class lies in two at most.
-    """
-
-    def __init__(self, percent: int):
-        self.percent, self.bounds = percent, []
-        if percent < 100:
-            low = next(n for n in count(1) if 100 * n // percent > n)  # the least set with a link to another size
-            while low < 1 << 31:
-                self.bounds.append(low)
-                low = max(low + 1, -(-low * 100**WIDTH // percent**WIDTH))
-            self.bounds.append(low)
-
-    def of(self, n: int) -> range:
-        """The rings that hold a set of n shingles."""
-        own = int(np.searchsorted(self.bounds, n, "right")) - 1
-        least = int(np.searchsorted(self.bounds, -(-n * self.percent // 100), "right")) - 1
-        return range(max(least, 0), own + 1)
-
-    def parts(self, ring: int) -> int:
-        most = self.bounds[ring + 1] - 1
-        return (most + 100 * most // self.percent) * (100 - self.percent) // (100 + self.percent) + 1
-
-    def full(self) -> bool:
-        """Whether a part of a long set holds FULL shingles."""
-        return not self.bounds or self.bounds[-2] >= FULL * self.parts(len(self.bounds) - 2)
-
-
-def contents(s: np.ndarray, parts: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each part of the shingle space a hash of its content in the ascending set s, and which are empty."""
-    with np.errstate(over="ignore"):
-        edges = np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 64) // parts)
-        at = np.concatenate([[0], np.searchsorted(s, edges), [len(s)]])
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(s + _B), dtype=np.uint64)])
-        name = mixed(np.arange(parts, dtype=np.uint64) + np.uint64(seed) * _A)
-        return mixed((sums[at[1:]] - sums[at[:-1]]) ^ name), np.flatnonzero(at[1:] == at[:-1])
-
-
-def ring_regions(s: np.ndarray, rings: Rings) -> np.ndarray:
-    """The regions of the ascending set s in all its rings."""
-    out = [np.zeros(0, np.uint64)]
-    for ring in rings.of(len(s)):
-        parts = rings.parts(ring)
-        keys, empty = contents(s, parts, 2 * ring)
-        if len(empty) and parts <= DIVIDED:
-            again, _ = contents(np.sort(mixed(s ^ _C)), parts, 2 * ring + 1)
-            out += [mixed(again + keys[e]) for e in empty]
-            keys = np.delete(keys, empty)
-        out.append(keys)
-    return np.unique(np.concatenate(out))
-
-
-def word_counts(docs: DataFrame, text_col: str) -> np.ndarray:
-    """A rarity class for each place of a table of word hashes; low is rare."""
-    top = np.uint64(64 - TABLE_BITS)
+@dataclass
+class Rarity:
+    """What the global order of shingles is made from; logarithms to base 2."""
+
+    words: np.ndarray  # by the place of a word: its count
+    all_words: float
+    passages: np.ndarray  # by the place of a shingle: its count where it stands out, else a low value
+
+    def order(self, words: np.ndarray, s: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
+        """The class of each shingle of s in the global order, low is rare; within a class the hash decides."""
+        own = self.words[words >> _WORD_SHIFT]
+        size = min(size, len(words))
+        expected = sum((own[place + k] for k in range(size)), np.float32(0)) - np.float32((size - 1) * self.all_words)
+        return np.clip(2 * (np.maximum(expected, self.passages[s >> _SHINGLE_SHIFT]) + 80), 0, 255).astype(np.uint8)
+
+
+def rarity(docs: DataFrame, text_col: str, size: int) -> Rarity:
+    """Counts of words and shingles over all rows, in tables of fixed size."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = WordHashes(), np.zeros(1 << TABLE_BITS, np.int64)
+        known, total = WordHashes(), [np.zeros(1 << WORD_BITS, np.int64), np.zeros(1 << SHINGLE_BITS, np.int64)]
+
+        def add(held: list[np.ndarray]) -> None:
+            h = [np.concatenate(held) >> _WORD_SHIFT, np.concatenate([shingle_hashes(w, size) for w in held]) >> _SHINGLE_SHIFT]
+            for t, x in zip(total, h):
+                t += np.bincount(x.astype(np.int64), minlength=len(t))
+            held.clear()
+
+        held, n = [], 0
         for b in batches:
             for t in b.column(0):
-                w = word_hashes(t.as_py(), known)
-                if len(w) > 4096:
-                    total += np.bincount((w >> top).astype(np.int64), minlength=1 << TABLE_BITS)
-                else:
-                    np.add.at(total, (w >> top).astype(np.int64), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
-
-    sums = docs.select(F.col(text_col).cast("string")).mapInArrow(counted, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n"))
-    table = np.zeros(1 << TABLE_BITS)
-    rows = sums.toPandas()
-    table[rows["at"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.float64)
-    return np.minimum(255, 4 * np.log2(table + 1)).astype(np.uint8)
-
-
-def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, rarity: np.ndarray | None) -> DataFrame:
-    """id, text_key, n, d1, d2 (together the set's digest), anchors (regions), parts: one row per row of docs.
-
-    Regions come from rings, or from the order of shingles where a rarity of words is given.
-    """
-    rings = Rings(percent)
+                held.append(word_hashes(t.as_py(), known))
+                n += len(held[-1])
+                if n > 1 << 20:
+                    add(held)
+                    n = 0
+        if held:
+            add(held)
+        salt = TaskContext.get().partitionId() % SUM_SALTS
+        for k, part in enumerate(np.split(np.concatenate(total), sum(map(len, total)) // CHUNK)):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([salt], pa.int32()), pa.array([part.tobytes()])], ["chunk", "salt", "sums"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(2)):
+                part = np.frombuffer(x.as_py(), np.int64)
+                total[k] = total[k] + part if k in total else part
+        for k, x in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([0], pa.int32()), pa.array([x.tobytes()])], ["chunk", "salt", "sums"])
+
+    schema = "chunk int, salt int, sums binary"
+    parts = docs.select(docs[text_col].cast("string")).mapInArrow(counted, schema)
+    whole = parts.repartition("chunk", "salt").mapInArrow(summed, schema).repartition("chunk").mapInArrow(summed, schema)
+    sums = np.zeros((1 << WORD_BITS) + (1 << SHINGLE_BITS), np.int64)
+    for r in whole.collect():
+        sums[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["sums"], np.int64)
+    words, counts = np.split(sums, [1 << WORD_BITS])
+    usual = float(np.median(counts))
+    over = counts > usual + 6 * np.sqrt(usual) + 1
+    passages = np.where(over, np.log2(np.maximum(counts - usual, 1)), -100)
+    return Rarity(np.log2(words + 1).astype(np.float32), float(np.log2(words.sum() + 1)), passages.astype(np.float32))
+
+
+def part_sizes(s: np.ndarray) -> np.ndarray:
+    """The sizes of the set s in equal parts of the shingle space; the more parts, the larger the set."""
+    bits = min(max(len(s).bit_length() - 4, 5), 11)
+    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, rare: Rarity) -> DataFrame:
+    """id, text_key, n, d1, d2 (together the set's digest), anchors (its rarest shingles), parts: one row per row of docs."""
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     rows = rows.select(F.struct("id", F.xxhash64("text").alias("text_key")).alias("key"), "text")
-    top, part = np.uint64(64 - TABLE_BITS), np.uint64(PARTS)
+    told = docs.sparkSession.sparkContext.broadcast(rare)
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known, rare = WordHashes(), told.value
         for b in batches:
             out = []
             for t in b.column(1):
@@ -204,187 +200,308 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
                 s, place = shingles(words, size)
                 n = len(s)
                 if not n:
-                    out.append((0, 0, 0, [], []))
+                    out.append((0, 0, 0, [], b""))
                     continue
-                if rarity is None:
-                    anchors = ring_regions(s, rings)
-                else:
-                    cls = rarity[words >> top]
-                    rare = reduce(np.minimum, (cls[np.minimum(place + k, len(words) - 1)] for k in range(size)))
-                    order = (rare.astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
-                    first = window(n, percent)
-                    at = np.argpartition(order, first - 1)[:first] if first < n else np.arange(n)
-                    anchors = s[at[np.lexsort((s[at], order[at]))]]
+                order = rare.order(words, s, place, size)
+                anchors = s[np.argsort(order, kind="stable")[: window(n, percent)]]
                 d1, d2 = mixed(s + _A).sum(dtype=np.uint64), np.bitwise_xor.reduce(mixed(s ^ _B))
-                parts = np.bincount((s % part).astype(np.int64), minlength=PARTS)
+                parts = np.minimum(part_sizes(s), 0xFFFF).astype(np.uint16).tobytes()
                 out.append((n, int(d1.view(np.int64)), int(d2.view(np.int64)), anchors.view(np.int64), parts))
             n, d1, d2, anchors, parts = zip(*out) if out else ((),) * 5
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
-                    pa.array(anchors, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32())),
+                    pa.array(anchors, pa.list_(pa.int64())), pa.array(parts, pa.binary()),
                 ],
                 ["key", "n", "d1", "d2", "anchors", "parts"],
             )
 
     kind = rows.schema["key"].dataType.simpleString()
-    out = rows.mapInArrow(sketched, f"key {kind}, n int, d1 bigint, d2 bigint, anchors array<bigint>, parts array<int>")
+    out = rows.mapInArrow(sketched, f"key {kind}, n int, d1 bigint, d2 bigint, anchors array<bigint>, parts binary")
     return out.select("key.id", "key.text_key", "n", "d1", "d2", "anchors", "parts")
 
 
 def sets_of(docs: DataFrame, text_col: str, size: int, wanted: DataFrame) -> DataFrame:
-    """node, set of the rows of wanted (node, text_key)."""
+    """node, n, set of the rows of wanted (node, text_key)."""
     text = docs.select(docs[text_col].cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
-    met = text.join(wanted, "text_key").dropDuplicates(["text_key"]).select("node", "text")
+    if wanted.count() <= BROADCAST_ROWS:  # 16 bytes a row; beyond that the texts are shuffled
+        wanted = F.broadcast(wanted)
+    met = text.join(wanted, "text_key").select("node", "text")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for b in batches:
             sets = [shingles(word_hashes(t.as_py(), known), size)[0].view(np.int64) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
+            n = pa.array(map(len, sets), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), n, pa.array(sets, pa.list_(pa.int64()))], ["node", "n", "set"])
 
-    return met.mapInArrow(made, "node bigint, set array<bigint>")
+    # rows that repeat a text give its set more than once
+    return met.mapInArrow(made, "node bigint, n int, set array<bigint>").dropDuplicates(["node"])
 
 
 def _linked(inter: Column, na: Column, nb: Column, percent: int) -> Column:
     return 100 * inter >= percent * (na + nb - inter)
 
 
-class Join:
-    """State of one join: the classes, their sets and the links found so far."""
-
-    def __init__(self, classes: DataFrame, docs: DataFrame, text_col: str, size: int, percent: int, ordered: bool):
-        self.percent, self.reach, self.size = percent, 1 - percent / 100, size
-        self.docs, self.text_col = docs, text_col
-        self.classes = classes.select("node", "text_key")
-        self.parts = cut(classes.select("node", "n", "parts"))
-        entries = classes.where("n > 0").select("node", "n", F.posexplode("anchors").alias("pos", "region"))
-        if not ordered:
-            entries = entries.withColumn("pos", F.lit(0))
-        stats = entries.groupBy("region").agg(F.count("*").alias("c")).where("c > 1")
-        self.regions = cut(entries.join(stats, "region"))
-        self.sets = None
-        self.comps = None
-
-    def near(self, pairs: DataFrame) -> DataFrame:
-        """Of the pairs a, b those within the bound by parts; adds na, nb."""
-        side = lambda x: self.parts.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("parts").alias(f"p{x}"))
-        met = pairs.join(side("a"), "a").join(side("b"), "b")
-        return met.where(self.within("pa", "pb", "na", "nb")).drop("pa", "pb")
-
-    def within(self, pa: str, pb: str, na: str, nb: str) -> Column:
-        apart = F.aggregate(F.zip_with(pa, pb, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-        return _linked((F.col(na) + F.col(nb) - apart) / 2, F.col(na), F.col(nb), self.percent)
-
-    def measure(self, pairs: DataFrame) -> DataFrame:
-        """a, b, na, nb and inter, the number of shared shingles. Fetches the sets that are not there yet."""
-        pairs = cut(pairs)
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        if self.sets is not None:
-            nodes = nodes.join(self.sets.select("node"), "node", "left_anti")
-        wanted = cut(nodes.join(self.classes, "node"))
-        n = wanted.count()
-        if n or self.sets is None:
-            new = cut(sets_of(self.docs, self.text_col, self.size, F.broadcast(wanted) if n <= FEW else wanted))
-            self.sets = new if self.sets is None else self.sets.unionByName(new)
-        side = lambda x: self.sets.select(F.col("node").alias(x), F.col("set").alias(f"s{x}"))
-        met = pairs.join(side("b"), "b").join(side("a"), "a")
-        return met.withColumn("inter", F.size(F.array_intersect("sa", "sb"))).drop("sa", "sb")
-
-    def add(self, found: DataFrame) -> None:
-        """Takes the links of found into the components: links between old components are joined, not all links again."""
-        links = found.where(_linked(F.col("inter"), F.col("na"), F.col("nb"), self.percent)).select("a", "b")
-        if self.comps is None:
-            self.comps = cut(components(links, "a", "b"))
+def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by their first column those whose value another row has, or may have in another partition: the first and last."""
+    held, known = None, True
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        t = t if held is None else pa.concat_tables([held, t])
+        k = t.column(0).to_numpy()
+        same = k[1:] == k[:-1]
+        keep = np.append(known, same) | np.append(same, False)
+        yield from t.slice(0, len(k) - 1).filter(pa.array(keep[:-1])).combine_chunks().to_batches()
+        held, known = t.slice(len(k) - 1), bool(keep[-1])
+    if held is not None:
+        yield from held.combine_chunks().to_batches()
+
+
+def near_bound(n: np.ndarray, parts: list[bytes], percent: int) -> np.ndarray:
+    """Which sets have another that their sizes, whole and by parts, allow to be linked."""
+    parts = [np.frombuffer(p, np.uint16).astype(np.int32) for p in parts]
+    m = min(map(len, parts))
+    p = np.stack([x.reshape(m, -1).sum(1) for x in parts])
+    out = np.zeros(len(n), np.bool_)
+    for i in range(len(n)):
+        apart = np.abs(p - p[i]).sum(1)
+        # |x & y| = (nx + ny - |x ^ y|) / 2, and |x ^ y| >= apart
+        fits = 100 * (n + n[i] - apart) >= percent * (n + n[i] + apart)
+        fits[i] = False
+        out[i] = fits.any()
+    return out
+
+
+class Region:
+    """The sets of one region, joined in a task."""
+
+    def __init__(self, nodes: np.ndarray, sets: list[np.ndarray], percent: int):
+        order = np.argsort(mixed(nodes.view(np.uint64) ^ _A), kind="stable")  # whoever comes first becomes a pivot
+        self.nodes, self.percent, self.e = nodes[order], percent, 1 - percent / 100 + 1e-9
+        sets = [sets[i] for i in order]
+        self.n = np.array([len(s) for s in sets], np.int64)
+        row = np.repeat(np.arange(len(sets)), self.n)
+        _, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        kept = times[col] > 1  # what one set alone holds is in no intersection
+        names = np.cumsum(times > 1) - 1
+        col, self.row = names[col[kept]], row[kept]
+        by = np.argsort(col, kind="stable")
+        self.col, self.row = col[by], self.row[by]
+        self.root = np.arange(len(sets))
+
+    def overlap(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of the sets a with the sets b, a slice of columns at a time."""
+        out = np.zeros((len(a), len(b)), np.float32)
+        width = int(self.col[-1]) + 1 if len(self.col) else 0
+        for lo in range(0, width, COLUMNS):
+            i, j = np.searchsorted(self.col, [lo, lo + COLUMNS])
+            dense = np.zeros((len(self.n), min(COLUMNS, width - lo)), np.float32)
+            dense[self.row[i:j], self.col[i:j] - lo] = 1
+            out += dense[a] @ dense[b].T
+        return out
+
+    def compare(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Distances of the sets a to the sets b; links are taken into root."""
+        inter = self.overlap(a, b).astype(np.int64)
+        union = self.n[a][:, None] + self.n[b] - inter
+        x, y = np.nonzero(100 * inter >= self.percent * union)
+        x, y = a[x], b[y]
+        while True:
+            rx, ry = self.root[x], self.root[y]
+            differ = rx != ry
+            if not differ.any():
+                return 1 - inter / union
+            np.minimum.at(self.root, np.maximum(rx, ry)[differ], np.minimum(rx, ry)[differ])
+            while not np.array_equal(up := self.root[self.root], self.root):
+                self.root = up
+
+    def join(self, rows: np.ndarray) -> None:
+        """Takes all links among rows into root."""
+        if len(np.unique(self.root[rows])) < 2:
+            return
+        if len(rows) <= LEAF:
+            self.compare(rows, rows)
             return
-        links = cut(self.apart(links).select("ca", "cb"))
-        if links.isEmpty():
+        pivots, rest = rows[:PIVOTS], rows[PIVOTS:]
+        self.compare(pivots, pivots)
+        inside = cells(self.compare(rest, pivots), self.e)
+        if inside.sum(0).max() > UNSPLIT * len(rest):
+            self.compare(rest, rest)
             return
-        new = cut(components(links, "ca", "cb").select(F.col("u").alias("old"), F.col("comp").alias("now")))
-        moved = self.comps.join(new, F.col("comp") == F.col("old"), "left").select("u", F.coalesce("now", "comp").alias("comp"))
-        single = new.join(self.comps, F.col("old") == F.col("u"), "left_anti").select(F.col("old").alias("u"), F.col("now").alias("comp"))
-        self.comps = cut(moved.unionByName(single))
-
-    def live(self, regions: DataFrame) -> DataFrame:
-        """Rows of regions that still hold several components, with c rows each; adds comp."""
-        own = regions.join(self.comps.withColumnRenamed("u", "node"), "node", "left")
-        own = own.withColumn("comp", F.coalesce("comp", "node"))
-        stats = own.groupBy("region").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        return own.join(stats.where("lo <> hi").drop("lo", "hi"), "region")
-
-    def across(self, rows: DataFrame) -> DataFrame:
-        """Pairs a, b (na, nb) of different components that meet in a region and are within the bounds by size, place and parts."""
-        rows = rows.select("region", "node", "comp", "n", "pos").join(self.parts.select("node", "parts"), "node")
-        a, b = (rows.select("region", *(F.col(c).alias(f"{c}_{x}") for c in rows.columns if c != "region")) for x in "ab")
-        met = a.join(b, "region").where("node_a < node_b and comp_a <> comp_b")
-        rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-        met = met.where(_linked(rest, F.col("n_a"), F.col("n_b"), self.percent)).where(self.within("parts_a", "parts_b", "n_a", "n_b"))
-        return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb")).distinct()
-
-    def apart(self, pairs: DataFrame) -> DataFrame:
-        """Of the pairs a, b those in different components ca, cb."""
-        comp = lambda x: self.comps.select(F.col("u").alias(x), F.col("comp").alias(f"c{x}"))
-        met = pairs.join(comp("a"), "a", "left").join(comp("b"), "b", "left")
-        met = met.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
-        return met.where("ca <> cb")
+        for cell in inside.T:
+            self.join(rest[cell])
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        tied = np.flatnonzero(self.root != np.arange(len(self.root)))
+        return self.nodes[tied], self.nodes[self.root[tied]]
+
+
+def cells(d: np.ndarray, e: float) -> np.ndarray:
+    """Which cells rows lie in, by their distances d to pivots; cell 0 is the empty set's, whose distance to all is 1."""
+    d = np.column_stack([np.ones(len(d)), d])
+    home = d.argmin(1)
+    least = d[np.arange(len(d)), home]
+    places = np.arange(d.shape[1])
+    return (places == home[:, None]) | ((places < home[:, None]) & (d <= least[:, None] + 2 * e))
+
+
+def region_links(percent: int, whole: bool = False):
+    """The links within each region, as a forest; the recursion is left out if whole (for pairs of blocks)."""
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches):
+            if t.num_rows < 2:
+                continue
+            t = t.combine_chunks()
+            sets = t.column("set").chunk(0)
+            values, at = sets.values.to_numpy(), sets.offsets.to_numpy()
+            r = Region(t.column("node").to_numpy(), [values[a:z].view(np.uint64) for a, z in zip(at[:-1], at[1:])], percent)
+            rows = np.arange(t.num_rows)
+            if whole:
+                r.compare(rows, rows)
+            else:
+                r.join(rows)
+            a, b = r.links()
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return joined
+
+
+class Join:
+    """One join of classes (node, text_key, n, anchors, parts)."""
+
+    def __init__(self, tables: Tables, classes: DataFrame, docs: DataFrame, text_col: str, size: int, percent: int):
+        self.tables, self.classes, self.docs, self.text_col, self.size, self.percent = tables, classes, docs, text_col, size, percent
+        self.sets = None
+
+    def regions(self) -> DataFrame:
+        """region (its pivot), node: the classes that meet pivots."""
+        entries = self.classes.select("node", "n", F.posexplode("anchors").alias("pos", "anchor"))
+        entries = entries.select("anchor", "node", "n", (F.col("n") - F.col("pos")).cast("int").alias("rest"))
+        # ranges of (anchor, node) deal out even an anchor that a third of all classes have
+        dealt = entries.repartitionByRange("anchor", "node").sortWithinPartitions("anchor", "node")
+        met = self.tables.cut(dealt.mapInArrow(shared, entries.schema))
+        stats = met.groupBy("anchor").agg(
+            F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("rest").alias("rest"),
+            F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("pivot"),
+        )
+        # what stands before the first common shingle is not shared, so two sets share rest shingles at most
+        stats = stats.where((F.col("c") > 2) | (F.col("c") == 2) & _linked(F.col("rest"), F.col("lo"), F.col("hi"), self.percent))
+        found = met.join(stats.select("anchor", F.col("pivot.node").alias("region")), "anchor")
+        out = self.tables.cut(found.select("region", "node").distinct())
+        self.tables.free(met)
+        return out
+
+    def by_size(self, rows: DataFrame, shingles: bool) -> tuple[DataFrame, DataFrame]:
+        """Rows of regions (region, node, and n if shingles) within the bounds of a task, and the others."""
+        weight = F.sum("n") if shingles else F.lit(0)
+        stats = rows.groupBy("region").agg(F.count("*").alias("c"), weight.alias("w")).where("c > 1")
+        within = (F.col("c") <= CELL_ROWS) & (F.col("w") <= CELL_SHINGLES)
+        return tuple(rows.join(stats.where(x).select("region", "c"), "region") for x in (within, ~within))
+
+    def bounded(self, regions: DataFrame) -> DataFrame:
+        """The rows of regions with another class that sizes allow to be near. Large regions stay as they are."""
+        few, many = self.by_size(regions, False)
+        sized = few.select("region", "node").join(self.classes.select("node", "n", "parts"), "node").select("region", "node", "n", "parts")
+        percent = self.percent
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in grouped(batches):
+                keep = near_bound(t.column(2).to_numpy().astype(np.int64), t.column(3).to_pylist(), percent)
+                yield from t.select([0, 1]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+        kept = sized.repartition("region").sortWithinPartitions("region").mapInArrow(near, "region bigint, node bigint")
+        return self.tables.cut(kept.unionByName(many.select("region", "node")))
+
+    def with_sets(self, rows: DataFrame, whole: bool = False) -> DataFrame:
+        """Links within the regions of rows, each region in a task."""
+        met = rows.select("region", "node").join(self.sets, "node").select("region", "node", "set")
+        return met.repartition("region").sortWithinPartitions("region").mapInArrow(region_links(self.percent, whole), "a bigint, b bigint")
+
+    def split(self, rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Large regions as cells of pivots; the rows of those that cells do not split; the links to pivots."""
+        nth = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("node", F.lit(level)), "node"))
+        pivots = self.tables.cut(rows.withColumn("j", nth).where(F.col("j") <= PIVOTS).select("region", "j", F.col("node").alias("pivot")))
+        pairs = rows.join(pivots, "region").select("region", "c", "node", "n", "j", "pivot")
+        plain = self.tables.cut(pairs.where("node <> pivot").select("node", "pivot").distinct())
+        mine, other = self.sets, self.sets.select(F.col("node").alias("pivot"), F.col("n").alias("np"), F.col("set").alias("sp"))
+        met = plain.join(mine, "node").join(other, "pivot").withColumn("inter", F.size(F.array_intersect("set", "sp")))
+        far = self.tables.cut(met.select("node", "pivot", (1 - F.col("inter") / (F.col("n") + F.col("np") - F.col("inter"))).alias("d"),
+                                         _linked(F.col("inter"), F.col("n"), F.col("np"), self.percent).alias("linked")))
+        links = far.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+        # a pivot of the region has been compared with all of it
+        rest = pairs.join(pivots.select("region", F.col("pivot").alias("node")), ["region", "node"], "left_anti").join(far, ["node", "pivot"])
+        own = rest.groupBy("region", "c", "node", "n").agg(
+            F.min(F.struct("d", "j")).alias("home"), F.min(F.when(F.col("linked"), F.col("j"))).alias("to"), F.collect_list(F.struct("j", "d")).alias("all")
+        )
+        near, limit = F.least(F.col("home.d"), F.lit(1.0)), 2 * (1 - self.percent / 100 + 1e-9)
+        home = F.when(F.col("home.d") < 1, F.col("home.j")).otherwise(0)
+        others = F.transform(F.filter("all", lambda x: (x["j"] < home) & (x["d"] <= near + limit)), lambda x: x["j"])
+        outer = F.when((home > 0) & (near + limit >= 1), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+        placed = self.tables.cut(own.select("region", "c", "node", "n", "to", F.concat(F.array(home), others, outer).alias("js")))
+        in_cells = placed.select("region", "c", "node", "n", "to", F.explode("js").alias("j"))
+        held = in_cells.groupBy("region", "c", "j").agg(F.count("*").alias("m"), F.count("to").alias("tied"), F.min("to").alias("t0"), F.max("to").alias("t1"))
+        most = held.groupBy("region").agg((F.max("m") > UNSPLIT * F.first("c")).alias("whole"))
+        done = (F.col("m") == F.col("tied")) & (F.col("t0") == F.col("t1"))  # all linked to one pivot
+        live = held.where(~F.coalesce(done, F.lit(False)) & (F.col("m") > 1)).join(most.where("not whole"), "region").select("region", "j")
+        name = F.xxhash64("region", "j", F.lit(level)).alias("region")
+        smaller = self.tables.cut(in_cells.join(live, ["region", "j"]).select(name, "node", "n"))
+        stuck = self.tables.cut(placed.join(most.where("whole"), "region").select("region", "c", "node", "n"))
+        links = self.tables.cut(links)
+        self.tables.free(pivots, plain, far, placed)
+        return smaller, stuck, links
+
+    def blocks(self, rows: DataFrame) -> DataFrame:
+        """Pairs of blocks of the regions of rows, each a region of its own."""
+        total = rows.groupBy("region").agg(F.sum("n").alias("w"))
+        rows = rows.join(total, "region")
+        n = F.greatest(F.ceil(2 * F.col("c") / F.lit(CELL_ROWS)), F.ceil(2 * F.col("w") / F.lit(CELL_SHINGLES))).cast("int")
+        own = F.pmod(F.xxhash64("node", F.lit("block")), n).cast("int")
+        dealt = rows.select("region", "node", own.alias("i"), F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
+        return dealt.select(F.xxhash64("region", F.least("i", "k"), F.greatest("i", "k")).alias("region"), "node")
 
     def run(self) -> DataFrame:
         """u, comp of the classes that have links."""
-        pivots = self.regions.groupBy("region").agg(F.min(F.struct("n", "node")).alias("pivot"))
-        star = self.regions.join(pivots, "region").where("node <> pivot.node").select(F.col("pivot.node").alias("a"), F.col("node").alias("b"))
-        self.add(self.measure(self.near(star.distinct())))
-        regions, level = self.regions.select("region", "node", "n", "pos"), 0
+        t = self.tables
+        met = self.regions()
+        rows = self.bounded(met)
+        wanted = t.cut(rows.select("node").distinct().join(self.classes.select("node", "text_key"), "node"))
+        self.sets = t.cut(sets_of(self.docs, self.text_col, self.size, wanted))
+        rows = rows.join(self.classes.select("node", "n"), "node").select("region", "node", "n")
+        found, level = [], 0
         while True:
-            rows = cut(self.live(regions))
-            if rows.isEmpty():
-                return self.comps
-            todo = self.across(rows.where(F.col("c") <= SMALL))
-            many = rows.where(F.col("c") > SMALL)
+            few, many = self.by_size(rows, True)
+            found.append(t.cut(self.with_sets(few)))
+            many = t.cut(many)
             if many.isEmpty():
-                self.add(self.measure(todo))
-                return self.comps
-            regions, stuck = self.cells(many, level)
-            self.add(self.measure(todo.unionByName(self.across(stuck)).distinct()))
+                break
+            rows, stuck, links = self.split(many, level)
+            found += [links, t.cut(self.with_sets(self.blocks(stuck), whole=True))]
             level += 1
-
-    def cells(self, rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-        """Large regions as the cells of several pivots, and the rows of those that cells do not split; adds the links to pivots."""
-        nth = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("node", F.lit(level)), "node"))
-        pivots = rows.withColumn("j", nth).where(F.col("j") <= PIVOTS).select("region", "j", F.col("node").alias("a"))
-        pairs = rows.join(pivots, "region").select("region", "j", "a", F.col("node").alias("b"))
-        sized = lambda x: self.parts.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"))
-        plain = pairs.select("a", "b").distinct().join(sized("a"), "a").join(sized("b"), "b")
-        found = cut(self.measure(plain))
-        self.add(found.where("a <> b"))
-        far = 1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))
-        apart = pairs.join(found.select("a", "b", far.alias("d")), ["a", "b"])
-        least = apart.groupBy("region", F.col("b").alias("node")).agg(F.min(F.struct("d", "j")).alias("home"), F.collect_list(F.struct("j", "d")).alias("all"))
-        e = self.reach + 1e-9
-        inside = F.col("home.d") <= RADIUS
-        limit = F.when(inside, F.least(F.col("home.d") + 2 * e, F.lit(RADIUS + e))).otherwise(RADIUS + e)
-        others = F.transform(F.filter("all", lambda x: x["d"] <= F.col("limit")), lambda x: x["j"])
-        homes = F.array(F.when(inside, F.col("home.j")).otherwise(0))
-        placed = cut(least.withColumn("limit", limit).select("region", "node", F.array_union(homes, others).alias("js")))
-        held = [F.sum(F.array_contains("js", j).cast("int")) for j in range(PIVOTS + 1)]
-        whole = placed.groupBy("region").agg((F.greatest(*held) > 0.9 * F.count("*")).alias("whole"))
-        placed = placed.join(whole, "region").join(rows.select("region", "node", "comp", "n", "pos"), ["region", "node"])
-        met = placed.where("not whole").select(F.col("region").alias("old"), "node", "n", "pos", F.explode("js").alias("j"))
-        split = cut(met.select(F.xxhash64("old", "j", F.lit(level)).alias("region"), "node", "n", "pos"))
-        return split, placed.where("whole")
+        links = found[0]
+        for f in found[1:]:
+            links = links.unionByName(f)
+        return components(t, links, "a", "b")
 
 
 def _placed(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """id, text_key, rid, n, node (class) and comp of every row of docs."""
-    rarity = None if Rings(percent).full() else word_counts(docs, text_col)
-    rows = cut(sketches(docs, id_col, text_col, size, percent, rarity).withColumn("rid", F.monotonically_increasing_id()))
+    t = Tables(docs.sparkSession)
+    rows = t.cut(sketches(docs, id_col, text_col, size, percent, rarity(docs, text_col, size)).withColumn("rid", F.monotonically_increasing_id()))
     key = ["n", "d1", "d2"]
     firsts = [F.first(c).alias(c) for c in ("text_key", "anchors", "parts")]
-    classes = cut(rows.where("n > 0").groupBy(*key).agg(F.min("rid").alias("node"), *firsts))
-    comps = Join(classes, docs, text_col, size, percent, rarity is not None).run().withColumnRenamed("u", "node")
+    classes = t.cut(rows.where("n > 0").groupBy(*key).agg(F.min("rid").alias("node"), *firsts))
+    comps = Join(t, classes, docs, text_col, size, percent).run().withColumnRenamed("u", "node")
     classed = rows.select("id", "text_key", "rid", *key).join(classes.select(*key, "node"), key, "left")
     classed = classed.withColumn("node", F.coalesce("node", "rid"))
     placed = classed.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    return cut(placed.select("id", "text_key", "rid", "n", "node", "comp"))
+    out = cut(placed.select("id", "text_key", "rid", "n", "node", "comp"))
+    t.close()
+    return out
 
 
 def jaccard_components(
@@ -401,7 +518,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The row with the least id of each component, with its columns as they were; of rows that repeat id and text, one."""
     placed = _placed(docs, id_col, text_col, size, percent)
     stay = placed.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull(), "id", "rid", "text_key")).alias("s"))
-    stay = stay.select(F.col("s.id").alias("__id"), F.col("s.text_key").alias("__key"))
-    rows = docs.withColumn("__row_key", F.xxhash64(docs[text_col].cast("string")))
-    met = rows.join(stay, rows["__row_key"].eqNullSafe(stay["__key"]) & rows[id_col].eqNullSafe(stay["__id"]), "left_semi")
-    return met.dropDuplicates(["__row_key", id_col]).drop("__row_key")
+    return keep_rows(docs, F.xxhash64(docs[text_col].cast("string")), id_col, stay.select(F.col("s.text_key").alias("key"), F.col("s.id").alias("id")))
+

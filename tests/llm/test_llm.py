@@ -39,9 +39,9 @@ def lowered(t):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
 
 
-@pytest.mark.parametrize("share", [1 / 256, 0.01])
-def test_exact_dedup(odd, none, share):
-    got = [r.asDict() for r in exact_dedup(odd, hot_share=share, salts=3).collect()]
+@pytest.mark.parametrize("salts", [1, 3])
+def test_exact_dedup(odd, none, salts):
+    got = [r.asDict() for r in exact_dedup(odd.repartition(5), salts=salts).collect()]
     assert len(got) == len(ROWS) and exact_dedup(none).count() == 0
     groups = {}
     for i, t, _ in ROWS:
@@ -69,19 +69,23 @@ def brute_components(texts, size, percent):
     return sets, comp
 
 
-@pytest.mark.parametrize("small,percent,size", [(48, 90, 3), (2, 90, 3), (48, 80, 5), (2, 60, 2)])
-def test_jaccard_components(spark, monkeypatch, small, percent, size):
-    monkeypatch.setattr(jaccard_join, "SMALL", small)
-    rng = random.Random(small)
+def near_copies(seed, groups=12, copies=6, edits=4):
+    rng = random.Random(seed)
     texts = []
-    for _ in range(12):
+    for _ in range(groups):
         base = [rng.choice("abcdefghijklmnop") + rng.choice("xyz") for _ in range(rng.choice([3, 30, 60]))]
-        for _ in range(6):
+        for _ in range(copies):
             words = list(base)
-            for _ in range(rng.randrange(4)):
+            for _ in range(rng.randrange(edits)):
                 words[rng.randrange(len(words))] = rng.choice("qrstuv")
             texts.append(" ".join(words))
-    texts += [t for _, t, _ in ROWS]
+    return texts
+
+
+@pytest.mark.parametrize("rows,percent,size", [(512, 90, 3), (4, 90, 3), (512, 80, 5), (12, 60, 2)])
+def test_jaccard_components(spark, monkeypatch, rows, percent, size):
+    monkeypatch.setattr(jaccard_join, "CELL_ROWS", rows)  # small: regions are split and dealt out in blocks
+    texts = near_copies(rows) + [t for _, t, _ in ROWS]
     sets, comp = brute_components(texts, size, percent)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r.doc_id: r for r in jaccard_join.jaccard_components(df, size=size, percent=percent).collect()}
@@ -90,20 +94,70 @@ def test_jaccard_components(spark, monkeypatch, small, percent, size):
     assert stay == set(comp)
 
 
-@pytest.mark.parametrize("percent", [90, 95])
-def test_linked_sets_share_a_region(percent):
-    rings, rng, met = jaccard_join.Rings(percent), np.random.default_rng(percent), 0
-    made = lambda n: jaccard_join.mixed(rng.integers(0, 2**63, n, dtype=np.uint64))
-    for _ in range(3000):
-        n = int(rng.integers(1, 150))
-        most = n * (100 - percent) // 100 + 2
-        a = np.unique(made(n))
-        b = np.unique(np.concatenate([rng.permutation(a)[rng.integers(0, most) :], made(rng.integers(0, most))]))
-        inter, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
-        if inter and 100 * inter >= percent * union and not np.array_equal(a, b):
-            met += 1
-            assert len(np.intersect1d(jaccard_join.ring_regions(a, rings), jaccard_join.ring_regions(b, rings)))
-    assert met > 500
+def test_jaccard_large_groups(spark, monkeypatch):
+    """Hundreds of near copies, some linked to each other only through others, in one region that is split level by level."""
+    monkeypatch.setattr(jaccard_join, "CELL_ROWS", 64)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    texts = []
+    for n, edits in ((300, 3), (150, 9), (40, 30)):
+        base = [rng.choice(words) for _ in range(60)]
+        for k in range(n):
+            copy = list(base)
+            for _ in range(rng.randrange(edits)):
+                copy[rng.randrange(60)] = f"e{rng.randrange(2000)}"
+            texts.append(" ".join(copy))
+    _, comp = brute_components(texts, 3, 90)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df).collect()} == dict(enumerate(comp))
+    assert len(set(comp)) > 20
+
+
+def made_sets(rng, groups, n=40):
+    made = lambda k: jaccard_join.mixed(rng.integers(0, 2**63, k, dtype=np.uint64))
+    out = []
+    for _ in range(groups):
+        base = np.unique(made(int(rng.integers(1, 150))))
+        for _ in range(n):
+            out.append(np.unique(np.concatenate([rng.permutation(base)[rng.integers(0, len(base) // 5 + 1) :], made(rng.integers(0, len(base) // 8 + 2))])))
+    return out
+
+
+@pytest.mark.parametrize("percent,leaf,pivots", [(90, 4, 3), (80, 32, 8), (60, 2, 2)])
+def test_a_region_is_joined_whole(monkeypatch, percent, leaf, pivots):
+    monkeypatch.setattr(jaccard_join, "LEAF", leaf)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
+    monkeypatch.setattr(jaccard_join, "COLUMNS", 64)
+    sets = made_sets(np.random.default_rng(percent), 6)
+    r = jaccard_join.Region(np.arange(len(sets)), sets, percent)
+    r.join(np.arange(len(sets)))
+    want = list(range(len(sets)))
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
+            inter = len(np.intersect1d(x, y))
+            if 100 * inter >= percent * (len(x) + len(y) - inter):
+                lo, hi = sorted((want[a], want[b]))
+                want = [lo if c == hi else c for c in want]
+    got = {}
+    for i, root in zip(r.nodes.tolist(), r.root.tolist()):
+        got.setdefault(root, set()).add(i)
+    assert {frozenset(g) for g in got.values()} == {frozenset(i for i, c in enumerate(want) if c == k) for k in set(want)}
+    kept = jaccard_join.near_bound(np.array([len(s) for s in sets]), [jaccard_join.part_sizes(s).astype(np.uint16).tobytes() for s in sets], percent)
+    assert all(kept[i] for i, c in enumerate(want) if want.count(c) > 1)
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_linked_sets_share_a_rare_shingle(percent):
+    rng, met = np.random.default_rng(percent), 0
+    order = lambda s: s[np.argsort(jaccard_join.mixed(s ^ np.uint64(7)).astype(np.uint8), kind="stable")]
+    sets = made_sets(rng, 20, 12)
+    for a, x in enumerate(sets):
+        for y in sets[:a]:
+            inter = len(np.intersect1d(x, y))
+            if inter and 100 * inter >= percent * (len(x) + len(y) - inter):
+                met += 1
+                assert len(np.intersect1d(*(order(s)[: jaccard_join.window(len(s), percent)] for s in (x, y))))
+    assert met > 20
 
 
 def test_jaccard_odd_tables(odd, none):
