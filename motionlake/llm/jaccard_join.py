@@ -5,11 +5,12 @@ one class; classes within e = 1 - t of each other are linked.
 
 1. Pivots. A document is at distance 1 from nearly every other, so pivots drawn at random
    would leave all documents in every window. A pivot is therefore drawn where documents
-   can be near each other at all: a linked pair shares one of the first n - ceil(t * n) + 1
-   shingles of either set in one global order, rarest first, so all classes that have a
-   shingle among these meet there, and of each meeting the class with the least hash is a
-   pivot. Its region holds the classes that met it; a linked pair meets in the region of the
-   pivot of its first common shingle.
+   can be near each other at all: a linked pair shares ``COMMON`` of the first
+   n - ceil(t * n) + COMMON shingles of either set in one global order, rarest first, so all
+   classes that have a shingle among these meet there, and of each meeting the class with the
+   least hash is a pivot. Its region holds the classes that met it; a linked pair meets in the
+   region of the pivot of its first common shingle. Two classes that only ever meet alone
+   must do so COMMON times, and with enough shingles left after the first time.
 2. Windows about the empty set and its likes. The distance of a set to the empty set is its
    size, in all shingles or in any part of them. By the triangle inequality these sizes
    bound the symmetric difference of two sets from below; a class that has no other class of
@@ -64,6 +65,7 @@ SUM_SALTS = 64
 CELL_ROWS = 512
 CELL_SHINGLES = 1 << 20
 LEAF = 32
+COMMON = 3
 PIVOTS = 8
 UNSPLIT = 0.75
 COLUMNS = 4096
@@ -111,8 +113,8 @@ def shingles(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def window(n: int, percent: int) -> int:
-    """How many shingles of n, in any order, must hold one of every linked set's."""
-    return n - (percent * n + 99) // 100 + 1
+    """How many shingles of n, in any order, must hold COMMON of every linked set's (all of them, where they are fewer)."""
+    return min(n, n - (percent * n + 99) // 100 + COMMON)
 
 
 @dataclass
@@ -388,11 +390,19 @@ class Join:
         stats = met.groupBy("anchor").agg(
             F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("rest").alias("rest"),
             F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("pivot"),
-        )
-        # what stands before the first common shingle is not shared, so two sets share rest shingles at most
-        stats = stats.where((F.col("c") > 2) | (F.col("c") == 2) & _linked(F.col("rest"), F.col("lo"), F.col("hi"), self.percent))
-        found = met.join(stats.select("anchor", F.col("pivot.node").alias("region")), "anchor")
-        out = self.tables.cut(found.select("region", "node").distinct())
+        ).where("c > 1").select("anchor", "c", "lo", "hi", "rest", F.col("pivot.node").alias("region"))
+        found = met.select("anchor", "node").join(stats, "anchor").where("node <> region")
+        alone = F.col("c") == 2
+        found = found.groupBy("region", "node").agg(
+            F.max("c").alias("c"), F.count_if(alone).alias("k"), F.max(F.when(alone, F.col("rest"))).alias("rest"), F.max("lo").alias("lo"), F.max("hi").alias("hi")
+        )
+        # a pair that always meets alone has its first common shingle here; what stands before that is not shared
+        least = F.least(F.lit(COMMON), F.ceil(self.percent * F.col("hi") / 100))
+        near = (F.col("k") >= least) & _linked(F.col("rest"), F.col("lo"), F.col("hi"), self.percent)
+        found = self.tables.cut(found.where((F.col("c") > 2) | near).select("region", "node"))
+        own = found.select("region", F.col("region").alias("node")).distinct()
+        out = self.tables.cut(found.unionByName(own))
+        self.tables.free(found)
         self.tables.free(met)
         return out
 
