@@ -11,7 +11,10 @@ Each page is matched against its host's wrapper. A text that meets a constant of
 wrapper, required or optional, is template and goes, wherever it stands; what meets a
 slot or a repeated group (whose texts are slots) varies and may be content. A constant
 counts only with ``WITNESSES`` pages of different content that have it: one page, or
-copies of one, do not tell template from content. Constants have 80 characters at most.
+copies of one, do not tell template from content. Wrappers hold 64-bit hashes of constants.
+
+Elements nested more than ``DEPTH`` deep are read as content of the one at that depth, as
+browsers do, so one odd page takes no more time than its length asks for.
 
 Among what varies, the paths of elements are a hint: those below the content root
 (an article, else a main element, else the body) are content, but for those that
@@ -37,12 +40,14 @@ import html
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +56,7 @@ from .common import cut
 BROADCAST_CHARS = 32_000_000
 SALTS = 64
 WITNESSES = 3
-CONSTANT_CHARS = 80
+DEPTH = 150
 
 # HTML elements by how they are read.
 RAW = frozenset("script style noscript template iframe object svg math textarea title".split())
@@ -80,31 +85,72 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
+_PLAIN = re.compile(r"[A-Za-z_-]+")
 SLOT = "#"
 
 
 def label(name: str, attributes: str) -> str:
-    """An element's name, with what its class, id and role say of page furniture."""
+    """An element's name, with what its class, id and role say of page furniture, and its class names without figures."""
     if "=" not in attributes:
         return name
-    words = {w.lower() for _, a, b, c in _ATTRIBUTE.findall(attributes) for w in _WORD.findall(a or b or c)}
+    found = [(kind.lower(), a or b or c) for kind, a, b, c in _ATTRIBUTE.findall(attributes)]
+    words = {w.lower() for _, x in found for w in _WORD.findall(x)}
     marks = sorted(words & FURNITURE_WORDS) + (["main"] if "main" in words and name != "main" else [])
-    return ".".join([name, *marks])
+    classes = sorted({x for kind, value in found if kind == "class" for x in value.split() if _PLAIN.fullmatch(x)})
+    return ".".join([name, *marks]) + ("~" + ".".join(classes) if classes else "")
+
+
+def marks_of(element: str) -> list[str]:
+    """The name and marks of a label."""
+    return element.partition("~")[0].split(".")
+
+
+class Nesting:
+    """The open elements. The path has the labels of the outer DEPTH of them."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.open: Counter = Counter()
+        self.path: tuple[str, ...] = ()
+
+    def push(self, name: str, label: str) -> bool:
+        """Whether the element is on the path."""
+        self.names.append(name)
+        self.open[name] += 1
+        if len(self.names) > DEPTH:
+            return False
+        self.path += (label,)
+        return True
+
+    def pop(self) -> bool:
+        """Whether the element was on the path."""
+        self.open[self.names.pop()] -= 1
+        if len(self.names) >= DEPTH:
+            return False
+        self.path = self.path[:-1]
+        return True
+
+    def place(self, name: str) -> int:
+        """Of the innermost open element of this name."""
+        return len(self.names) - 1 - self.names[::-1].index(name)
 
 
 def stream(page: str) -> Iterator[tuple[str, tuple[str, ...], str]]:
     """(kind, path, text): '<' and '>' for block tags, SLOT for texts, '|' for a line break."""
-    stack: list[str] = []
+    on = Nesting()
     at, n = 0, len(page)
 
-    def name_of(x: str) -> str:
-        return x.partition(".")[0]
+    def closed(k: int) -> Iterator[tuple[str, tuple[str, ...], str]]:
+        """Closes elements until k are open."""
+        while len(on.names) > k:
+            path = on.path
+            yield from [(">", path, "")] if on.pop() else []
 
     while at < n:
         m = _TOKEN.search(page, at)
         upto = m.start() if m else n
         if upto > at:
-            yield SLOT, tuple(stack), page[at:upto]
+            yield SLOT, on.path, page[at:upto]
         if not m:
             return
         at = m.end()
@@ -118,42 +164,31 @@ def stream(page: str) -> Iterator[tuple[str, tuple[str, ...], str]]:
                 at = close.end() if close else n
             continue
         if name == "br":
-            yield "|", tuple(stack), ""
+            yield "|", on.path, ""
             continue
         if name not in BLOCKS:
             continue
-        names = [name_of(x) for x in stack]
         if end:
-            if name in names:
-                k = len(names) - 1 - names[::-1].index(name)
-                while len(stack) > k:
-                    yield ">", tuple(stack), ""
-                    stack.pop()
+            if on.open[name]:
+                yield from closed(on.place(name))
             continue
-        if name in ENDS_P and "p" in names:
-            k = len(names) - 1 - names[::-1].index("p")
-            while len(stack) > k:
-                yield ">", tuple(stack), ""
-                stack.pop()
-            names = names[:k]
-        if name in CLOSERS:
+        if name in ENDS_P and on.open["p"]:
+            yield from closed(on.place("p"))
+        if name in CLOSERS and any(on.open[x] for x in CLOSERS[name]):
             stop = SCOPES.get(name, set())
-            for k in range(len(names) - 1, -1, -1):
-                if names[k] in stop:
+            for k in range(len(on.names) - 1, -1, -1):
+                if on.names[k] in stop:
                     break
-                if names[k] in CLOSERS[name]:
-                    while len(stack) > k:
-                        yield ">", tuple(stack), ""
-                        stack.pop()
+                if on.names[k] in CLOSERS[name]:
+                    yield from closed(k)
                     break
-        stack.append(label(name, m["rest"] or ""))
-        yield "<", tuple(stack), ""
+        if on.push(name, label(name, m["rest"] or "")):
+            yield "<", on.path, ""
+        else:
+            yield "|", on.path, ""  # too deep for a level of its own, but its text is apart
         if name in EMPTY:
-            yield ">", tuple(stack), ""
-            stack.pop()
-    while stack:
-        yield ">", tuple(stack), ""
-        stack.pop()
+            yield from closed(len(on.names) - 1)
+    yield from closed(0)
 
 
 # A wrapper is a list of items: ["<", path], [">", path], ["#", path, text or None for a slot, witnesses], ["?", items], ["+", items].
@@ -281,8 +316,9 @@ def text_runs(tokens: list[tuple]) -> tuple[list, list[str], list[int | None]]:
     return items, [" ".join("".join(p).split()) for p in parts], of
 
 
-def constant(text: str) -> str | None:
-    return text if len(text) <= CONSTANT_CHARS else None
+def constant(text: str) -> str:
+    """What tells two texts apart."""
+    return xxhash.xxh64_hexdigest(text.encode("utf-8", "surrogatepass"))
 
 
 def page_items(page: str) -> list:
@@ -340,7 +376,7 @@ def met_constants(known: list, items: list) -> set[int]:
 
 
 def furniture(element: str) -> bool:
-    name, *marks = element.split(".")
+    name, *marks = marks_of(element)
     return name in FURNITURE or any(m != "main" for m in marks)
 
 
@@ -348,7 +384,7 @@ def content_paths(wrapper: list) -> frozenset[str]:
     """The paths of a wrapper's texts that are main text, template texts aside."""
     plain = [p for p in slot_paths(wrapper, varying=True) if not any(furniture(e) for e in p.split("/"))]
     for root in ("article", "main"):
-        below = [p for p in plain if any(root in e.split(".") for e in p.split("/"))]
+        below = [p for p in plain if any(root in marks_of(e) for e in p.split("/"))]
         if below:
             return frozenset(below)
     return frozenset(plain)
