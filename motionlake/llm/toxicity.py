@@ -1,16 +1,23 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Three transducers are composed per clause:
+A transducer reads symbols and writes them on, with marks; composed(), one reads what the
+other writes. The grammar of a clause is the composition of
 
 * lexical: word -> class symbol with a weight. Insults come from a seed list and
   from labelled rows (words and word beginnings whose log-odds of standing in a
   toxic text are high); threats, targets, negation and reported speech are seed
   lists;
-* pattern: class symbols -> matches. An insult or threat opens a match; a target
-  within ``REACH`` words of it strengthens the match, a negation shortly before it
-  weakens it and a cue of reported speech earlier in the clause weakens it too;
-* clause: the match weights of a clause add up with falling gain and the clause
-  emits its score at its end.
+* negation: marks the ``REACH`` symbols after a negation;
+* reported speech: marks what follows its cue up to the clause's end;
+* target: marks the ``REACH`` symbols after a target;
+* aim: an insult or threat that no target stands before waits ``REACH`` symbols for one (the
+  latest, where several wait), which is then marked with it;
+* weight: an insult weighs what its word does, a threat only with a target; a target that
+  is marked weighs too; negation and reported speech weaken.
+
+The composition is compiled into one table of states and symbols, and a text is one run
+through it. The weights of a clause add up with falling gain at its end, so clauses are
+scored, not words.
 
 A text's score is a logistic function of its strongest clause, the sum over its
 clauses (logarithmic) and the number of matched clauses; its coefficients are
@@ -29,8 +36,10 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache, reduce
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +58,8 @@ NEGATIONS = "not never no isn't aren't wasn't don't doesn't pas jamais nicht kei
 REPORTS = """said says say claimed called quoted reported wrote allegedly dit disait écrit déclaré sagte schrieb
 behauptete dijo escribió llamó según laut selon""".split()
 
-NONE, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+NONE, INSULT, THREAT, TARGET, NEGATION, REPORT, END = SYMBOLS = range(7)
+NEGATED, REPORTED, AIMED = "negated", "reported", "aimed"
 SEED_WEIGHT = 4.0
 REACH = 4
 TARGET_GAIN, NEGATION_GAIN, REPORT_GAIN = 1.25, 0.4, 0.6
@@ -94,11 +104,110 @@ def seed_lexicon() -> Lexicon:
     return Lexicon(words | {w: (THREAT, 0.0) for w in THREATS} | {w: (INSULT, SEED_WEIGHT) for w in INSULTS})
 
 
+@dataclass(frozen=True)
+class Transducer:
+    """Deterministic. step takes a state and what is read to the next state and what is written."""
+
+    start: Hashable
+    step: Callable[[Hashable, Any], tuple[Hashable, Any]]
+
+
+def composed(first: Transducer, second: Transducer) -> Transducer:
+    """second reads what first writes."""
+
+    def step(state, read):
+        a, between = first.step(state[0], read)
+        b, written = second.step(state[1], between)
+        return (a, b), written
+
+    return Transducer((first.start, second.start), step)
+
+
+# All but the last write (symbol, marks) for (symbol, marks).
+
+
+def marker(cue: int, mark: str, reach: int | None) -> Transducer:
+    """Marks the reach symbols after cue, or all up to the clause's end."""
+
+    def step(left, read):
+        symbol, marks = read
+        written = (symbol, marks | {mark}) if left else read
+        if symbol == END:
+            return 0, written
+        if symbol == cue:
+            return reach or 1, written
+        return (left if reach is None else max(left - 1, 0)), written
+
+    return Transducer(0, step)
+
+
+def aim(reach: int) -> Transducer:
+    """Marks a target with the match (kind, its marks) that waits for it. State: the match and how many symbols it still waits."""
+
+    def step(state, read):
+        symbol, marks = read
+        match, left = state
+        if symbol == END:
+            return (None, 0), read
+        if symbol in (INSULT, THREAT) and AIMED not in marks:
+            return ((symbol, marks), reach), read
+        if symbol == TARGET and match:
+            return (None, 0), (symbol, marks | {match})
+        return ((match, left - 1) if left > 1 else (None, 0)), read
+
+    return Transducer((None, 0), step)
+
+
+def gain(marks: frozenset) -> float:
+    return (NEGATION_GAIN if NEGATED in marks else 1.0) * (REPORT_GAIN if REPORTED in marks else 1.0)
+
+
+def weigher() -> Transducer:
+    """Writes (factor of the word's own weight, weight besides)."""
+
+    def step(_, read):
+        symbol, marks = read
+        if symbol == INSULT:
+            return 0, (gain(marks) * (TARGET_GAIN if AIMED in marks else 1.0), 0.0)
+        if symbol == THREAT and AIMED in marks:
+            return 0, (0.0, SEED_WEIGHT * gain(marks))
+        if symbol == TARGET:
+            for kind, own in (m for m in marks if isinstance(m, tuple)):
+                return 0, (0.0, SEED_WEIGHT * gain(own) * (TARGET_GAIN - 1 if kind == INSULT else 1.0))
+        return 0, (0.0, 0.0)
+
+    return Transducer(0, step)
+
+
+def grammar_parts(reach: int = REACH) -> Transducer:
+    parts = [marker(NEGATION, NEGATED, reach), marker(REPORT, REPORTED, None), marker(TARGET, AIMED, reach), aim(reach), weigher()]
+    return reduce(composed, parts)
+
+
+@lru_cache(maxsize=4)
+def compiled(reach: int = REACH) -> tuple[list[list[int]], list[list[tuple[float, float]]]]:
+    """The states that can be reached, as two tables: next state and what is written, by state and symbol."""
+    machine = grammar_parts(reach)
+    place, todo, after, written = {machine.start: 0}, [machine.start], [], []
+    for state in todo:  # grows
+        after.append([])
+        written.append([])
+        for symbol in SYMBOLS:
+            new, out = machine.step(state, (symbol, frozenset()))
+            if new not in place:
+                place[new] = len(place)
+                todo.append(new)
+            after[-1].append(place[new])
+            written[-1].append(out)
+    return after, written
+
+
 class Grammar:
-    """Composes the transducers over a text; remembers the symbols of words it has seen."""
+    """Runs the compiled grammar over texts; remembers the symbols of words it has seen."""
 
     def __init__(self, lexicon: Lexicon):
-        self.lexicon, self.known, self.hits = lexicon, {}, set()
+        self.lexicon, self.known = lexicon, {}
+        self.after, self.written = compiled()
 
     def clauses(self, text: str | None) -> list[float]:
         """Scores of the clauses with a match, in order."""
@@ -115,37 +224,21 @@ class Grammar:
         symbols = [known[w] for w in words]
         if not any(s[1] > 0 or s[0] == THREAT for s in symbols):
             return []
-        out: list[float] = []
-        at = negated = target = -99
-        reported, matches = False, []
-
-        def close() -> None:
-            kept = sorted((m[1] for m in matches if m[1] > 0), reverse=True)
-            if kept:
-                out.append(sum(x * 0.6**i for i, x in enumerate(kept)))
-
-        for at, (kind, weight, ends) in enumerate(symbols):
-            if kind == REPORT:
-                reported = True
-            elif kind == NEGATION:
-                negated = at
-            elif kind == TARGET:
-                target = at
-                for m in matches:
-                    if not m[2] and at - m[0] <= REACH:
-                        m[1], m[2] = (m[1] * TARGET_GAIN if m[3] == INSULT else SEED_WEIGHT * m[4]), True
-            elif kind in (INSULT, THREAT):
-                gain = (NEGATION_GAIN if at - negated <= REACH else 1.0) * (REPORT_GAIN if reported else 1.0)
-                aimed = at - target <= REACH
-                if kind == INSULT:
-                    matches.append([at, weight * gain * (TARGET_GAIN if aimed else 1.0), aimed, kind, gain])
-                else:  # a threat needs a target
-                    matches.append([at, SEED_WEIGHT * gain if aimed else 0.0, aimed, kind, gain])
+        return self.run(symbols)
+
+    def run(self, symbols: list[tuple[int, float, bool]]) -> list[float]:
+        """symbols: class, weight, and whether the clause ends after it."""
+        after, written, state, matches, out = self.after, self.written, 0, [], []
+        for kind, weight, ends in [*symbols, (NONE, 0.0, True)]:
+            factor, more = written[state][kind]
+            state = after[state][kind]
+            if factor or more:
+                matches.append(factor * weight + more)
             if ends:
-                close()
-                negated = target = -99
-                reported, matches = False, []
-        close()
+                state = after[state][END]
+                if matches:
+                    out.append(sum(x * 0.6**i for i, x in enumerate(sorted(matches, reverse=True))))
+                    matches = []
         return out
 
     def features(self, text: str | None) -> tuple[float, float, float]:
@@ -232,11 +325,11 @@ def learn(texts: list[str], toxic: np.ndarray, folds: int = 4) -> ToxicityModel:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, sample: int, id_col: str, text_col: str):
-    """At most sample labelled rows: those with the smallest hash of their id."""
+    """At most sample labelled rows: those with the smallest hash of their id, and of rows that repeat an id one."""
     ids = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & learnable)
     ids = ids.groupBy(id_col).agg(F.max(label).cast("int").alias("__y"))
     ids = ids.orderBy(F.xxhash64(id_col), id_col).limit(sample)
-    return docs.select(id_col, text_col).join(F.broadcast(ids), id_col).orderBy(id_col)
+    return docs.select(id_col, text_col).join(F.broadcast(ids), id_col).groupBy(id_col).agg(F.min(text_col).alias(text_col), F.max("__y").alias("__y")).orderBy(id_col)
 
 
 def learn_from(
