@@ -2,7 +2,9 @@
 
 Base spans, leftmost and non-overlapping per kind: ``assign``, ``access`` and
 ``hex``. A pattern's spans come from splitting the text at its matches: the gaps
-and the matches, laid end to end, give every offset in code points.
+and the matches, laid end to end, give every offset in code points. Texts are read once,
+into a table of the lengths of gaps and matches; running sums over its rows give the offsets,
+so a text with very many matches costs what they come to and no more.
 
 Linking adds spans of weak kinds. A ``secret`` (40 characters of base64 without
 padding, also directly after a name and ``=``) or an
@@ -21,9 +23,11 @@ doc_id and text each get the same result; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Tables, cut
+
 # The base patterns and their least lengths.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_LEAST = 6
@@ -36,31 +40,18 @@ KINDS = ("assign", "access", "hex", "secret", "endpoint")
 SCOPE = 400
 
 
-def spans_of(text: Column, kind: str, pattern: str, least: Column | None = None) -> Column:
-    """Array of (start, kind's place, end) of the matches of pattern, in order."""
-    size = F.length
+def laid_out(text: Column, kind: str, pattern: str, least: int | None = None) -> Column:
+    """Array of (k, i, g, m, ok): the kind's place, the match's number, the lengths of the gap before it and its own."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    ends = F.aggregate(
-        F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(size(g).alias("g"), size(m).alias("m"))),
-        F.array().cast("array<struct<s:int,k:int,e:int>>"),
-        lambda done, x: F.concat(
-            done,
-            F.array(
-                F.struct(
-                    (F.coalesce(F.try_element_at(done, F.lit(-1))["e"], F.lit(0)) + x["g"]).alias("s"),
-                    F.lit(KINDS.index(kind)).alias("k"),
-                    (F.coalesce(F.try_element_at(done, F.lit(-1))["e"], F.lit(0)) + x["g"] + x["m"]).alias("e"),
-                )
-            ),
-        ),
-    )
+    parts = F.arrays_zip(gaps.alias("gap"), found.alias("hit"))
+    ok = lambda x: F.lit(True)
     if least is not None:
-        held = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        ends = F.transform(
-            F.filter(F.arrays_zip(ends.alias("span"), held.alias("held")), lambda x: size(x["held"]) >= least),
-            lambda x: x["span"],
-        )
-    return F.when(text.rlike(pattern), ends).otherwise(F.array().cast("array<struct<s:int,k:int,e:int>>"))
+        parts = F.arrays_zip(gaps.alias("gap"), found.alias("hit"), F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("held"))
+        ok = lambda x: F.length(x["held"]) >= least
+    whole = F.filter(parts, lambda x: x["hit"].isNotNull())  # the gap after the last match has none
+    row = lambda x, i: F.struct(F.lit(KINDS.index(kind)).alias("k"), i.alias("i"), F.length(x["gap"]).alias("g"), F.length(x["hit"]).alias("m"), ok(x).alias("ok"))
+    none = F.array().cast("array<struct<k:int,i:int,g:int,m:int,ok:boolean>>")
+    return F.when(text.rlike(pattern), F.transform(whole, row)).otherwise(none)
 
 
 def _listed(spans: Column) -> Column:
@@ -73,43 +64,38 @@ def _listed(spans: Column) -> Column:
 
 def _near(weak: DataFrame, parts: DataFrame, scope: int) -> DataFrame:
     """The rows of weak with a part of the same document no more than scope away."""
-    key = ["id", "h"]
     bucket = lambda at: F.floor(at / F.lit(scope)).cast("long")
-    folded = parts.withColumn("b", bucket(F.col("s"))).groupBy(*key, "b").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
-    beside = folded.select(*key, "lo", "hi", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"))
-    bounds = beside.groupBy(*key, "b").agg(F.collect_list(F.struct("lo", "hi")).alias("around"))  # three at most
-    w, p = weak.withColumn("b", bucket(F.col("s"))).alias("w"), bounds.alias("p")
-    met = w.join(p, F.col("w.id").eqNullSafe(F.col("p.id")) & (F.col("w.h") == F.col("p.h")) & (F.col("w.b") == F.col("p.b")))
-    gap = lambda x: F.least(F.abs(F.col("w.s") - x["lo"]), F.abs(F.col("w.s") - x["hi"]))
-    inside = lambda x: (x["lo"] <= F.col("w.s")) & (F.col("w.s") <= x["hi"]) & (bucket(x["lo"]) == F.col("w.b"))
-    return met.where(F.exists("p.around", lambda x: (gap(x) <= scope) | inside(x))).select("w.id", "w.h", "w.s", "w.k", "w.e")
+    folded = parts.withColumn("b", bucket(F.col("s"))).groupBy("rid", "b").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+    beside = folded.select("rid", "lo", "hi", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"))
+    bounds = beside.groupBy("rid", "b").agg(F.collect_list(F.struct("lo", "hi")).alias("around"))  # three at most
+    met = weak.withColumn("b", bucket(F.col("s"))).join(bounds, ["rid", "b"])
+    gap = lambda x: F.least(F.abs(F.col("s") - x["lo"]), F.abs(F.col("s") - x["hi"]))
+    inside = lambda x: (x["lo"] <= F.col("s")) & (F.col("s") <= x["hi"]) & (bucket(x["lo"]) == F.col("b"))
+    return met.where(F.exists("around", lambda x: (gap(x) <= scope) | inside(x))).select("rid", "s", "k", "e")
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """Per row: id, base and linked, arrays of (s, k, e) with k the place in KINDS."""
+    tables = Tables(docs.sparkSession)
     t = F.col("t")
-    rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("t"))
-    seen = rows.select(
-        "id",
-        F.xxhash64("t").alias("h"),
-        F.concat(
-            spans_of(t, "assign", ASSIGN, F.lit(ASSIGN_LEAST)), spans_of(t, "access", ACCESS), spans_of(t, "hex", HEX)
-        ).alias("base"),
-        F.concat(spans_of(t, "secret", SECRET), spans_of(t, "endpoint", ENDPOINT)).alias("weak"),
-    )
-    lone = seen.where((F.size("base") > 0) & (F.size("weak") > 0))
-    parts = lone.select("id", "h", F.inline("base"))
-    weak = lone.select("id", "h", F.inline("weak")).distinct()
-    access = parts.where(F.col("k") == KINDS.index("access"))
-    named = parts.where(F.col("k") <= KINDS.index("access"))
-    linked = _near(weak.where(F.col("k") == KINDS.index("secret")), access, scope).unionByName(
-        _near(weak.where(F.col("k") == KINDS.index("endpoint")), named, scope)
-    )
-    per_doc = linked.groupBy("id", "h").agg(F.collect_list(F.struct("s", "k", "e")).alias("linked"))
-    s, p = seen.alias("s"), per_doc.alias("p")
-    met = s.join(p, F.col("s.id").eqNullSafe(F.col("p.id")) & (F.col("s.h") == F.col("p.h")), "left")
+    rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("t"), F.monotonically_increasing_id().alias("rid"))
+    patterns = (("assign", ASSIGN, ASSIGN_LEAST), ("access", ACCESS), ("hex", HEX), ("secret", SECRET), ("endpoint", ENDPOINT))
+    seen = tables.cut(rows.select("id", "rid", F.concat(*[laid_out(t, *p) for p in patterns]).alias("found")))
+    upto = F.sum(F.col("g") + F.col("m")).over(Window.partitionBy("rid", "k").orderBy("i"))
+    spans = seen.select("rid", F.inline("found")).withColumn("e", upto.cast("int")).where("ok")
+    spans = tables.cut(spans.select("rid", (F.col("e") - F.col("m")).alias("s"), "k", "e"))
+    of = lambda kind: F.col("k") == KINDS.index(kind)
+    linked = _near(spans.where(of("secret")), spans.where(of("access")), scope)
+    linked = linked.unionByName(_near(spans.where(of("endpoint")), spans.where(of("access") | of("assign")), scope))
+    base = spans.where(F.col("k") <= KINDS.index("hex"))
+    kept = base.withColumn("base", F.lit(True)).unionByName(linked.withColumn("base", F.lit(False)))
+    listed = lambda own: F.collect_list(F.when(own, F.struct("s", "k", "e")))
+    per_row = kept.groupBy("rid").agg(listed(F.col("base")).alias("base"), listed(~F.col("base")).alias("linked"))
     none = F.array().cast("array<struct<s:int,k:int,e:int>>")
-    return met.select(F.col("s.id").alias(id_col), "base", F.coalesce("linked", none).alias("linked"))
+    met = seen.select("id", "rid").join(per_row, "rid", "left")
+    out = cut(met.select(F.col("id").alias(id_col), F.coalesce("base", none).alias("base"), F.coalesce("linked", none).alias("linked")))
+    tables.close()
+    return out
 
 
 def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
