@@ -183,7 +183,7 @@ def rarity(docs: DataFrame, text_col: str, size: int) -> Rarity:
 
 def part_sizes(s: np.ndarray) -> np.ndarray:
     """The sizes of the set s in equal parts of the shingle space; the more parts, the larger the set."""
-    bits = min(max(len(s).bit_length() - 4, 5), 11)
+    bits = min(max(len(s).bit_length() - 3, 5), 12)
     return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
 
 
@@ -263,17 +263,21 @@ def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_bound(n: np.ndarray, parts: list[bytes], percent: int) -> np.ndarray:
-    """Which sets have another that their sizes, whole and by parts, allow to be linked."""
+    """Which sets have another that their sizes, whole and by parts, allow to be linked. Two are compared by the parts of the smaller one."""
     parts = [np.frombuffer(p, np.uint16).astype(np.int32) for p in parts]
-    m = min(map(len, parts))
-    p = np.stack([x.reshape(m, -1).sum(1) for x in parts])
+    many = np.array([len(p) for p in parts])
     out = np.zeros(len(n), np.bool_)
-    for i in range(len(n)):
-        apart = np.abs(p - p[i]).sum(1)
-        # |x & y| = (nx + ny - |x ^ y|) / 2, and |x ^ y| >= apart
-        fits = 100 * (n + n[i] - apart) >= percent * (n + n[i] + apart)
-        fits[i] = False
-        out[i] = fits.any()
+    for m in np.unique(many):
+        other = np.flatnonzero(many >= m)
+        p = np.stack([parts[j].reshape(m, -1).sum(1) for j in other])
+        for k in np.flatnonzero(many[other] == m):
+            i = other[k]
+            apart = np.abs(p - p[k]).sum(1)
+            # |x & y| = (nx + ny - |x ^ y|) / 2, and |x ^ y| >= apart
+            fits = 100 * (n[other] + n[i] - apart) >= percent * (n[other] + n[i] + apart)
+            fits[k] = False
+            out[other[fits]] = True
+            out[i] |= fits.any()
     return out
 
 
