@@ -12,11 +12,12 @@ from ..functions.text import judge5, sanitised
 from . import segment as S
 
 c = F.col
+
+
 def task() -> WindowSpec:
     return Window.partitionBy("task_id")
 
 
-
 def world(k: int, row: str = "") -> Column:
     return F.get(c(f"{row}world"), F.lit(k))
 
@@ -55,19 +56,13 @@ def task_facts(frames: DataFrame, swings: DataFrame, videos: DataFrame) -> DataF
 
     Frames meet their task's row and are folded in the same partitioning.
     """
-    own = swings.select("task_id", "idx", "frame_index", "dt", "speed", "n", S.c("code")).join(
-        videos.select("task_id", "fps", "width", "height", "chosen_view"), "task_id"
-    )
-    first, last = F.get("idx", F.lit(0)), F.get("idx", F.lit(7))
-    still = lambda i: S.at("speed", i) < C.V_STILL
-    held = F.coalesce(S.first_where(last, c("n") - 1, lambda i: ~still(i)), c("n")) - last
-    frame = lambda k: S.at("frame_index", F.get("idx", F.lit(k)))
-    gap = F.greatest(F.lit(1), F.get("idx", F.lit(5)) - F.get("idx", F.lit(3)))
+    own = swings.where("code is null").drop("fps", "width", "height").join(videos.select("task_id", "fps", "width", "height", "chosen_view"), "task_id")
+    place, frame = (lambda k: F.get("idx", F.lit(k))), (lambda k: F.get("at", F.lit(k))["frame_index"])
     own = own.select(
-        "task_id", "fps", "width", "height", "chosen_view", "code", first.alias("first"), last.alias("last"),
-        (held * c("dt")).alias("balance_hold_sec"),
-        ((held > 0) & (last + held >= c("n"))).alias("cut_short"),
-        ((F.get("idx", F.lit(3)) - first) / gap).alias("tempo_ratio"),
+        "task_id", "fps", "width", "height", "chosen_view", "code", "first", "last",
+        (c("held") * c("dt")).alias("balance_hold_sec"),
+        ((c("held") > 0) & (c("last") + c("held") >= c("n"))).alias("cut_short"),
+        ((place(3) - c("first")) / F.greatest(F.lit(1), place(5) - place(3))).alias("tempo_ratio"),
         F.when(c("fps") > 0, (frame(7) - frame(0)) / c("fps")).alias("swing_duration"),
     )
     rows = frames.select("task_id", "i", "norm", "world").join(own, "task_id")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from .segment import intermediates, ordered, rounds
+from .segment import folded, intermediates, ordered, reanchored, rounds
 from .series import Series, top_k
 
 c = F.col
@@ -23,24 +23,24 @@ def search_window(impact: Column, fe: Column, n: Column) -> tuple[Column, Column
     return F.greatest(F.lit(0), impact - back), F.least(n - 1, impact + ahead)
 
 
-def refine_frames(swings: DataFrame) -> DataFrame:
-    """task_id, frame_index: the frames of the window and the frame before each."""
+def refine_frames(rows: DataFrame, swings: DataFrame) -> DataFrame:
+    """task_id, frame_index: the frames of the window and the frame before each. rows: task_id, i, frame_index."""
     lo, hi = search_window(F.get("idx", F.lit(5)), c("fe"), c("n"))
-    rows = swings.where("code is null").select("task_id", "frame_index", F.explode(F.sequence(lo, hi)).alias("i"))
-    own = rows.select("task_id", F.get("frame_index", c("i")).alias("f"))
-    before = rows.select("task_id", F.get("frame_index", F.greatest(c("i") - 1, F.lit(0))).alias("f"))
-    return own.unionByName(before).distinct().withColumnRenamed("f", "frame_index")
+    near = swings.where("code is null").select("task_id", F.greatest(F.lit(0), lo - 1).alias("lo"), hi.alias("hi"))
+    met = rows.select("task_id", "i", "frame_index").join(near, "task_id").where(c("i").between(c("lo"), c("hi")))
+    return met.select("task_id", "frame_index").distinct()
 
 
-def reanchor_frames(swings: DataFrame) -> DataFrame:
-    """Frames that any impact in the window could lead to."""
+def reanchor_frames(rows: DataFrame, swings: DataFrame) -> DataFrame:
+    """Frames that any impact in the window could lead to. rows are the signals; each try is a swing of its own."""
     lo, hi = search_window(F.get("idx", F.lit(5)), c("fe"), c("n"))
-    rows = swings.where("code is null").withColumn("try", F.explode(F.sequence(lo, hi)))
-    k = {p: F.get("idx", F.lit(i)) for p, i in (("address", 0), ("top", 3), ("finish", 7))}
-    rows = rows.where((c("try") > k["top"]) & (c("try") < k["finish"]))
-    rows = rows.withColumns(k | {"impact": c("try"), "address_est": F.lit(False), "impact_est": F.lit(False), "finish_est": F.lit(False)})
-    every = ordered(intermediates(rows)).select("task_id", "frame_index", F.explode("idx").alias("i"))
-    return every.select("task_id", F.get("frame_index", c("i")).alias("frame_index")).distinct()
+    k = {p: F.get("idx", F.lit(j)) for p, j in (("address", 0), ("top", 3), ("finish", 7))}
+    tries = swings.where("code is null").select("task_id", F.explode(F.sequence(lo, hi)).alias("impact"), *[v.alias(p) for p, v in k.items()])
+    tries = tries.where((c("impact") > c("top")) & (c("impact") < c("finish")))
+    tries = tries.withColumns({f"{p}_est": F.lit(False) for p in ("address", "impact", "finish")})
+    each = rows.withColumn("code", F.lit(None).cast("string")).join(tries, "task_id").withColumn("task_id", F.struct("task_id", c("impact").alias("try")))
+    found = folded(ordered(intermediates(each))).select(c("task_id.task_id").alias("task_id"), F.explode("at").alias("e"))
+    return found.select("task_id", "e.frame_index").distinct()
 
 
 def motion_signal(features: DataFrame) -> DataFrame:
@@ -95,3 +95,14 @@ def accepted(best: DataFrame, swings: DataFrame) -> DataFrame:
     moved = F.abs(c("peak") - old).between(C.MIN_SHIFT, C.MAX_SHIFT) & (F.abs(new - old) <= C.MAX_SHIFT)
     out = rows.select("task_id", old.alias("old"), F.when(moved, new).alias("new"))
     return out.withColumn("delta", c("new") - c("old")).withColumn("available", c("new").isNotNull()).withColumn("warn", F.abs(c("delta")) >= C.WARN_SHIFT)
+
+
+def refined(rows: DataFrame, swings: DataFrame, features: DataFrame, shaft_weight: float = 0.3) -> DataFrame:
+    """swings with the impact where the motion features put it, if they do so credibly. Adds moved, delta and warn.
+
+    rows are the signals. A second gate holds the shift within MIN_SHIFT and MAX_SHIFT before phases are found anew.
+    """
+    best = selected(scored(candidates(motion_signal(features)), F.lit(shaft_weight)))
+    found = accepted(best, swings).where(c("available") & F.abs(c("delta")).between(C.MIN_SHIFT, C.MAX_SHIFT))
+    out = reanchored(rows, swings, found).join(found.select("task_id", "delta", "warn"), "task_id", "left")
+    return out.withColumns({"delta": F.when(c("moved"), c("delta")).otherwise(0), "warn": c("moved") & F.coalesce("warn", F.lit(False))})

@@ -1,150 +1,106 @@
-"""Segmentation of a swing into eight phases.
+"""Segmentation of a swing into eight phases, as windows over the rows of a task.
 
-A swing has a few hundred samples at most, so its series are packed into arrays,
-one row per task: one exchange packs them, and everything after that is a narrow
-projection over the row. Nothing is joined back, and Catalyst keeps it all in one
-stage. Each step adds columns with the names of its results; `code` is the first
-error of a task (null if there is none), so that one bad swing stops no other.
+All windows share the partitioning by task, so there is one exchange. Each step adds columns
+that are the same in all rows of a task, under the names of its results; `code` is the first
+error of a task (null if there is none), so that one bad swing stops no other. At the end the
+rows of a task fold into one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..dims import PHASES
-from .series import smoothing_width
+from .series import Series, smoothing_width
 
 c = F.col
 NO_SWING = "NO_SWING"
+KEY = ["task_id"]
 
 
-def places(lo: Column, hi: Column) -> Column:
-    """lo..hi as an array; empty if hi < lo."""
-    return F.when(hi >= lo, F.sequence(lo.cast("int"), hi.cast("int"))).otherwise(F.array().cast("array<int>"))
-
-
-def at(a: str, i: Column) -> Column:
-    return F.get(c(a), i.cast("int"))
-
+def group() -> WindowSpec:
+    return Window.partitionBy(*KEY)
 
-def first_where(lo: Column, hi: Column, cond: Callable[[Column], Column]) -> Column:
-    return F.get(F.filter(places(lo, hi), cond), F.lit(0))
 
-
-def last_where(lo: Column, hi: Column, cond: Callable[[Column], Column]) -> Column:
-    return F.try_element_at(F.filter(places(lo, hi), cond), F.lit(-1))
+def rounds(x: Column) -> Column:
+    return F.bround(x).cast("int")
 
 
-def arg_max(a: str, lo: Column, hi: Column) -> Column:
-    """First place of the greatest value in lo..hi."""
-    return -F.array_max(F.transform(places(lo, hi), lambda i: F.struct(at(a, i).alias("v"), (-i).alias("m"))))["m"]
+def frames_of(seconds: float, least: int) -> Column:
+    return F.greatest(F.lit(least), rounds(c("fe") * seconds))
 
 
-def arg_min(a: str, lo: Column, hi: Column) -> Column:
-    return F.array_min(F.transform(places(lo, hi), lambda i: F.struct(at(a, i).alias("v"), i.alias("m"))))["m"]
+# ---- over the rows of a task, between two places
 
 
-def rounds(x: Column) -> Column:
-    return F.bround(x).cast("int")
+def first_where(lo: Column, hi: Column, cond: Column) -> Column:
+    return F.min(F.when(c("i").between(lo, hi) & cond, c("i"))).over(group())
 
 
-def frames_of(seconds: float, least: int) -> Column:
-    return F.greatest(F.lit(least), rounds(c("fe") * seconds))
+def last_where(lo: Column, hi: Column, cond: Column) -> Column:
+    return F.max(F.when(c("i").between(lo, hi) & cond, c("i"))).over(group())
 
 
-def averaged(a: Column, width: Column, n: Column) -> Column:
-    """Centred moving average of an array, ends padded with the end values."""
-    p = F.floor(width / 2).cast("int")
-    whole = F.transform(
-        a,
-        lambda _, i: F.aggregate(F.sequence(-p, p), F.lit(0.0), lambda s, j: s + F.get(a, F.least(F.greatest(i + j, F.lit(0)), n - 1))) / width,
-    )
-    return F.when((n <= 2) | (width <= 1), a).otherwise(whole)
+def arg_max(value: str, lo: Column, hi: Column) -> Column:
+    """First place of the greatest value."""
+    return -F.max(F.when(c("i").between(lo, hi), F.struct(c(value).alias("v"), (-c("i")).alias("m")))).over(group())["m"]
 
 
-def filled(a: Column) -> Column:
-    """Nulls by linear interpolation between known neighbours, constant beyond; all null gives 0."""
-    known = F.filter(F.transform(a, lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda x: x["v"].isNotNull())
+def arg_min(value: str, lo: Column, hi: Column) -> Column:
+    return F.min(F.when(c("i").between(lo, hi), F.struct(c(value).alias("v"), c("i").alias("m")))).over(group())["m"]
 
-    def one(v: Column, i: Column) -> Column:
-        lo = F.try_element_at(F.filter(known, lambda x: x["i"] < i), F.lit(-1))
-        hi = F.get(F.filter(known, lambda x: x["i"] > i), F.lit(0))
-        between = lo["v"] + (hi["v"] - lo["v"]) * (i - lo["i"]) / (hi["i"] - lo["i"])
-        return F.coalesce(v, between, lo["v"], hi["v"], F.lit(0.0))
 
-    return F.when(F.exists(a, lambda v: v.isNull()), F.transform(a, one)).otherwise(a)
+def at(value: str, place: Column) -> Column:
+    return F.max(F.when(c("i") == place, c(value))).over(group())
 
 
-def packed(frames: DataFrame, videos: DataFrame) -> DataFrame:
-    """One row per task with the series that segmentation reads. videos joins before the only exchange."""
+def series_of(frames: DataFrame, videos: DataFrame) -> DataFrame:
+    """The series that segmentation reads, in units of the frame's width. videos joins before the only exchange."""
     v = videos.select("task_id", "fps", "width", "height")
     p = lambda k, x: F.get("norm", F.lit(k))[x]
     ratio = F.when((c("width") > 0) & (c("height") > 0), c("height") / c("width")).otherwise(1.0)
     rows = frames.select(
         "task_id", "i", "frame_index", "ts",
-        p(C.L_SHOULDER, "x").alias("lsx"), p(C.L_SHOULDER, "y").alias("lsy"), p(C.R_SHOULDER, "x").alias("rsx"),
-        p(C.R_SHOULDER, "y").alias("rsy"), p(C.L_WRIST, "x").alias("wx"), p(C.L_WRIST, "y").alias("wy"),
-        ((p(C.L_HIP, "y") + p(C.R_HIP, "y")) / 2).alias("hy"),
-    )
-    names = ["i", "frame_index", "ts", "lsx", "lsy", "rsx", "rsy", "wx", "wy", "hy"]
-    rows = rows.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("r"))
-    rows = rows.join(v, "task_id").withColumn("n", F.size("r")).withColumn("ratio", ratio)
-    series = lambda k: F.transform("r", lambda x: x[k])
+        p(C.L_SHOULDER, "x").alias("lsx"), p(C.L_SHOULDER, "y").alias("lsy"), p(C.R_SHOULDER, "x").alias("rsx"), p(C.R_SHOULDER, "y").alias("rsy"),
+        p(C.L_WRIST, "x").alias("wx"), p(C.L_WRIST, "y").alias("wy"), p(C.L_HIP, "y").alias("lhy"), p(C.R_HIP, "y").alias("rhy"),
+    ).join(v, "task_id")
     return rows.select(
-        "task_id", "fps", "width", "height", "n", "ratio", series("frame_index").alias("frame_index"), series("ts").alias("ts"),
-        filled(F.transform("r", lambda x: F.hypot(x["lsx"] - x["rsx"], (x["lsy"] - x["rsy"]) * c("ratio")))).alias("shoulder_width"),
-        F.transform(filled(series("wx")), lambda x: x).alias("wx0"),
-        F.transform(filled(series("wy")), lambda y: y * c("ratio")).alias("wy0"),
-        filled(F.transform("r", lambda x: (x["lsy"] + x["rsy"]) / 2 * c("ratio"))).alias("sy0"),
-        filled(F.transform("r", lambda x: x["hy"] * c("ratio"))).alias("hy0"),
+        "task_id", "fps", "width", "height", "i", "frame_index", "ts",
+        F.hypot(c("lsx") - c("rsx"), (c("lsy") - c("rsy")) * ratio).alias("shoulder_width"), c("wx").alias("wrist_x"), (c("wy") * ratio).alias("wrist_y"),
+        ((c("lsy") + c("rsy")) / 2 * ratio).alias("shoulder_y"), ((c("lhy") + c("rhy")) / 2 * ratio).alias("hip_y"),
     )
 
 
-def middle(a: Column) -> Column:
-    """Median of an array."""
-    s, n = F.array_sort(a), F.size(a)
-    lo, hi = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
-    return F.when(n > 0, (F.get(s, lo) + F.get(s, hi)) / 2)
-
-
-def quantile(a: Column, q: float) -> Column:
-    s, n = F.array_sort(a), F.size(a)
-    x = (n - 1) * F.lit(q)
-    lo = F.floor(x).cast("int")
-    return F.get(s, lo) + (F.coalesce(F.get(s, lo + 1), F.get(s, lo)) - F.get(s, lo)) * (x - lo)
-
-
-def signals(rows: DataFrame) -> DataFrame:
-    """dt, fe, S, wrist_x, wrist_y, shoulder_y, hip_y, h, speed and the first guards in code."""
-    gaps = F.filter(F.transform("frame_index", lambda f, i: f - F.get("frame_index", i - 1)), lambda d: d > 0)
-    step = F.greatest(F.lit(1), F.coalesce(rounds(middle(gaps)), F.lit(1)))
-    out = rows.withColumn("dt", F.when(c("fps") > 0, step / c("fps")).otherwise(1 / 30))
-    out = out.withColumn("fe", F.when(c("dt") > 0, 1 / c("dt")).otherwise(1.0)).withColumn("S", middle(c("shoulder_width")))
-    out = out.withColumn("w", smoothing_width(c("fe"), C.SMOOTH_SEC))
-    for new, old in (("wrist_x", "wx0"), ("wrist_y", "wy0"), ("shoulder_y", "sy0"), ("hip_y", "hy0")):
-        out = out.withColumn(new, averaged(c(old), c("w"), c("n"))).drop(old)
+def signals(frames: DataFrame, videos: DataFrame) -> DataFrame:
+    """Per row: n, dt, fe, S, wrist_y, shoulder_y, h, speed, still_before and still_after, and the first guards in code."""
+    g = group()
+    moved = ["wrist_x", "wrist_y", "shoulder_y", "hip_y"]
+    s = Series(series_of(frames, videos), KEY, ["i"]).filled([*moved, "shoulder_width"])
+    s = s.add("n", F.count(F.lit(1)).over(s.group)).add("step", c("frame_index") - F.lag("frame_index").over(s.by))
+    df = s.df.withColumn("S", F.median("shoulder_width").over(g)).withColumn("step", F.median(F.when(c("step") > 0, c("step"))).over(g))
+    step = F.greatest(F.lit(1), F.coalesce(rounds(c("step")), F.lit(1)))
+    df = df.withColumn("dt", F.when(c("fps") > 0, step / c("fps")).otherwise(1 / 30)).withColumn("fe", F.when(c("dt") > 0, 1 / c("dt")).otherwise(1.0))
+    df = df.withColumn("w", smoothing_width(c("fe"), C.SMOOTH_SEC))
+    s = Series(df, KEY, ["i"]).averaged(moved, "w", "n")
     scale = F.when(c("S") >= C.MIN_SCALE, c("S"))
-    out = out.withColumn("h", F.transform("hip_y", lambda y, i: (y - at("wrist_y", i)) / scale))
-
-    def rate(i: Column) -> Column:
-        a, b = F.greatest(i - 1, F.lit(0)), F.least(i + 1, c("n") - 1)
-        d = F.hypot(at("wrist_x", b) - at("wrist_x", a), at("wrist_y", b) - at("wrist_y", a))
-        return F.when(b > a, d / ((b - a) * c("dt")) / scale).otherwise(0.0)
-
-    raw = F.transform("wrist_x", lambda _, i: rate(i))
-    out = out.withColumn("speed0", raw).withColumn("speed", averaged(c("speed0"), c("w"), c("n"))).drop("speed0", "shoulder_width")
-    travel = quantile(c("wrist_y"), 0.95) - F.array_min("wrist_y")
+    prev, nxt = lambda x: F.coalesce(F.lag(x).over(s.by), c(x)), lambda x: F.coalesce(F.lead(x).over(s.by), c(x))
+    apart = F.hypot(nxt("wrist_x") - prev("wrist_x"), nxt("wrist_y") - prev("wrist_y"))
+    span = nxt("i") - prev("i")
+    s = s.add("h", (c("hip_y") - c("wrist_y")) / scale).add("speed", F.when(span > 0, apart / (span * c("dt")) / scale).otherwise(0.0))
+    s = s.averaged(["speed"], "w", "n")
+    moving = F.when(~F.coalesce(c("speed") < C.V_STILL, F.lit(False)), c("i"))
+    before, after = F.max(moving).over(s.by), F.min(moving).over(s.back)
+    s = s.add("still_before", c("i") - F.coalesce(before, F.lit(-1))).add("still_after", F.coalesce(after, c("n")) - c("i"))  # lengths of the still run up to and from here
+    travel = F.percentile("wrist_y", F.lit(0.95)).over(g) - F.min("wrist_y").over(g)
     bad = (
         F.coalesce(c("S") < C.MIN_SCALE, F.lit(True))
         | (c("n") < F.greatest(F.lit(10), rounds(c("fe") * 0.5)))
-        | (F.array_max("speed") < C.V_PEAK_MIN)
+        | F.coalesce(F.max("speed").over(g) < C.V_PEAK_MIN, F.lit(True))
         | (travel < C.MIN_WRIST_TRAVEL * c("S"))
     )
-    return out.withColumn("code", F.when(bad, NO_SWING))
+    return s.add("code", F.when(bad, NO_SWING)).df.drop("shoulder_width", "wrist_x", "hip_y", "step", "w")
 
 
 def _fails(df: DataFrame, bad: Column) -> DataFrame:
@@ -164,108 +120,119 @@ def anchors(df: DataFrame) -> DataFrame:
     df = df.withColumn("top", F.coalesce(near, c("high"))).drop("lo", "hi", "high", "reach", "peak")
     df = _fails(df, c("top") <= 0)
 
-    below = lambda i: F.coalesce(at("speed", i) < C.V_STILL, F.lit(False))
-    still = lambda start, size: F.forall(places(start, start + size - 1), below)
-    df = df.withColumn("need", frames_of(C.STILL_SEC_ADDRESS, 2))
-    ends = lambda i: below(i) & ((i == c("top") - 1) | ~below(i + 1)) & (at("h", i) <= C.ADDRESS_H_MAX) & still(i - c("need") + 1, c("need"))
-    df = df.withColumn("found", last_where(c("need") - 1, c("top") - 1, ends))
-    df = df.withColumn("address", F.coalesce("found", arg_min("speed", F.lit(0), c("top") - 1))).withColumn("address_est", c("found").isNull())
+    # the last still run before the top with hands low at its end
+    need = frames_of(C.STILL_SEC_ADDRESS, 2)
+    ends = (c("still_before") >= need) & ((c("i") == c("top") - 1) | (c("still_after") == 1)) & (c("h") <= C.ADDRESS_H_MAX)
+    df = df.withColumn("found", last_where(need - 1, c("top") - 1, ends)).withColumn("rest", arg_min("speed", F.lit(0), c("top") - 1))
+    df = df.withColumn("address", F.coalesce("found", "rest")).withColumn("address_est", c("found").isNull())
     df = _fails(df, c("top") - c("address") < frames_of(C.MIN_TOP_ADDRESS_SEC, 3))
 
-    df = df.withColumn("gap", frames_of(C.MIN_IMPACT_TOP_SEC, 2))
+    df = df.withColumn("gap", frames_of(C.MIN_IMPACT_TOP_SEC, 2)).withColumn("h0", at("h", c("address")))
     span = F.greatest(c("gap") + 1, rounds(c("fe") * C.MAX_DOWNSWING_SEC))
     df = df.withColumn("hi", F.greatest(F.least(n, c("top") + 1 + span), F.least(n, c("top") + 2)))
-    down = lambda i: at("h", i) <= at("h", c("address")) + C.IMPACT_H_TOL
-    df = df.withColumn("cross", first_where(c("top") + 1, c("hi") - 1, down)).withColumn("reach", frames_of(C.IMPACT_WIN_SEC, 1))
+    df = df.withColumn("cross", first_where(c("top") + 1, c("hi") - 1, c("h") <= c("h0") + C.IMPACT_H_TOL)).withColumn("reach", frames_of(C.IMPACT_WIN_SEC, 1))
     close = arg_max("speed", F.greatest(c("top") + 1, c("cross") - c("reach")), F.least(c("hi"), c("cross") + c("reach") + 1) - 1)
-    df = df.withColumn("impact", F.when(c("cross").isNotNull(), close).otherwise(arg_max("speed", c("top") + 1, c("hi") - 1)))
+    df = df.withColumn("close", close).withColumn("rest", arg_max("speed", c("top") + 1, c("hi") - 1))
+    df = df.withColumn("impact", F.when(c("cross").isNotNull(), c("close")).otherwise(c("rest")))
     df = _fails(df.withColumn("impact_est", c("cross").isNull()), c("impact") - c("top") < c("gap"))
 
-    df = df.withColumn("need", frames_of(C.STILL_SEC_FINISH, 2))
-    df = df.withColumn("found", first_where(c("impact") + 1, n - c("need"), lambda i: below(i) & still(i, c("need"))))
-    late = n - 1 - c("impact") >= rounds(c("fe") * C.FINISH_FALLBACK_SEC)
-    rest = F.when(late & (c("impact") < n - 1), arg_min("speed", c("impact") + 1, n - 1)).otherwise(n - 1)
-    df = df.withColumn("finish", F.coalesce("found", rest)).withColumn("finish_est", c("found").isNull())
-    return df.drop("need", "found", "gap", "hi", "cross", "reach")
+    need = frames_of(C.STILL_SEC_FINISH, 2)
+    df = df.withColumn("found", first_where(c("impact") + 1, n - need, c("still_after") >= need)).withColumn("rest", arg_min("speed", c("impact") + 1, n - 1))
+    late = (n - 1 - c("impact") >= rounds(c("fe") * C.FINISH_FALLBACK_SEC)) & (c("impact") < n - 1)
+    df = df.withColumn("finish", F.coalesce("found", F.when(late, c("rest")).otherwise(n - 1))).withColumn("finish_est", c("found").isNull())
+    return df.drop("found", "gap", "hi", "cross", "reach", "close", "rest", "h0")
 
 
 def intermediates(df: DataFrame) -> DataFrame:
     """takeaway, backswing, downswing, follow_through with *_est, from the anchors."""
-    ratio = lambda a, b, r: rounds(a + (b - a) * r)
+    ratio = lambda a, b, r: rounds(c(a) + (c(b) - c(a)) * r)
     r2, r3, r5, r7 = C.FALLBACK_RATIOS
 
-    def chosen(df: DataFrame, name: str, found: Column, otherwise: Column) -> DataFrame:
-        df = df.withColumn("found", found)
+    def chosen(df: DataFrame, name: str, otherwise: Column) -> DataFrame:
         return df.withColumn(name, F.coalesce("found", otherwise)).withColumn(f"{name}_est", c("found").isNull()).drop("found")
 
-    armed = first_where(c("address"), c("top"), lambda i: at("h", i) < C.H_HIP)
-    df = df.withColumn("armed", F.when(c("top") > c("address"), armed))
-    df = chosen(df, "takeaway", first_where(c("armed") + 1, c("top"), lambda i: at("h", i) >= C.H_HIP), ratio(c("address"), c("top"), r2))
-    over = first_where(c("takeaway"), c("top"), lambda i: at("wrist_y", i) <= at("shoulder_y", i))
-    df = chosen(df, "backswing", F.when(c("top") > c("takeaway"), over), ratio(c("address"), c("top"), r3))
-    df = df.withColumn("armed", first_where(c("top"), c("impact"), lambda i: at("h", i) > C.H_DOWNSWING))
-    under = first_where(c("armed") + 1, c("impact"), lambda i: at("h", i) <= C.H_DOWNSWING)
-    df = chosen(df, "downswing", F.when(under < c("impact"), under), ratio(c("top"), c("impact"), r5))
-    df = df.withColumn("armed", arg_min("h", c("impact"), c("finish")))
-    up = first_where(c("armed") + 1, c("finish"), lambda i: at("h", i) >= at("h", c("armed")) + C.FOLLOW_RISE)
-    inside = F.when((up > c("impact")) & (up < c("finish")), up)
-    return chosen(df, "follow_through", inside, ratio(c("impact"), c("finish"), r7)).drop("armed")
+    low = first_where(c("address"), c("top"), c("h") < C.H_HIP)
+    df = df.withColumn("low", F.when(c("top") > c("address"), low)).withColumn("raised", first_where(c("top"), c("impact"), c("h") > C.H_DOWNSWING))
+    df = df.withColumn("least", arg_min("h", c("impact"), c("finish")))
+    df = df.withColumn("found", first_where(c("low") + 1, c("top"), c("h") >= C.H_HIP)).withColumn("h0", at("h", c("least")))
+    df = chosen(df, "takeaway", ratio("address", "top", r2))
+    over = first_where(c("takeaway"), c("top"), c("wrist_y") <= c("shoulder_y"))
+    df = chosen(df.withColumn("found", F.when(c("top") > c("takeaway"), over)), "backswing", ratio("address", "top", r3))
+    df = df.withColumn("under", first_where(c("raised") + 1, c("impact"), c("h") <= C.H_DOWNSWING))
+    df = chosen(df.withColumn("found", F.when(c("under") < c("impact"), c("under"))), "downswing", ratio("top", "impact", r5))
+    df = df.withColumn("up", first_where(c("least") + 1, c("finish"), c("h") >= c("h0") + C.FOLLOW_RISE))
+    inside = F.when((c("up") > c("impact")) & (c("up") < c("finish")), c("up"))
+    df = chosen(df.withColumn("found", inside), "follow_through", ratio("impact", "finish", r7))
+    return df.drop("low", "raised", "least", "h0", "under", "up")
 
 
 def ordered(df: DataFrame) -> DataFrame:
-    """idx and est: the eight places made strictly increasing; moved ones count as estimated."""
+    """idx and est: the eight places made strictly increasing; moved ones count as estimated. Out of order in the video is an error."""
     n = c("n")
-    df = df.withColumn("raw", F.array(F.least(F.greatest(c("address"), F.lit(0)), n - 1), *[c(p) for p in PHASES[1:]]))
-    df = df.withColumn("raw_est", F.array(*[c(f"{p}_est") if p != "top" else F.lit(False) for p in PHASES]))
-    up = F.transform("raw", lambda _, k: k + F.array_max(F.transform(F.slice("raw", 1, k + 1), lambda v, j: v - j)))
-    df = df.withColumn("up", up)
-    over = F.get("up", F.lit(7)) > n - 1
-    df = df.withColumn("idx", F.when(over, F.transform("up", lambda v, k: F.least(v, n - 8 + k))).otherwise(c("up")))
-    df = df.withColumn("est", F.transform("idx", lambda v, k: F.get("raw_est", k) | (v != F.get("raw", k))))
-    return _fails(df.drop("raw", "raw_est", "up"), F.get("idx", F.lit(0)) < 0)
-
-
-def settled(swings: DataFrame) -> DataFrame:
-    """A row stays as it is, behind an aggregate on the key that already deals the rows out.
-
-    Filters on the results are not pushed below it. They would be rewritten in terms of
-    the inputs of every step, and the plan would grow without bound.
-    """
-    whole = F.struct(*[x for x in swings.columns if x != "task_id"])
-    return swings.groupBy("task_id").agg(F.first(whole).alias("s")).select("task_id", "s.*")
+    raw = {"address": F.least(F.greatest(c("address"), F.lit(0)), n - 1)}
+    df = df.withColumns({f"r_{p}": raw.get(p, c(p)) for p in PHASES}).withColumn("top_est", F.lit(False))
+    df = df.withColumn("u_0", c("r_address"))
+    for k, p in enumerate(PHASES[1:], 1):
+        df = df.withColumn(f"u_{k}", F.greatest(c(f"r_{p}"), c(f"u_{k - 1}") + 1))
+    over = c("u_7") > n - 1
+    df = df.withColumns({f"x_{k}": F.when(over, F.least(c(f"u_{k}"), n - 8 + k)).otherwise(c(f"u_{k}")) for k in range(8)})
+    df = df.withColumn("idx", F.array(*[c(f"x_{k}") for k in range(8)]))
+    df = df.withColumn("est", F.array(*[c(f"{p}_est") | (c(f"x_{k}") != c(f"r_{p}")) for k, p in enumerate(PHASES)]))
+    df = df.drop(*[f"{a}_{k}" for a in "ux" for k in range(8)], *[f"r_{p}" for p in PHASES], *[x for p in PHASES for x in (p, f"{p}_est")])
+    return _fails(df, F.get("idx", F.lit(0)) < 0)
+
+
+def folded(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """One row per task: its facts, idx, est, code, the eight frames in `at`, and how long the finish is held."""
+    last, first = F.get("idx", F.lit(7)), F.get("idx", F.lit(0))
+    broken = F.min(F.when((c("i") >= last) & ~F.coalesce(c("speed") < C.V_STILL, F.lit(False)), c("i")))
+    facts = ["fps", "width", "height", "n", "dt", "fe", "S", "idx", "est", "code", *(keep or [])]
+    out = df.groupBy("task_id").agg(
+        F.first(F.struct(*facts)).alias("s"), F.max("speed").alias("peak_speed"), F.max("h").alias("highest"), broken.alias("broken"),
+        F.array_sort(F.collect_list(F.when(F.array_contains("idx", c("i")), F.struct("i", "frame_index", "ts")))).alias("at"),
+    ).select("task_id", "s.*", "peak_speed", "highest", "broken", "at")
+    out = out.withColumn("held", F.coalesce("broken", "n") - last).drop("broken")
+    frame = lambda k: F.get("at", F.lit(k))["frame_index"]
+    mixed_up = F.size("at") < 8
+    for k in range(7):
+        mixed_up = mixed_up | (frame(k + 1) <= frame(k))
+    return _fails(out, mixed_up).withColumn("first", first).withColumn("last", last)
 
 
 def segmented(frames: DataFrame, videos: DataFrame) -> DataFrame:
-    """One row per task: signals, anchors, idx, est, code."""
-    return settled(ordered(intermediates(anchors(signals(packed(frames, videos))))))
+    """One row per task: facts, idx, est, code."""
+    return folded(ordered(intermediates(anchors(signals(frames, videos)))))
 
 
 def events(swings: DataFrame) -> DataFrame:
     """Eight rows per task without an error."""
-    rows = swings.where("code is null").select(
-        "task_id", "frame_index", "ts", F.posexplode(F.arrays_zip("idx", "est")).alias("k", "e")
-    )
+    rows = swings.where("code is null").select("task_id", F.posexplode(F.arrays_zip("idx", "est", "at")).alias("k", "e"))
     names = F.array(*[F.lit(p) for p in PHASES])
     return rows.select(
         "task_id",
         (c("k") + 1).alias("phase_no"),
         F.get(names, c("k")).alias("phase"),
         c("e.idx").alias("array_index"),
-        at("frame_index", c("e.idx")).alias("frame_index"),
-        F.round(at("ts", c("e.idx")), 3).alias("timestamp"),
+        c("e.at.frame_index").alias("frame_index"),
+        F.round(c("e.at.ts"), 3).alias("timestamp"),
         c("e.est").alias("estimated"),
     )
 
 
-def reanchored(swings: DataFrame, new: Column) -> DataFrame:
-    """Move the impact to new where it lies strictly between top and finish and keeps the order; else leave the swing."""
-    ok = c("code").isNull() & (new > F.get("idx", F.lit(3))) & (new < F.get("idx", F.lit(7))) & (new != F.get("idx", F.lit(5)))
-    old = swings.withColumn("new_impact", F.when(ok, new)).withColumn("old_idx", c("idx")).withColumns({"old_est": c("est"), "old_code": c("code")})
-    k = {p: F.get("old_idx", F.lit(i)) for i, p in enumerate(PHASES)}
-    moved = old.withColumns({"address": k["address"], "top": k["top"], "impact": F.coalesce("new_impact", k["impact"]), "finish": k["finish"]})
-    moved = moved.withColumns({"address_est": F.get("old_est", F.lit(0)), "impact_est": F.lit(False), "finish_est": F.get("old_est", F.lit(7))})
-    moved = ordered(intermediates(moved.withColumn("code", F.lit(None).cast("string"))))
-    good = c("new_impact").isNotNull() & c("code").isNull()
-    out = moved.withColumn("moved", good).withColumn("idx", F.when(good, c("idx")).otherwise(c("old_idx")))
-    out = out.withColumn("est", F.when(good, c("est")).otherwise(c("old_est"))).withColumn("code", c("old_code"))
-    return settled(out.drop("old_idx", "old_est", "old_code", "new_impact"))
+def reanchored(rows: DataFrame, swings: DataFrame, impacts: DataFrame) -> DataFrame:
+    """swings with the impact moved to `new` (of impacts: task_id, new) where it lies strictly between top and finish and keeps the order.
+
+    rows are the signals. Adds moved; other swings stay as they are.
+    """
+    k = lambda j, col="idx": F.get(col, F.lit(j))
+    able = c("code").isNull() & (c("new") > k(3)) & (c("new") < k(7)) & (c("new") != k(5))
+    asked = swings.join(impacts.select("task_id", "new"), "task_id").where(able)
+    asked = asked.select("task_id", k(0).alias("address"), k(3).alias("top"), c("new").alias("impact"), k(7).alias("finish"),
+                         k(0, "est").alias("address_est"), F.lit(False).alias("impact_est"), k(7, "est").alias("finish_est"))
+    redone = folded(ordered(intermediates(rows.withColumn("code", F.lit(None).cast("string")).join(asked, "task_id"))))
+    good = redone.where("code is null").select("task_id", F.struct(*[x for x in swings.columns if x != "task_id"]).alias("redone"))
+    met = swings.join(good, "task_id", "left")
+    return met.select(
+        "task_id", *[F.when(c("redone").isNotNull(), c("redone")[x]).otherwise(c(x)).alias(x) for x in swings.columns if x != "task_id"],
+        c("redone").isNotNull().alias("moved"),
+    )

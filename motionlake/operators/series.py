@@ -20,6 +20,8 @@ class Series:
         self.by = Window.partitionBy(*keys).orderBy(*order)
         self.whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(First, Last)
         self.group = Window.partitionBy(*keys)
+        # from the last row to this one; a frame that ends behind would be summed anew for each row
+        self.back = Window.partitionBy(*keys).orderBy(*[F.col(o).desc() for o in order]).rowsBetween(First, 0)
 
     def add(self, name: str, column: Column) -> Series:
         return Series(self.df.withColumn(name, column), self.keys, self.order)
@@ -30,21 +32,40 @@ class Series:
     # ---- filling and smoothing
     def gap_filled(self, value: str, out: str, i: str = "i") -> Series:
         """Linear between known neighbours by place, constant beyond the first and last; all missing gives 0."""
-        back, ahead = self.by.rowsBetween(First, 0), self.by.rowsBetween(0, Last)
-        at = F.when(F.col(value).isNotNull(), F.col(i))
-        v0, v1 = F.last(value, True).over(back), F.first(value, True).over(ahead)
-        i0, i1 = F.last(at, True).over(back), F.first(at, True).over(ahead)
-        between = v0 + (v1 - v0) * (F.col(i) - i0) / (i1 - i0)
-        return self.add(out, F.when(i0 == i1, v0).otherwise(F.coalesce(between, v0, v1, F.lit(0.0))))
+        return self.filled([value], [out], i)
+
+    def filled(self, values: list[str], outs: list[str] | None = None, i: str = "i") -> Series:
+        """gap_filled for several columns, in two windows."""
+        df, near = self.df, {"b": self.by.rowsBetween(First, 0), "a": self.back}
+        for side, over in near.items():
+            df = df.withColumns({f"__{side}_{v}": F.last(F.when(F.col(v).isNotNull(), F.struct(F.col(v).alias("v"), F.col(i).alias("i"))), True).over(over) for v in values})
+        for v, out in zip(values, outs or values):
+            lo, hi = F.col(f"__b_{v}"), F.col(f"__a_{v}")
+            between = lo["v"] + (hi["v"] - lo["v"]) * (F.col(i) - lo["i"]) / (hi["i"] - lo["i"])
+            df = df.withColumn(out, F.when(F.col(v).isNotNull(), F.col(v)).otherwise(F.coalesce(between, lo["v"], hi["v"], F.lit(0.0))))
+        return Series(df.drop(*[f"__{side}_{v}" for side in near for v in values]), self.keys, self.order)
 
     def moving_average(self, value: str, out: str, width: int, i: str = "i") -> Series:
         """Centred, the ends padded with the end values."""
-        p, n = width // 2, F.count(F.lit(1)).over(self.group)
-        first, last = F.first(value).over(self.whole), F.last(value).over(self.whole)
-        inner = F.sum(value).over(self.by.rowsBetween(-p, p))
-        short = F.greatest(F.lit(0), p - F.col(i)) * first
-        long = F.greatest(F.lit(0), F.col(i) + p - n + 1) * last
-        return self.add(out, F.when((n <= 2) | F.lit(width <= 1), F.col(value)).otherwise((inner + short + long) / width))
+        df = self.df.withColumn("__w", F.lit(width)).withColumn("__n", F.count(F.lit(1)).over(self.group)).withColumn(out, F.col(value))
+        done = Series(df, self.keys, self.order).averaged([out], "__w", "__n", i)
+        return Series(done.df.drop("__w", "__n"), self.keys, self.order)
+
+    def averaged(self, values: list[str], width: str, n: str, i: str = "i") -> Series:
+        """moving_average of several columns in place, with an odd width that may differ from key to key."""
+        w, size, place = F.col(width), F.col(n), F.col(i)
+        p = F.floor(w / 2).cast("int")
+        # |i - j| <= p just where |i - j| * 2 / w <= 1
+        around = Window.partitionBy(*self.keys).orderBy("__at").rangeBetween(-1, 1)
+        ends = lambda f, v: f(v).over(self.whole)
+        sums = {f"__s_{v}": F.sum(v).over(around) for v in values}
+        edges = {f"__f_{v}": ends(F.first, v) for v in values} | {f"__l_{v}": ends(F.last, v) for v in values}
+        df = self.df.withColumns(edges).withColumn("__at", place * F.lit(2.0) / w).withColumns(sums)
+        for v in values:
+            short = F.greatest(F.lit(0), p - place) * F.col(f"__f_{v}")
+            long = F.greatest(F.lit(0), place + p - size + 1) * F.col(f"__l_{v}")
+            df = df.withColumn(v, F.when((size <= 2) | (w <= 1), F.col(v)).otherwise((F.col(f"__s_{v}") + short + long) / w))
+        return Series(df.drop("__at", *sums, *edges), self.keys, self.order)
 
     def central_speed(self, value: str, out: str, dt: float) -> Series:
         prev, nxt, v = F.lag(value).over(self.by), F.lead(value).over(self.by), F.col(value)

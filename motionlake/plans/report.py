@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,30 +12,50 @@ from ..dims import metric_specs, phase_dim, risk_rules
 from ..functions.text import image_name
 from ..operators import risk
 from ..operators.metrics import stage_metrics, task_facts
-from ..operators.segment import events, segmented
+from ..operators.refine import refined
+from ..operators.segment import anchors, events, folded, intermediates, ordered, signals
 from ..sources.tables import scratch
 
 c = F.col
 
 
 class Analysis:
-    """The tables of one analysis. Swings and metrics are written once, as several others read them; the rest is lazy."""
-
-    def __init__(self, frames: DataFrame, videos: DataFrame):
-        spark = frames.sparkSession
-        self.frames, self.videos = frames, videos
-        self.swings = scratch(segmented(frames, videos))
-        self.events = events(self.swings)
-        self.facts = task_facts(frames, self.swings, videos)
-        self._metrics = None
-        self.errors = self.swings.where("code is not null").select("task_id", "code")
-        self.phases = phase_dim(spark)
+    """The tables of one analysis. Swings and metrics are written once, when first asked for, as several others read them.
+
+    With motion_features the impact is refined before events and metrics are taken.
+    """
+
+    def __init__(self, frames: DataFrame, videos: DataFrame, motion_features: DataFrame | None = None):
+        self.frames, self.videos, self.motion_features = frames, videos, motion_features
+        self.phases = phase_dim(frames.sparkSession)
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return signals(self.frames, self.videos)
+
+    @cached_property
+    def first_swings(self) -> DataFrame:
+        return scratch(folded(ordered(intermediates(anchors(self.rows)))))
+
+    @cached_property
+    def swings(self) -> DataFrame:
+        return self.first_swings if self.motion_features is None else scratch(refined(self.rows, self.first_swings, self.motion_features))
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return events(self.swings)
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return task_facts(self.frames, self.swings, self.videos)
 
     @property
+    def errors(self) -> DataFrame:
+        return self.swings.where("code is not null").select("task_id", "code")
+
+    @cached_property
     def metrics(self) -> DataFrame:
-        if self._metrics is None:
-            self._metrics = scratch(stage_metrics(self.frames, self.swings, self.videos, metric_specs(self.frames.sparkSession)))
-        return self._metrics
+        return scratch(stage_metrics(self.frames, self.swings, self.videos, metric_specs(self.frames.sparkSession)))
 
     @property
     def risks(self) -> DataFrame:

@@ -52,10 +52,19 @@ def _plus(a: Column, x: Column, y: Column, z: Column) -> Column:
     return point(a["x"] + x, a["y"] + y, a["z"] + z)
 
 
-def frames(tasks: DataFrame, late: Column | None = None, n: int = FRAMES, fps: float = FPS, step: int = 1) -> DataFrame:
-    """tasks: task_id. One row per task and sampled frame, in the shape of the landmark table."""
-    late = F.lit(0.0) if late is None else late
-    rows = tasks.select("task_id", late.alias("late"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
+def frames(
+    tasks: DataFrame, late: Column | None = None, lates: tuple[float, ...] = (0.0,), n: int = FRAMES, fps: float = FPS, step: int = 1
+) -> DataFrame:
+    """tasks: task_id. One row per task and sampled frame, in the shape of the landmark table.
+
+    A swing depends on late alone, one of lates (their place in it is given by the column late). So each is made
+    once, len(lates) * n rows, which are broadcast to tasks that are dealt out by task_id as all later steps want them.
+    """
+    spark = tasks.sparkSession
+    asked = tasks.select("task_id", (F.lit(0) if late is None else late).cast("int").alias("late_no"))
+    asked = asked.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "task_id")
+    shapes = spark.createDataFrame([(k, float(x)) for k, x in enumerate(lates)], "late_no int, late double")
+    rows = shapes.select("late_no", "late", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
     rows = rows.withColumn("frame_index", (F.col("i") * step).cast("int")).withColumn("ts", F.col("frame_index") / fps)
     t = F.col("ts")
     rows = rows.withColumns({k: eased(t, v, F.col("late")) for k, v in KEYS.items()})
@@ -87,15 +96,15 @@ def frames(tasks: DataFrame, late: Column | None = None, n: int = FRAMES, fps: f
         }
     )
     placed = {0, 11, 12, 13, 14, 15, 16, 23, 24, 25, 26, 27, 28}
-    world = F.array(*[c(f"p{k}") if k in placed else origin for k in range(33)])
-    rows = rows.withColumn("world", world)
-    norm = F.transform(
-        "world", lambda p: point(0.5 + (p["x"] + c("shift")) / 2.0, 0.55 + p["y"] / 2.6, p["z"])
-    )
-    return rows.select(
-        "task_id", "i", "frame_index", "ts", F.lit(True).alias("detected"), norm.alias("norm"), "world",
+    points = [c(f"p{k}") if k in placed else origin for k in range(33)]
+    world = F.array(*points)
+    seen = lambda p: point(0.5 + (p["x"] + c("shift")) / 2.0, 0.55 + p["y"] / 2.6, p["z"])
+    norm = F.array(*[seen(p) for p in points])  # point by point, so that points nobody asks for are not made
+    made = rows.select(
+        "late_no", "i", "frame_index", "ts", F.lit(True).alias("detected"), norm.alias("norm"), world.alias("world"),
         F.array_repeat(F.lit(0.95), 33).alias("vis"),
     )
+    return asked.join(F.broadcast(made), "late_no").drop("late_no")
 
 
 def videos(tasks: DataFrame, n: int = FRAMES, fps: float = FPS) -> DataFrame:

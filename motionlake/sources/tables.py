@@ -22,8 +22,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(df: DataFrame) -> DataFrame:
     """Written once to the folder that all executors share, and read back: later uses do not compute it again."""
     spark = df.sparkSession
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("motionlake.tables", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("motionlake.tables", None)
     if not at:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="motionlake-")
         spark.conf.set("motionlake.tables", at)
     path = f"{at}/motionlake-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"

@@ -43,9 +43,10 @@ def test_segmentation_of_the_fixture(analysis):
 
 
 def test_reanchor(analysis):
-    moved = {r.task_id: r for r in segment.reanchored(analysis.swings, F.get("idx", F.lit(5)) + 2).select("task_id", "idx", "moved").collect()}
+    new = lambda x: analysis.swings.select("task_id", x.alias("new"))
+    moved = {r.task_id: r for r in segment.reanchored(analysis.rows, analysis.swings, new(F.get("idx", F.lit(5)) + 2)).select("task_id", "idx", "moved").collect()}
     assert moved[0].moved and moved[0].idx[5] == 53 and not moved[9].moved
-    same = segment.reanchored(analysis.swings, F.lit(5)).where("task_id = 0").first()
+    same = segment.reanchored(analysis.rows, analysis.swings, new(F.lit(5))).where("task_id = 0").first()
     assert not same.moved and same.idx == [20, 27, 35, 42, 46, 51, 58, 74]
 
 
@@ -135,8 +136,8 @@ def test_refinement(spark, analysis):
     assert [r.peak for r in best.collect()] == [53]
     got = refine.accepted(best, analysis.swings).first()
     assert (got.old, got.new, got.delta, got.available) == (51, 52, 1, True)
-    assert refine.refine_frames(analysis.swings).where("task_id = 0").count() == 12
-    assert refine.reanchor_frames(analysis.swings).count() > 8
+    assert refine.refine_frames(analysis.rows, analysis.swings).where("task_id = 0").count() == 12
+    assert refine.reanchor_frames(analysis.rows, analysis.swings).count() > 8
 
 
 def test_sources(spark, swing, tmp_path):
