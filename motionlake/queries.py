@@ -15,6 +15,7 @@ from .plans.report import Analysis
 from .sources import synth
 from .sources.tables import read_table
 from .streaming.tasks import task_states
+from .swing_sql import metrics_sql, phase_name, risks_sql, swings_sql
 
 c = F.col
 USER = ["user_id"]
@@ -379,28 +380,30 @@ def swings(spark: SparkSession, sf_dir: str) -> Analysis:
     return Analysis(synth.frames(tasks, c("task_id") % len(LATES), LATES), synth.videos(tasks))
 
 
-@query()
+@query(swings_sql(LATES, "SELECT task_id, n, round(any_value(s), 6) AS scale, round(max(speed), 4) AS peak, round(max(h), 4) AS highest FROM c JOIN g USING (k) GROUP BY task_id, n"))
 def q_swing_signals(spark, sf_dir):
     s = swings(spark, sf_dir).swings
     return s.select("task_id", c("n").cast("long").alias("n"), F.round("S", 6).alias("scale"), F.round("peak_speed", 4).alias("peak"), F.round("highest", 4).alias("highest"))
 
 
-@query()
+@query(swings_sql(LATES, f"SELECT task_id, phase_no::INT AS phase_no, {phase_name('phase_no')} AS phase, i::INT AS array_index, i::INT AS frame_index, round(i / {synth.FPS}, 3) AS timestamp, est AS estimated FROM c JOIN ev USING (k)"))
 def q_swing_events(spark, sf_dir):
     return swings(spark, sf_dir).events
 
 
-@query()
+@query(swings_sql(LATES, "SELECT task_id, phase_no::INT AS phase_no, metric_key, value + 0.0 AS value, status, filled FROM c JOIN me USING (k)", metrics_sql()))
 def q_swing_metrics(spark, sf_dir):
-    return swings(spark, sf_dir).metrics.select("task_id", "phase_no", "metric_key", "value", "status", "filled")
+    value = (c("value") + 0.0).alias("value")  # no negative zero
+    return swings(spark, sf_dir).metrics.select("task_id", "phase_no", "metric_key", value, "status", "filled")
 
 
-@query()
+@query(swings_sql(LATES, "SELECT task_id, phase_no::INT AS phase_no, rule_id, level, value, description FROM c JOIN ri USING (k)", metrics_sql() + ", " + risks_sql()))
 def q_swing_risks(spark, sf_dir):
     return swings(spark, sf_dir).risks.select("task_id", "phase_no", "rule_id", "level", "value", "description")
 
 
-@query()
+@query(swings_sql(LATES, f"""SELECT task_id, round((max(i) FILTER (phase_no = 4) - max(i) FILTER (phase_no = 1)) / greatest(1, max(i) FILTER (phase_no = 6) - max(i) FILTER (phase_no = 4)), 4) AS tempo,
+    round((max(i) FILTER (phase_no = 8) - max(i) FILTER (phase_no = 1)) / {synth.FPS}, 4) AS duration FROM c JOIN ev USING (k) GROUP BY task_id"""))
 def q_swing_tempo(spark, sf_dir):
     e = swings(spark, sf_dir).events
     at = lambda p, col="array_index": F.max(F.when(c("phase") == p, c(col)))
