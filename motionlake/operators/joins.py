@@ -36,9 +36,11 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_a
     return met.select("__l.*", F.coalesce(near, "__a").alias(right_at))
 
 
-def within(left: DataFrame, right: DataFrame, keys: list[str], lo: Column, hi: Column, at: str) -> DataFrame:
-    """Range join; the equality on keys keeps it a hash join."""
-    return left.join(right, keys).where(F.col(at).between(lo, hi))
+def within(left: DataFrame, right: DataFrame, keys: list[str], lo: Column, hi: Column, at: str, width: int) -> DataFrame:
+    """Range join on keys and buckets of width (about hi - lo): a hot key meets only what lies near."""
+    bucket = lambda x: F.floor(x / F.lit(width)).cast("long")
+    asked = left.withColumn("__b", F.explode(F.sequence(bucket(lo), bucket(hi))))
+    return asked.join(right.withColumn("__b", bucket(F.col(at))), [*keys, "__b"]).where(F.col(at).between(lo, hi)).drop("__b")
 
 
 def greedy_matches(points: DataFrame, keys: list[str], radius: float) -> DataFrame:

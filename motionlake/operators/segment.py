@@ -78,7 +78,7 @@ def signals(frames: DataFrame, videos: DataFrame) -> DataFrame:
     g = group()
     moved = ["wrist_x", "wrist_y", "shoulder_y", "hip_y"]
     s = Series(series_of(frames, videos), KEY, ["i"]).filled([*moved, "shoulder_width"])
-    s = s.add("n", F.count(F.lit(1)).over(s.group)).add("step", c("frame_index") - F.lag("frame_index").over(s.by))
+    s = s.add("n", F.count(F.lit(1)).over(s.group).cast("int")).add("step", c("frame_index") - F.lag("frame_index").over(s.by))
     df = s.df.withColumn("S", F.median("shoulder_width").over(g)).withColumn("step", F.median(F.when(c("step") > 0, c("step"))).over(g))
     step = F.greatest(F.lit(1), F.coalesce(rounds(c("step")), F.lit(1)))
     df = df.withColumn("dt", F.when(c("fps") > 0, step / c("fps")).otherwise(1 / 30)).withColumn("fe", F.when(c("dt") > 0, 1 / c("dt")).otherwise(1.0))

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from .functions import geo as G
 from .functions import text as T
-from .operators import joins, risk
+from .operators import club, joins, risk
 from .operators.series import Series, even_subsample, increasing, top_k
-from .plans.report import Analysis
-from .sources import synth
+from .operators import refine
+from .plans import service
+from .plans.report import Analysis, quality_gate
+from .sources import synth, tables
 from .sources.tables import read_table
 from .streaming.tasks import task_states
 from .swing_sql import metrics_sql, phase_name, risks_sql, swings_sql
@@ -140,16 +142,18 @@ def q_monotonic_repair(spark, sf_dir):
 
 @query("SELECT event_id, user_id FROM events WHERE event_id % 5 = 0")
 def q_sample_step(spark, sf_dir):
-    return read_table(spark, sf_dir, "events").where("event_id % 5 = 0").select("event_id", "user_id")
+    e = read_table(spark, sf_dir, "events").select(c("user_id").alias("task_id"), c("event_id").alias("frame_index"))
+    steps = e.select("task_id").distinct().withColumn("sample_step", F.lit(5))
+    return tables.sampled(e, steps).select(c("frame_index").alias("event_id"), c("task_id").alias("user_id"))
 
 
 @query("""SELECT user_id, round(avg((event_type = 'view')::INT), 6) AS miss_ratio,
     CASE WHEN avg((event_type = 'view')::INT) > 0.5 THEN 'NO_PERSON' WHEN avg((event_type = 'view')::INT) > 0.15 THEN 'LOW_QUALITY'
-         WHEN avg((value < 50)::INT) > 0.3 THEN 'LOW_QUALITY' ELSE 'OK' END AS code FROM events GROUP BY user_id""")
+         WHEN avg(CASE WHEN event_type <> 'view' THEN (value < 50)::INT END) > 0.3 THEN 'LOW_QUALITY' ELSE 'OK' END AS code FROM events GROUP BY user_id""")
 def q_quality_gate(spark, sf_dir):
-    miss, low = F.avg((c("event_type") == "view").cast("double")), F.avg((c("value") < 50).cast("double"))
-    code = F.when(miss > 0.5, "NO_PERSON").when(miss > 0.15, "LOW_QUALITY").when(low > 0.3, "LOW_QUALITY").otherwise("OK")
-    return read_table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(miss, 6).alias("miss_ratio"), code.alias("code"))
+    seen = read_table(spark, sf_dir, "events").select(c("user_id").alias("task_id"), (c("event_type") != "view").alias("detected"), (c("value") / 100).alias("vis"))
+    gate = quality_gate(seen)
+    return gate.select(c("task_id").alias("user_id"), F.round("miss_ratio", 6).alias("miss_ratio"), F.coalesce("code", F.lit("OK")).alias("code"))
 
 
 @query("""SELECT user_id, count(*) AS n, max(value) AS peak, round(quantile_cont(value, 0.95) - min(value), 4) AS travel,
@@ -169,10 +173,8 @@ def q_median_scale(spark, sf_dir):
 
 @query("""SELECT l_orderkey, max(l_quantity) AS most, arg_max(k, (l_quantity, -k)) AS at FROM (SELECT *, l_partkey * 10 + l_linenumber AS k FROM lineitem) GROUP BY l_orderkey""")
 def q_argmax_first(spark, sf_dir):
-    k = c("l_partkey") * 10 + c("l_linenumber")
-    best = F.max(F.struct("l_quantity", (-k).alias("m")))
-    rows = read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(best.alias("b"))
-    return rows.select("l_orderkey", c("b.l_quantity").alias("most"), (-c("b.m")).alias("at"))
+    rows = Series(read_table(spark, sf_dir, "lineitem").withColumn("k", c("l_partkey") * 10 + c("l_linenumber")), ["l_orderkey"], ["k"])
+    return rows.df.groupBy("l_orderkey").agg(F.max("l_quantity").alias("most"), rows.first_max("l_quantity", "k").alias("at"))
 
 
 @query("""WITH p AS (SELECT user_id, ts AS at, event_id AS last_purchase FROM events WHERE event_type = 'purchase')
@@ -196,7 +198,7 @@ def q_nearest(spark, sf_dir):
 def q_range_window_join(spark, sf_dir):
     e = users(spark, sf_dir).df
     centre = e.where("event_type = 'purchase'").select("user_id", c("i").cast("long").alias("centre"))
-    met = joins.within(centre, e.select("user_id", "i", "value"), USER, c("centre") - 2, c("centre") + 5, "i")
+    met = joins.within(centre, e.select("user_id", "i", "value"), USER, c("centre") - 2, c("centre") + 5, "i", 8)
     return met.groupBy("user_id", "centre").agg(F.count("*").alias("n"), F.round(F.max("value"), 4).alias("most"))
 
 
@@ -208,12 +210,12 @@ _RULES = "('R1','high','>',9000.0),('R2','low','<',0.0),('R3','medium','>=',5000
         FROM customer CROSS JOIN r WHERE CASE op WHEN '>' THEN c_acctbal > threshold WHEN '<' THEN c_acctbal < threshold WHEN '>=' THEN c_acctbal >= threshold
             ELSE abs(c_acctbal - threshold) <= 1e-6 END) SELECT * FROM m""")
 def q_theta_rules(spark, sf_dir):
-    rules = spark.sql(f"SELECT * FROM VALUES {_RULES.replace('.0)', '.0D)')} AS t(rule_id, level, op, threshold)")
-    packed = rules.agg(F.collect_list(F.struct(risk.level_order(c("level")).alias("o"), "rule_id", "level", "op", "threshold")).alias("rules"))
-    rows = read_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal").crossJoin(F.broadcast(packed))  # one row
-    met = F.array_sort(F.filter("rules", lambda r: T.meets(r["op"], r["threshold"], c("c_acctbal"))))
-    out = rows.select("c_custkey", F.posexplode(met).alias("p", "r"))
-    return out.select("c_custkey", "r.rule_id", "r.level", (c("p") + 1).cast("long").alias("place"))
+    rules = spark.sql(f"""SELECT rule_id, level, 'or' AS logic, array(struct(op, threshold)) AS conditions
+        FROM VALUES {_RULES.replace('.0)', '.0D)')} AS t(rule_id, level, op, threshold)""")
+    rows = read_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal").crossJoin(F.broadcast(rules))  # four rows
+    met = rows.where(risk.matched(c("c_acctbal")))
+    place = F.row_number().over(Window.partitionBy("c_custkey").orderBy(risk.level_order(c("level")), "rule_id"))
+    return met.select("c_custkey", "rule_id", "level", place.cast("long").alias("place"))
 
 
 @query("""SELECT c_custkey, 'with' AS side FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)
@@ -412,3 +414,105 @@ def q_swing_tempo(spark, sf_dir):
         ((at("finish", "frame_index") - at("address", "frame_index")) / synth.FPS).alias("duration"),
     )
     return rows.select("task_id", F.round("tempo", 4).alias("tempo"), F.round("duration", 4).alias("duration"))
+
+
+@query(swings_sql(LATES, """SELECT task_id, count(*) FILTER (phase_no < 9) AS n_metrics, count(*) FILTER (phase_no = 9) AS n_global, any_value(n_risks) AS n_risks, 8::BIGINT AS n_phases
+    FROM c JOIN me USING (k) LEFT JOIN (SELECT k, count(*) AS n_risks FROM ri GROUP BY k) USING (k) GROUP BY task_id""", metrics_sql() + ", " + risks_sql()))
+def q_swing_report(spark, sf_dir):
+    """The nested JSON report, read back."""
+    told = swings(spark, sf_dir).report("https://host")
+    r = F.from_json("report", "phases array<struct<phase_no:int,metrics:array<struct<metric_key:string>>>>, global array<struct<metric_key:string>>, risk_count bigint")
+    rows = told.select("task_id", r.alias("r"))
+    n = F.aggregate("r.phases", F.lit(0), lambda s, p: s + F.size(p["metrics"]))
+    return rows.select("task_id", n.cast("long").alias("n_metrics"), F.size("r.global").cast("long").alias("n_global"), c("r.risk_count").alias("n_risks"), F.size("r.phases").cast("long").alias("n_phases"))
+
+
+@query(swings_sql(LATES, f"""SELECT task_id, x::INT AS frame_index FROM c JOIN ev USING (k) CROSS JOIN range({synth.FRAMES}) r(x)
+    WHERE phase_no = 6 AND x BETWEEN i - 3 AND i + 8"""))
+def q_swing_refine_frames(spark, sf_dir):
+    a = swings(spark, sf_dir)
+    return refine.refine_frames(a.rows, a.swings)
+
+
+@query(swings_sql(LATES, """SELECT task_id, (CASE WHEN moved THEN new ELSE old END)::INT AS impact, moved, (CASE WHEN moved THEN new - old ELSE 0 END)::INT AS delta FROM (
+    SELECT *, abs(peak - old) BETWEEN 1 AND 12 AND abs(new - old) BETWEEN 1 AND 12 AND new > top AND new < finish AS moved FROM (
+        SELECT task_id, old, top, finish, 52 + task_id % 4 AS peak, greatest(51 + task_id % 4, top + 2) AS new FROM c JOIN (
+            SELECT k, max(i) FILTER (phase_no = 6) AS old, max(i) FILTER (phase_no = 4) AS top, max(i) FILTER (phase_no = 8) AS finish FROM ev GROUP BY k) USING (k)))"""))
+def q_swing_refined(spark, sf_dir):
+    """Motion features with one clear peak; the whole analysis with refinement."""
+    a = swings(spark, sf_dir)
+    apart = F.abs(c("i") - (52 + c("task_id") % 4))
+    none = F.lit(None).cast("double")
+    motion = a.frames.select(
+        "task_id", "i", F.greatest(F.lit(0.0), 10.0 - 3.0 * apart).alias("motion_raw"), F.lit(10.0).alias("centroid_x"), F.lit(10.0).alias("centroid_y"),
+        none.alias("shaft_y"), none.alias("ball_x"), none.alias("ball_y"),
+    ).where(c("i").between(40, 70))
+    moved = Analysis(a.frames, a.videos, motion).swings
+    return moved.select("task_id", F.get("idx", F.lit(5)).alias("impact"), "moved", c("delta").cast("int").alias("delta"))
+
+
+@query("""WITH u AS (SELECT user_id, max(event_type = 'purchase') AS bought, max(event_type = 'error') AS failed, count(*) AS n FROM events GROUP BY user_id),
+    s AS (SELECT user_id, CASE WHEN n % 5 = 0 THEN 'TOO_DARK' WHEN n % 5 = 1 THEN NULL WHEN n % 5 = 2 THEN 'PENDING' WHEN n % 5 = 3 THEN 'WHAT' ELSE 'FILE_TOO_LARGE' END AS code FROM u)
+    SELECT user_id, CASE code WHEN 'TOO_DARK' THEN 10004 WHEN 'PENDING' THEN 20002 WHEN 'WHAT' THEN 10004 WHEN 'FILE_TOO_LARGE' THEN 10001 ELSE 0 END::INT AS api_code,
+        CASE code WHEN 'TOO_DARK' THEN 400 WHEN 'PENDING' THEN 409 WHEN 'WHAT' THEN 500 WHEN 'FILE_TOO_LARGE' THEN 400 ELSE 200 END::INT AS http FROM s""")
+def q_error_codes(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    kind = c("n") % 5
+    code = F.when(kind == 0, "TOO_DARK").when(kind == 2, "PENDING").when(kind == 3, "WHAT").when(kind == 4, "FILE_TOO_LARGE")
+    return service.coded(rows.withColumn("code", code)).select("user_id", "api_code", "http")
+
+
+@query("""SELECT user_id, no::INT AS no, CASE WHEN n % 6 > 4 OR no < n % 6 THEN 'done' WHEN no = n % 6 THEN 'doing' ELSE 'todo' END AS state
+    FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) CROSS JOIN (VALUES (1), (2), (3), (4)) t(no)""")
+def q_step_list(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "events").groupBy("user_id").agg((F.count("*") % 6).alias("step"))
+    states = rows.select(c("user_id").alias("task_id"), F.when(c("step") > 4, "success").otherwise("processing").alias("status"), "step")
+    return service.step_list(states).select(c("task_id").alias("user_id"), "no", "state")
+
+
+@query("""WITH w AS (SELECT user_id, event_type AS text, min((CASE event_type WHEN 'error' THEN 0 ELSE 1 END, event_id)) AS first FROM events GROUP BY ALL)
+    SELECT user_id, string_agg(text, ',' ORDER BY first) AS warnings FROM w GROUP BY user_id""")
+def q_warnings(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events")
+    found = e.select(c("user_id").alias("task_id"), F.when(c("event_type") == "error", 0).otherwise(1).alias("priority"), c("event_id").alias("place"), c("event_type").alias("text"))
+    return service.warnings(found).select(c("task_id").alias("user_id"), F.array_join("warnings", ",").alias("warnings"))
+
+
+def _heads(spark, sf_dir):
+    """Detections from events: a head at every third event of a user, at most 28 of each."""
+    rows = users(spark, sf_dir).df.where("i < 28")
+    seen = c("event_id") % 3 == 0
+    return rows.select(
+        c("user_id").alias("task_id"), c("i").alias("frame_index"), F.when(seen, c("value")).alias("head_x"), F.when(seen, c("value") * 2).alias("head_y"),
+        F.when(seen, 0.8).otherwise(0.2).alias("confidence"), F.when(seen, "hough").otherwise("none").alias("method"),
+    )
+
+
+@query(f"""WITH {NUMBERED}, d AS (SELECT user_id, i, CASE WHEN event_id % 3 = 0 THEN value END AS x, CASE WHEN event_id % 3 = 0 THEN 0.8::DOUBLE ELSE 0.2::DOUBLE END AS conf FROM e WHERE i < 28),
+    k AS (SELECT *, last_value(x IGNORE NULLS) OVER b AS x0, last_value(CASE WHEN x IS NOT NULL THEN i END IGNORE NULLS) OVER b AS i0, first_value(x IGNORE NULLS) OVER a AS x1,
+            first_value(CASE WHEN x IS NOT NULL THEN i END IGNORE NULLS) OVER a AS i1, count(*) OVER (PARTITION BY user_id) AS m FROM d
+        WINDOW b AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+    f AS (SELECT *, CASE WHEN i0 = i1 THEN x0 ELSE coalesce(x0 + (x1 - x0) * (i - i0) / (i1 - i0), x0, x1) END AS y FROM k)
+    SELECT user_id, i, round(CASE WHEN m >= 3 THEN (coalesce(lag(y) OVER w, y) + y + coalesce(lead(y) OVER w, y)) / 3 ELSE y END, 4) AS head_x,
+        CASE WHEN x IS NULL AND y IS NOT NULL THEN conf / 2 ELSE conf END AS confidence FROM f WINDOW w AS (PARTITION BY user_id ORDER BY i)""")
+def q_club_smoothed(spark, sf_dir):
+    d = club.smoothed(_heads(spark, sf_dir))
+    return d.select(c("task_id").alias("user_id"), c("frame_index").cast("long").alias("i"), F.round("head_x", 4).alias("head_x"), "confidence")
+
+
+@query(f"""WITH {NUMBERED}, d AS (SELECT user_id, i, event_type, event_id % 3 = 0 AS seen, CASE WHEN event_id % 3 = 0 THEN 0.8::DOUBLE ELSE 0.2::DOUBLE END AS conf FROM e WHERE i < 28)
+    SELECT user_id, CASE WHEN count(*) FILTER (seen) > 0 THEN coalesce(median(conf) FILTER (event_type = 'purchase'), median(conf)) ELSE 0::DOUBLE END AS confidence, count(*) FILTER (seen) AS n_found FROM d GROUP BY user_id""")
+def q_club_confidence(spark, sf_dir):
+    d = _heads(spark, sf_dir)
+    key = users(spark, sf_dir).df.where("event_type = 'purchase'").select(c("user_id").alias("task_id"), c("i").alias("frame_index"), F.lit("top").alias("phase"))
+    t = club.tracks(d.select("task_id").distinct(), d, key)
+    return t.select(c("task_id").alias("user_id"), "confidence", "n_found")
+
+
+@query("""WITH p AS (SELECT c_custkey AS id, (c_custkey % 200)::DOUBLE AS h, (c_custkey % 17)::DOUBLE AS w, CASE WHEN c_custkey % 2 = 0 THEN 'face_on' ELSE 'down_the_line' END AS v FROM customer),
+    q AS (SELECT id, v, CASE WHEN h * 0.59 >= 10 THEN h * 0.59 END AS a, CASE WHEN w * 2.4 >= 10 THEN w * 2.4 END AS b FROM p)
+    SELECT id, round(CASE WHEN v = 'down_the_line' THEN coalesce(a, b) ELSE coalesce(b, a) END, 4) AS club_px FROM q""")
+def q_club_length(spark, sf_dir):
+    view = F.when(c("c_custkey") % 2 == 0, "face_on").otherwise("down_the_line")
+    prior = club.length_prior(view, (c("c_custkey") % 200).cast("double"), (c("c_custkey") % 17).cast("double"))
+    return read_table(spark, sf_dir, "customer").select(c("c_custkey").alias("id"), F.round(prior, 4).alias("club_px"))

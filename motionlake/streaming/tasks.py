@@ -2,7 +2,8 @@
 
 The log has one row per update: task_id, at (seconds), seq, kind (create, progress,
 fail or succeed), step, progress. In a batch the state is a window over the log; in a
-stream the same rules run as a keyed state.
+stream the same rules run as a keyed state. A terminal state is final in both: a success that
+is reported after a timeout does not undo it.
 """
 
 from __future__ import annotations
@@ -82,23 +83,28 @@ def folded(state: tuple | None, rows: pd.DataFrame) -> tuple:
     return status, progress, step, started, updated
 
 
-def task_stream(log: DataFrame) -> DataFrame:
-    """The state of every task that a micro-batch touches. Idle unfinished tasks fail by a processing-time timer."""
+def task_stream(log: DataFrame, lateness: str = "10 seconds") -> DataFrame:
+    """The state of every task that a micro-batch touches.
+
+    Time is the log's: an unfinished task fails once the log has passed TASK_TIMEOUT_SEC after its start, however
+    often it has reported since; a finished one is forgotten RESULT_TTL_HOURS after its end.
+    """
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             status, progress, step, started, updated = state.get
-            done = status in ("success", "failed")
-            if done:
+            if status in ("success", "failed"):
                 state.remove()
                 return
-            now = ("failed", progress, step, started, updated)
+            now = ("failed", progress, step, started, started + TASK_TIMEOUT_SEC)
         else:
             rows = pd.concat(list(parts)).sort_values(["at", "seq"])
             now = folded(state.get if state.exists else None, rows)
         state.update(now)
         terminal = now[0] in ("success", "failed")
-        state.setTimeoutDuration(int(1000 * (RESULT_TTL_HOURS * 3600 if terminal else TASK_TIMEOUT_SEC)))
+        end = now[4] + RESULT_TTL_HOURS * 3600 if terminal else now[3] + TASK_TIMEOUT_SEC
+        state.setTimeoutTimestamp(max(int(1000 * end), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([(key[0], *now)], columns=["task_id", "status", "progress", "step", "started", "updated"])
 
-    return log.groupBy("task_id").applyInPandasWithState(update, OUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = log.withColumn("event_time", F.timestamp_millis((c("at") * 1000).cast("long"))).withWatermark("event_time", lateness)
+    return timed.groupBy("task_id").applyInPandasWithState(update, OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)

@@ -189,6 +189,32 @@ def test_task_state_batch_and_stream(spark, tmp_path):
     assert {r.task_id: (r.status, r.progress, r.step) for r in spark.table("states").collect()} == got
 
 
+def test_stream_times_out_by_the_log(spark, tmp_path):
+    """Task 1 reports every minute and never ends; task 2 moves the log on."""
+    schema = "task_id bigint, at double, seq bigint, kind string, step int, progress double"
+    logs = [
+        [(1, 0.0, 1, "create", 0, None), (1, 60.0, 2, "progress", 1, 0.1)],
+        [(1, 110.0, 3, "progress", 1, 0.2), (2, 119.0, 4, "create", 0, None)],
+        [(2, 200.0, 5, "progress", 1, 0.1)],
+        [(2, 210.0, 6, "progress", 1, 0.2)],
+    ]
+    stream = tasks.task_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "log")))
+    q = stream.writeStream.format("memory").queryName("timed").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        for k, rows in enumerate(logs):
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+            end = time.time() + 60
+            while spark.table("timed").where(F.col("updated") >= rows[-1][1]).count() == 0 and time.time() < end:
+                time.sleep(0.5)
+        end = time.time() + 60
+        while spark.table("timed").where("status = 'failed'").count() == 0 and time.time() < end:
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    failed = spark.table("timed").where("status = 'failed'").collect()
+    assert [(r.task_id, r.updated, r.progress) for r in failed] == [(1, 120.0, 0.2)]
+
+
 def test_series_passthrough(spark):
     s = Series(spark.createDataFrame([(1, 0, 3.0), (1, 1, None)], "k int, i int, v double"), ["k"], ["i"])
     assert [r.f for r in s.gap_filled("v", "f").df.orderBy("i").collect()] == [3.0, 3.0]
