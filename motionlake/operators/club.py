@@ -87,18 +87,19 @@ def targets(anchors: Column) -> Column:
     return F.array_sort(F.array_union(anchors, F.filter(F.transform(anchors, lambda a: a - 1), lambda a: a >= 0)))
 
 
-def planned(swings: DataFrame, budget_bytes: int | None = None) -> DataFrame:
-    """task_id, anchors, targets: the event frames, frames between top and impact, and what fits the budgets.
+def planned(rows: DataFrame, swings: DataFrame, budget_bytes: int | None = None) -> DataFrame:
+    """task_id, anchors, targets: the event frames, frames between top and impact, and what fits the budgets. rows: task_id, i, frame_index.
 
     Over the byte budget anchors between the events go one by one; then the frames before the anchors go too.
     """
-    frame = lambda i: F.get("frame_index", i)
-    top, hit = F.get("idx", F.lit(3)), F.get("idx", F.lit(5))
     own = swings.where("code is null").select(
         "task_id", (F.greatest(F.lit(1), c("width") * c("height") * 3)).cast("bigint").alias("frame_bytes"),
-        F.array_sort(F.array_distinct(F.transform("idx", frame))).alias("events"),
-        F.transform(F.sequence(F.least(top, hit), F.greatest(top, hit)), frame).alias("between"),
+        F.transform("at", lambda x: x["frame_index"]).alias("events"), F.get("idx", F.lit(3)).alias("top"), F.get("idx", F.lit(5)).alias("hit"),
     )
+    met = rows.select("task_id", "i", "frame_index").join(own.select("task_id", "top", "hit"), "task_id")
+    met = met.where(c("i").between(F.least("top", "hit"), F.greatest("top", "hit")))
+    between = met.groupBy("task_id").agg(F.array_sort(F.collect_list("frame_index")).alias("between"))
+    own = own.join(between, "task_id")
     whole = F.array_sort(F.array_union("events", spread(c("between"), F.lit(WINDOW_SAMPLES))))
     out = own.withColumn("anchors", whole)
     out = out.withColumn("anchors", trimmed(c("anchors"), c("events"), F.lit(max(8, C.CLUB_MAX_FRAMES // 2))))

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from motionlake import queries
 from motionlake.dims import metric_specs, risk_rules
 from motionlake.functions import geo, text
-from motionlake.operators import joins, refine, risk, segment
+from motionlake.operators import club, joins, refine, risk, segment
 from motionlake.operators.series import Series, increasing
-from motionlake.plans import report
+from motionlake.plans import report, service
 from motionlake.sources import synth, tables
 from motionlake.streaming import tasks
 
@@ -189,6 +189,67 @@ def test_task_state_batch_and_stream(spark, tmp_path):
     assert {r.task_id: (r.status, r.progress, r.step) for r in spark.table("states").collect()} == got
 
 
+def test_club_track(spark):
+    one = spark.range(1)
+    get = lambda col: one.select(col.alias("v")).first().v
+    p = lambda x, y: geo.point(F.lit(x), F.lit(y))
+    assert get(club.grip(p(1.0, 1.0), p(3.0, 3.0)))["x"] == 2.0 and get(club.grip(p(float("nan"), 1.0), p(3.0, 3.0))) is None
+    fan = lambda x, y: get(club.in_fan(p(x, y), p(0.0, 0.0), p(0.0, 1.0), F.lit(25.0), F.lit(10.0)))
+    assert fan(0.0, 9.0) and fan(2.0, 6.0) and not fan(0.0, 11.0) and not fan(9.0, 1.0)
+    assert get(club.in_fan(p(99.0, 0.0), p(0.0, 0.0), p(0.0, 0.0), F.lit(25.0), F.lit(10.0)))
+    px = spark.createDataFrame([(1, 5, [(float(k * 10), float(k), 0.0) for k in range(33)])], "task_id int, frame_index int, px array<struct<x:double,y:double,z:double>>")
+    bones = club.segments(px)
+    assert bones.count() == 12
+    lines = spark.createDataFrame([(1, 5, 110.0, 11.0, 150.0, 15.0), (1, 5, 0.0, 500.0, 1.0, 600.0)], "task_id int, frame_index int, ax double, ay double, bx double, by double")
+    lengths = spark.createDataFrame([(1, 100.0)], "task_id int, club_px double")
+    assert [r.ay for r in club.off_skeleton(lines, bones, lengths).collect()] == [500.0]
+    frames = spark.createDataFrame([(1, 1, 0.1), (1, 2, 3.0), (1, 3, 0.1), (1, 4, None)], "task_id int, frame_index int, speed double")
+    found = spark.createDataFrame(
+        [(1, 1, "hough", 1.0, 1.0, 0.9), (1, 1, "framediff", 2.0, 2.0, 0.95), (1, 2, "hough", 1.0, 1.0, 0.9), (1, 2, "framediff", 2.0, 2.0, 0.5), (1, 3, "framediff", 2.0, 2.0, 0.04)],
+        "task_id int, frame_index int, branch string, head_x double, head_y double, confidence double",
+    )
+    got = {r.frame_index: r.method for r in club.chosen(frames, found).collect()}
+    assert got == {1: "hough", 2: "framediff", 3: "none", 4: "none"}
+    seen = spark.createDataFrame([(1, 1, 0.0, 0.0, None, None), (1, 2, 0.0, 0.0, 1.0, 0.0), (1, 3, 0.0, 1.0, None, None)], "task_id int, frame_index int, grip_x double, grip_y double, dir_x double, dir_y double")
+    way = {r.frame_index: (round(r.pred_x, 4), round(r.pred_y, 4), r.fan_deg) for r in club.predicted(seen).collect()}
+    assert way == {1: (0.0, 1.0, 45.0), 2: (0.0, 1.0, 45.0), 3: (0.9578, 0.2873, 25.0)}
+    none = club.tracks(frames.select("task_id").distinct(), club.chosen(frames, found.limit(0)), spark.createDataFrame([], "task_id int, frame_index int, phase string"))
+    assert [(r.confidence, r.available, r.n_found) for r in none.collect()] == [(0.0, False, 0)]
+
+
+def test_club_plan(analysis):
+    for budget, most in ((None, 28), (480 * 854 * 3 * 20, 20), (480 * 854 * 3 * 4, 8)):
+        r = club.planned(analysis.rows, analysis.swings, budget).where("task_id = 0").first()
+        assert {20, 27, 35, 42, 46, 51, 58, 74} <= set(r.anchors) and len(r.anchors) <= 14 and len(r.targets) <= most
+        assert r.anchors == sorted(set(r.anchors)) and set(r.anchors) <= set(r.targets)
+
+
+def test_service(spark, analysis, tmp_path):
+    assert service.health(spark).first().status == "ok"
+    files = spark.createDataFrame(
+        [(1, "a.mp4", 10, "video/mp4", "file"), (1, "b.mov", 10, None, "video"), (2, "x.exe", 10, None, "file"), (3, "c.mp4", 0, None, "file"), (4, "d.mp4", 9, "text/plain", "file"), (5, "e.mp4", 1 << 30, "", "video")],
+        "task_id int, name string, length bigint, content_type string, field string",
+    )
+    good, bad = service.submitted(files, F.lit(7.0))
+    assert [(r.task_id, r.kind, r.at) for r in good.collect()] == [(1, "create", 7.0)]
+    assert {r.task_id: (r.code, r.api_code, r.http) for r in bad.collect()} == {2: ("BAD_FORMAT", 10002, 400), 3: ("EMPTY", 10002, 400), 4: ("BAD_FORMAT", 10002, 400), 5: ("FILE_TOO_LARGE", 10001, 400)}
+    states = spark.createDataFrame([(0, "success"), (9, "failed"), (5, "processing")], "task_id bigint, status string")
+    asked = spark.createDataFrame([(0,), (9,), (5,), (77,)], "task_id bigint")
+    got = {r.task_id: (r.code, r.http, r.report is not None) for r in service.results(asked, states, analysis.report()).collect()}
+    assert got == {0: (None, 200, True), 9: ("INTERNAL", 500, False), 5: ("PENDING", 409, False), 77: ("NOT_FOUND", 404, False)}
+    assert service.coded(spark.createDataFrame([("TOO_DARK",)], "code string"), legacy=True).first().api_code == 4001
+    view = {r.phase_no: (r.least, r.most, r.shown_first) for r in service.phase_view(analysis.events.where("task_id = 0"), analysis.videos).collect()}
+    assert view[1] == (0, 50, False) and view[4] == (12, 72, True) and view[8] == (44, 104, False)
+    present = spark.createDataFrame([("/v/a.mp4",)], "path string")
+    assert [r.name for r in service.cases(spark, [("a", "/v/a.mp4"), ("b", "/v/b.mp4")], present).collect()] == ["a"]
+    service.dump_reports(analysis.report(), str(tmp_path / "reports"))
+    assert service.read_reports(spark, str(tmp_path / "reports")).first().risk_count == 1
+    lines = [r.line for r in service.markdown_rows(spark.createDataFrame([(2, "x|y"), (1, None)], "a int, b string"), ["a", "b"], ["a"]).collect()]
+    assert lines == ["| a | b |", "|-|-|", "| 1 | - |", "| 2 | x\\|y |"]
+    faults = spark.createDataFrame([("a.avi", 5.0, 1), ("a.mp4", 1.0, 1), ("a.mp4", 5.0, 1 << 30), ("a.mp4", 5.0, 1)], "name string, duration double, length bigint")
+    assert [r.fault for r in service.first_fault(faults).collect()] == ["BAD_FORMAT", "BAD_DURATION", "FILE_TOO_LARGE", None]
+
+
 def test_stream_times_out_by_the_log(spark, tmp_path):
     """Task 1 reports every minute and never ends; task 2 moves the log on."""
     schema = "task_id bigint, at double, seq bigint, kind string, step int, progress double"
