@@ -94,10 +94,10 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int, fr
         np.add(row, padded[i : i + len(at)] != item[i], out=new)
         np.minimum(new[:-1], row[1:] + 1, out=new[:-1])
         row = np.minimum.accumulate(new - at) + at
-        if row.min() > most:
+        if i % 8 == 7 and row.min() > most:
             return None
     d = int(row.argmin())
-    return int(row[d]), min(max(m + low + d, 0), n)
+    return (int(row[d]), min(max(m + low + d, 0), n)) if row[d] <= most else None
 
 
 class Unit:
@@ -154,7 +154,9 @@ class Index:
             real = self.keys[k] == h[at]
             at, k = at[real], k[real]
             n = self.last[k] - self.first[k]
-            for part in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(n) // WINDOW)) + 1):
+            upto = np.cumsum(n)
+            few = not len(n) or upto[-1] <= WINDOW
+            for part in [slice(None)] if few else np.split(np.arange(len(n)), np.flatnonzero(np.diff(upto // WINDOW)) + 1):
                 m = n[part]
                 where = np.repeat(self.first[k[part]] - np.append(0, np.cumsum(m)[:-1]), m) + np.arange(m.sum())
                 places = np.repeat(at[part] + start, m)
@@ -197,6 +199,7 @@ class Items:
             held = PIECE - Q + 1 - units[0].edits * Q
             bounds = np.array([held - (gone[j][a + PIECE - Q + 1] - gone[j][a]) for a in starts])
             self.pieces[j] = starts, units, bounds
+        self.loose_pieces = {j: [u for u, b in zip(units, bounds) if b < 1] for j, (_, units, bounds) in self.pieces.items() if bounds.min() < 1}
         self.piece_least = np.array([max(1, self.pieces[j][2].min()) if j in self.pieces else _FAR for j in range(len(kept))], np.int64)
         self.longest = int(size.max()) if len(size) else 0
 
@@ -215,21 +218,23 @@ class Items:
             got = self.units[j].met(text, c, -self.units[j].size, len(c), self.units[j].edits)
             if got:
                 best[j] = got
-        for j, (_, units, bounds) in self.pieces.items():
-            if j not in best and bounds.min() < 1:
-                got = [x for u, b in zip(units, bounds) if b < 1 and (x := u.met(text, c, -u.size, len(c), u.edits))]
-                if got:
-                    best[j] = min(got, key=lambda x: x[2])
+        for j, units in self.loose_pieces.items():
+            got = [] if j in best else [x for u in units if (x := u.met(text, c, -u.size, len(c), u.edits))]
+            if got:
+                best[j] = min(got, key=lambda x: x[2])
         return found + [(self.ids[j], *best[j]) for j in sorted(best)]
 
     def _search(self, index: Index, text: str, c: np.ndarray, best: dict[int, tuple]) -> None:
         shift = self.longest  # no diagonal is below its negative
         span = len(c) + 2 * shift + 2
-        chunks = [np.unique(item * span + (diagonal + shift) // self.width[item], return_counts=True) for item, diagonal, _ in index.hits(c)]
-        if not any(len(k) for k, _ in chunks):
+        chunks = [np.unique(item * span + (diagonal + shift) // self.width[item], return_counts=True) for item, diagonal, _ in index.hits(c) if len(item)]
+        if not chunks:
             return
-        keys, back = np.unique(np.concatenate([k for k, _ in chunks]), return_inverse=True)
-        pair = paired(keys, np.bincount(back, np.concatenate([n for _, n in chunks])).astype(np.int64))
+        keys, counts = chunks[0]
+        if len(chunks) > 1:
+            keys, back = np.unique(np.concatenate([k for k, _ in chunks]), return_inverse=True)
+            counts = np.bincount(back, np.concatenate([n for _, n in chunks])).astype(np.int64)
+        pair = paired(keys, counts)
         of = keys // span
         for key, j in zip(keys[pair >= self.bound[of]].tolist(), of[pair >= self.bound[of]].tolist()):
             u, w = self.units[j], int(self.width[j])
