@@ -181,6 +181,14 @@ def rarity(docs: DataFrame, text_col: str, size: int) -> Rarity:
     return Rarity(np.log2(words + 1).astype(np.float32), float(np.log2(words.sum() + 1)), passages.astype(np.float32))
 
 
+TEXT_KEYS = ["text_key", "text_key2"]
+
+
+def text_keys(text: str) -> list[Column]:
+    """What a text is found again by: 96 bits in two hashes."""
+    return [F.xxhash64(text).alias("text_key"), F.hash(text).alias("text_key2")]
+
+
 def part_sizes(s: np.ndarray) -> np.ndarray:
     """The sizes of the set s in equal parts of the shingle space; the more parts, the larger the set."""
     bits = min(max(len(s).bit_length() - 3, 5), 12)
@@ -188,9 +196,9 @@ def part_sizes(s: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, rare: Rarity) -> DataFrame:
-    """id, text_key, n, d1, d2 (together the set's digest), anchors (its rarest shingles), parts: one row per row of docs."""
+    """id, TEXT_KEYS, n, d1, d2 (together the set's digest), anchors (its rarest shingles), parts: one row per row of docs."""
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    rows = rows.select(F.struct("id", F.xxhash64("text").alias("text_key")).alias("key"), "text")
+    rows = rows.select(F.struct("id", *text_keys("text")).alias("key"), "text")
     told = docs.sparkSession.sparkContext.broadcast(rare)
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,15 +228,15 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
 
     kind = rows.schema["key"].dataType.simpleString()
     out = rows.mapInArrow(sketched, f"key {kind}, n int, d1 bigint, d2 bigint, anchors array<bigint>, parts binary")
-    return out.select("key.id", "key.text_key", "n", "d1", "d2", "anchors", "parts")
+    return out.select("key.*", "n", "d1", "d2", "anchors", "parts")
 
 
 def sets_of(docs: DataFrame, text_col: str, size: int, wanted: DataFrame) -> DataFrame:
-    """node, n, set of the rows of wanted (node, text_key)."""
-    text = docs.select(docs[text_col].cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
-    if wanted.count() <= BROADCAST_ROWS:  # 16 bytes a row; beyond that the texts are shuffled
+    """node, n, set of the rows of wanted (node, TEXT_KEYS)."""
+    text = docs.select(docs[text_col].cast("string").alias("text")).select("text", *text_keys("text"))
+    if wanted.count() <= BROADCAST_ROWS:  # 20 bytes a row; beyond that the texts are shuffled
         wanted = F.broadcast(wanted)
-    met = text.join(wanted, "text_key").select("node", "text")
+    met = text.join(wanted, TEXT_KEYS).select("node", "text")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -378,7 +386,7 @@ def region_links(percent: int, whole: bool = False):
 
 
 class Join:
-    """One join of classes (node, text_key, n, anchors, parts)."""
+    """One join of classes (node, TEXT_KEYS, n, anchors, parts)."""
 
     def __init__(self, tables: Tables, classes: DataFrame, docs: DataFrame, text_col: str, size: int, percent: int):
         self.tables, self.classes, self.docs, self.text_col, self.size, self.percent = tables, classes, docs, text_col, size, percent
@@ -483,7 +491,7 @@ class Join:
         t = self.tables
         met = self.regions()
         rows = self.bounded(met)
-        wanted = t.cut(rows.select("node").distinct().join(self.classes.select("node", "text_key"), "node"))
+        wanted = t.cut(rows.select("node").distinct().join(self.classes.select("node", *TEXT_KEYS), "node"))
         self.sets = t.cut(sets_of(self.docs, self.text_col, self.size, wanted))
         rows = rows.join(self.classes.select("node", "n"), "node").select("region", "node", "n")
         found, level = [], 0
@@ -507,7 +515,7 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
     t = Tables(docs.sparkSession)
     rows = t.cut(sketches(docs, id_col, text_col, size, percent, rarity(docs, text_col, size)).withColumn("rid", F.monotonically_increasing_id()))
     key = ["n", "d1", "d2"]
-    firsts = [F.first(c).alias(c) for c in ("text_key", "anchors", "parts")]
+    firsts = [F.first(c).alias(c) for c in (*TEXT_KEYS, "anchors", "parts")]
     classes = t.cut(rows.where("n > 0").groupBy(*key).agg(F.min("rid").alias("node"), *firsts))
     comps = Join(t, classes, docs, text_col, size, percent).run().withColumnRenamed("u", "node")
     classed = rows.select("id", "text_key", "rid", *key).join(classes.select(*key, "node"), key, "left")
@@ -523,7 +531,7 @@ def jaccard_components(
 ) -> DataFrame:
     """id, n_shingles, component_id and class (of equal sets) of every row of docs."""
     placed = _placed(docs, id_col, text_col, size, percent)
-    least = placed.groupBy("comp").agg(F.min("id").alias("component_id"))
+    least = cut(placed.groupBy("comp").agg(F.min("id").alias("component_id")))  # a side of its own: a large component can be split
     out = placed.join(least, "comp")
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id", F.col("node").alias("class"))
 
