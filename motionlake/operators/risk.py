@@ -43,13 +43,13 @@ def risks(metrics: DataFrame, rules: DataFrame, forced: tuple[str, ...] = (), en
     met = met.where(F.array_contains("rule_views", c("view")) & matched(c("value")))
     return met.select(
         "task_id", "phase_no", "phase", "rule_id", "level", level_order(c("level")).alias("level_no"), "metric_key", "value", "unit",
-        "ref_min", "ref_max", description(c("value")).alias("description"), "suggestions",
+        "ref_min", "ref_max", description(c("value")).alias("description"), "name", "suggestions", "excerpt",
     )
 
 
 def per_phase(found: DataFrame, tasks: DataFrame, phases: DataFrame) -> DataFrame:
     """Every task and phase with its risks in order of level and rule; an empty list where there are none."""
-    items = F.array_sort(F.collect_list(F.struct("level_no", "rule_id", "level", "metric_key", "value", "description", "suggestions")))
+    items = F.array_sort(F.collect_list(F.struct("level_no", "rule_id", "name", "level", "phase", "metric_key", "value", "unit", "ref_min", "ref_max", "description", "suggestions", "excerpt")))
     lists = found.groupBy("task_id", "phase_no").agg(items.alias("risks"))
     grid = tasks.select("task_id").crossJoin(F.broadcast(phases))  # eight rows
     out = grid.join(lists, ["task_id", "phase_no"], "left")

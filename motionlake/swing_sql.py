@@ -5,7 +5,7 @@ over the frames of a swing. The swings are those of sources.synth, one per custo
 from __future__ import annotations
 
 from . import config as C
-from .dims import BRANCHES, DROPPABLE, LEVELS, NOT_CRITICAL, PHASES, RULES, SPECS
+from .dims import BRANCHES, DROPPABLE, FACE, LEVELS, NOT_CRITICAL, PHASES, RULES, SPECS
 from .sources import synth
 
 FE = synth.FPS
@@ -155,10 +155,9 @@ def metrics_sql() -> str:
         "balance_hold_sec": "hold", "tempo_ratio": "tempo", "swing_duration": "lasts", "max_head_drift_pct": "drift",
     }
     rows = []
-    for no, line in enumerate(SPECS.split("\n")[1:-1]):
-        phase, key, impl, unit, lo, hi, views = line.split(" ")
-        if "F" in views:
-            rows.append(f"({no}, {PHASES.index(phase) + 1 if phase in PHASES else 9}, '{key}', '{impl}', '{'' if unit == '-' else unit}', {float(lo)}::DOUBLE, {float(hi)}::DOUBLE, {key in DROPPABLE}, {key not in NOT_CRITICAL})")
+    for no, (phase, key, impl, unit, lo, hi, views) in enumerate(SPECS):
+        if FACE in views:
+            rows.append(f"({no}, {PHASES.index(phase) + 1 if phase in PHASES else 9}, '{key}', '{impl}', '{unit}', {lo}::DOUBLE, {hi}::DOUBLE, {key in DROPPABLE}, {key not in NOT_CRITICAL})")
     every = [*measures, *derived]
     value = " ".join(f"WHEN '{x}' THEN {x}" for x in every)
     return f"""
@@ -186,12 +185,11 @@ def metrics_sql() -> str:
 def risks_sql() -> str:
     """ri: k, phase_no, rule_id, level, value, description."""
     rows = []
-    for line in RULES.split("\n")[1:-1]:
-        rule, level, phase, metric, conditions, views, on = line.split(" ")
-        if on != "y" or "F" not in views:
+    for rule, level, phase, metric, conditions, views, on in RULES:
+        if not on or FACE not in views:
             continue
-        test = " OR ".join(f"value {x.replace('==', '=')}" for x in conditions.split(","))
-        first = conditions.split(",")[0].lstrip("<>=")
+        test = " OR ".join(f"value {'=' if op == '==' else op} {x}" for op, x in conditions)
+        first = conditions[0][1]
         branch = " ".join(f"WHEN value {op} {t} THEN '{text}'" for op, t, text in BRANCHES.get(rule, []))
         branch = f"CASE {branch} ELSE '' END" if branch else "''"
         show = lambda v: f"CASE WHEN unit IN ('°', '%') THEN printf('%.1f', ({v})::DOUBLE) ELSE printf('%.2f', ({v})::DOUBLE) END"
