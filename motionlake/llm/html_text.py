@@ -22,9 +22,9 @@ pass through an element, class, id or role of page furniture: menus, headers,
 footers, sidebars, notices, adverts, forms, comments. A page without a text on its host's content paths is hinted by its own paths. A page's
 text is what is left, block by block.
 
-Wrappers are inferred inside each task first and merged per host after that (a
+Wrappers are inferred inside each task first and merged per host after that, as a tree (a
 merge is an alignment of two wrappers), so a host with most of the pages sends one
-small row per task. All pages are aligned. Pages then meet their wrapper: where all
+small row per task, and no merge takes more than a few dozen or a small part of them. All pages are aligned. Pages then meet their wrapper: where all
 wrappers together are below ``BROADCAST_CHARS`` these go to the pages, which stay where
 they are; beyond that the pages are dealt out by host and one of ``SALTS`` salts, with a
 copy of each wrapper per salt.
@@ -48,6 +48,7 @@ from functools import lru_cache
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +56,7 @@ from .common import cut
 
 BROADCAST_CHARS = 32_000_000
 SALTS = 64
+MERGE_SALTS = (4096, 64, 1)
 WITNESSES = 3
 DEPTH = 150
 
@@ -440,18 +442,23 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
             for host, page in zip(b.column(0).to_pylist(), b.column(1)):
                 items = page_items(page.as_py() or "")
                 of[host] = align(of[host], items) if host in of else items
+        salt = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(of), pa.string()), pa.array([json.dumps(w) for w in of.values()], pa.string())], ["host", "wrapper"]
+            [pa.array(list(of), pa.string()), pa.array([salt] * len(of), pa.int32()), pa.array([json.dumps(w) for w in of.values()], pa.string())],
+            ["host", "salt", "wrapper"],
         )
 
     def merged(part: pd.DataFrame) -> pd.DataFrame:
         whole = None
         for w in sorted(set(part["wrapper"])):
             whole = json.loads(w) if whole is None else align(whole, json.loads(w))
-        return pd.DataFrame({"host": [part["host"].iloc[0]], "wrapper": [json.dumps(whole)]})
+        return pd.DataFrame({"host": [part["host"].iloc[0]], "salt": [part["salt"].iloc[0]], "wrapper": [json.dumps(whole)]})
 
-    schema = "host string, wrapper string"
-    return rows.mapInArrow(local, schema).groupBy("host").applyInPandas(merged, schema)
+    schema = "host string, salt int, wrapper string"
+    out = rows.mapInArrow(local, schema)
+    for salts in MERGE_SALTS:  # a host with very many tasks is merged as a tree
+        out = out.withColumn("salt", F.col("salt") % salts).groupBy("host", "salt").applyInPandas(merged, schema)
+    return out.drop("salt")
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
