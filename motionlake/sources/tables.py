@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.text import extension
+from ..operators.series import Series, smoothing_width
 
 POINT = "struct<x:{0},y:{0},z:{0}>"
 LANDMARKS = "task_id bigint, i int, frame_index int, ts double, detected boolean, norm array<{p}>, world array<{p}>, vis array<{t}>"
@@ -52,6 +53,38 @@ def load_landmarks(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumns({"norm": F.col("norm").cast(double), "world": F.col("world").cast(double), "vis": F.col("vis").cast("array<double>")})
 
 
+def cleaned_landmarks(frames: DataFrame, videos: DataFrame) -> DataFrame:
+    """What extraction does to the raw points: missing ones filled along the frames, then each coordinate averaged over SMOOTH_SEC.
+
+    Points become rows, so each of a task's 33 is a series of its own.
+    """
+    c = F.col
+    both = F.arrays_zip("norm", "world")
+    rows = frames.select("task_id", "i", F.posexplode(both).alias("k", "p"))
+    axes = [(kind, x) for kind in ("norm", "world") for x in "xyz"]
+    rows = rows.select("task_id", "i", "k", *[F.when(~F.isnan(c(f"p.{kind}.{x}")), c(f"p.{kind}.{x}")).alias(f"{kind}_{x}") for kind, x in axes])
+    step = videos.select("task_id", smoothing_width(c("fps") / F.coalesce("sample_step", F.lit(1)), C.SMOOTH_SEC).alias("w"))
+    names = [f"{kind}_{x}" for kind, x in axes]
+    s = Series(rows.join(step, "task_id"), ["task_id", "k"], ["i"]).filled(names)
+    s = s.add("n", F.count(F.lit(1)).over(s.group)).averaged(names, "w", "n")
+    point = lambda kind: F.struct(*[c(f"{kind}_{x}").alias(x) for x in "xyz"]).alias(kind)
+    back = s.df.groupBy("task_id", "i").agg(F.array_sort(F.collect_list(F.struct("k", point("norm"), point("world")))).alias("all"))
+    met = frames.drop("norm", "world").join(back, ["task_id", "i"])
+    part = lambda kind: F.transform("all", lambda x: x[kind])
+    return met.withColumns({kind: part(kind) for kind in ("norm", "world")}).select(*frames.columns)
+
+
+def turned(points: Column, degrees: Column) -> Column:
+    """Normalised points of a frame turned clockwise by 0, 90, 180 or 270 degrees; other angles leave them."""
+
+    def one(p: Column) -> Column:
+        x = F.when(degrees == 90, 1 - p["y"]).when(degrees == 180, 1 - p["x"]).when(degrees == 270, p["y"]).otherwise(p["x"])
+        y = F.when(degrees == 90, p["x"]).when(degrees == 180, 1 - p["y"]).when(degrees == 270, 1 - p["x"]).otherwise(p["y"])
+        return F.struct(x.alias("x"), y.alias("y"), p["z"].alias("z"))
+
+    return F.transform(points, one)
+
+
 def probed(videos: DataFrame) -> DataFrame:
     """videos: fps, frame_count, width, height, orientation. Adds duration, sample_step, low_fps and the first error in code."""
     c = F.col

@@ -155,6 +155,21 @@ def test_sources(spark, swing, tmp_path):
     assert [r.frame for r in tables.clean_indices(raw).collect()] == [3]
 
 
+def test_cleaned_and_turned_landmarks(spark, swing):
+    frames, videos = swing
+    one = frames.where("task_id = 0 AND i < 12")
+    holes = one.withColumn("norm", F.when(F.col("i") == 5, F.transform("norm", lambda p: F.struct(F.lit(float("nan")).alias("x"), p["y"].alias("y"), p["z"].alias("z")))).otherwise(F.col("norm")))
+    got = {r.i: r.norm for r in tables.cleaned_landmarks(holes, videos).collect()}
+    raw = {r.i: r.norm for r in one.collect()}
+    x = [raw[i][15].x for i in range(12)]
+    x[5] = (x[4] + x[6]) / 2
+    want = [sum(x[min(max(i + d, 0), 11)] for d in (-1, 0, 1)) / 3 for i in range(12)]
+    assert [got[i][15].x for i in range(12)] == pytest.approx(want) and len(got[0]) == 33
+    p = spark.createDataFrame([([(0.2, 0.3, 1.0)],)], "p array<struct<x:double,y:double,z:double>>")
+    at = lambda d: tuple(round(v, 6) for v in p.select(tables.turned(F.col("p"), F.lit(d)).alias("q")).first().q[0])
+    assert at(90) == (0.7, 0.2, 1.0) and at(180) == (0.8, 0.7, 1.0) and at(270) == (0.3, 0.8, 1.0) and at(45) == (0.2, 0.3, 1.0)
+
+
 def test_report_and_lookup(spark, analysis, swing):
     import json
 
