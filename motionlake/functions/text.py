@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,21 +70,32 @@ def aspect(width: Column, height: Column) -> Column:
 
 
 def wrapped(text: Column, width: float) -> Column:
-    """Lines of at most width em: characters above U+2E80 take one em, others 0.55; a line feed ends a line."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"), F.lit(0.0).alias("w"))
-
-    def step(s: Column, c: Column) -> Column:
-        w = F.when((F.conv(F.hex(F.encode(c, "utf-16be")), 16, 10).cast("long") > 0x2E80), 1.0).otherwise(0.55)
-        ends = c == "\n"
-        over = ~ends & (s["w"] + w > width) & (s["line"] != "")
-        return F.struct(
-            F.when(ends | over, F.concat(s["done"], F.array(s["line"]))).otherwise(s["done"]).alias("done"),
-            F.when(ends, "").when(over, c).otherwise(F.concat(s["line"], c)).alias("line"),
-            F.when(ends, 0.0).when(over, w).otherwise(s["w"] + w).alias("w"),
-        )
-
-    return F.aggregate(chars, start, step, lambda s: F.when(s["line"] != "", F.concat(s["done"], F.array(s["line"]))).otherwise(s["done"]))
+    """Lines of at most width em: characters above U+2E80 take one em, others 0.55; a line feed ends a line.
+
+    Where a line ends depends on the one before, so this runs in Arrow batches: a search in running sums for each line.
+    """
+    limit = round(100 * width)
+
+    def lines(t: str) -> list[str]:
+        out, parts = [], t.split("\n")
+        for k, part in enumerate(parts):
+            wide = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32) > 0x2E80
+            upto = np.cumsum(np.where(wide, 100, 55))
+            start = 0
+            while start < len(part):
+                before = upto[start - 1] if start else 0
+                end = max(start + 1, int(np.searchsorted(upto, before + limit, "right")))
+                out.append(part[start:end])
+                start = end
+            if not part and k < len(parts) - 1:
+                out.append("")
+        return out
+
+    @F.pandas_udf("array<string>")
+    def made(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else lines(t))
+
+    return made(text)
 
 
 def first_lines(lines: Column, n: int) -> Column:

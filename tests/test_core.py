@@ -269,11 +269,12 @@ def test_stream_times_out_by_the_log(spark, tmp_path):
     """Task 1 reports every minute and never ends; task 2 moves the log on."""
     schema = "task_id bigint, at double, seq bigint, kind string, step int, progress double"
     logs = [
-        [(1, 0.0, 1, "create", 0, None), (1, 60.0, 2, "progress", 1, 0.1)],
-        [(1, 110.0, 3, "progress", 1, 0.2), (2, 119.0, 4, "create", 0, None)],
-        [(2, 200.0, 5, "progress", 1, 0.1)],
-        [(2, 210.0, 6, "progress", 1, 0.2)],
+        [(1, 1000.0, 1, "create", 0, None), (1, 1060.0, 2, "progress", 1, 0.1)],
+        [(1, 1110.0, 3, "progress", 1, 0.2), (2, 1119.0, 4, "create", 0, None)],
+        [(2, 1200.0, 5, "progress", 1, 0.1)],
+        [(2, 1210.0, 6, "progress", 1, 0.2)],
     ]
+    (tmp_path / "log").mkdir()
     stream = tasks.task_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "log")))
     q = stream.writeStream.format("memory").queryName("timed").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).start()
     try:
@@ -288,7 +289,7 @@ def test_stream_times_out_by_the_log(spark, tmp_path):
     finally:
         q.stop()
     failed = spark.table("timed").where("status = 'failed'").collect()
-    assert [(r.task_id, r.updated, r.progress) for r in failed] == [(1, 120.0, 0.2)]
+    assert [(r.task_id, r.updated, r.progress) for r in failed] == [(1, 1120.0, 0.2)]
 
 
 def test_series_passthrough(spark):
