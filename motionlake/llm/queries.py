@@ -14,6 +14,7 @@ from .exact_dedup import exact_dedup
 from .html_text import main_texts
 from .jaccard_join import jaccard_components
 from .mixing import mix
+from .periodic_runs import periodic_runs
 from .secrets import secret_report
 from .toxicity import ToxicityModel, drop_toxic, learn_from, score_texts
 
@@ -123,6 +124,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), with_tails=True)
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_source_mixing": op2_source_mixing,
@@ -134,6 +139,7 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_token_counts": op9_token_counts,
     "op10_decontaminate": op10_decontaminate,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 
