@@ -17,6 +17,7 @@ from .mixing import mix
 from .periodic_runs import periodic_runs
 from .secrets import secret_report
 from .toxicity import ToxicityModel, drop_toxic, learn_from, score_texts
+from .window_dedup import repeated_windows
 
 TOKEN_LIMIT = 4096
 
@@ -128,6 +129,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents"), with_tails=True)
 
 
+def op13_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_windows(table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_source_mixing": op2_source_mixing,
@@ -140,6 +145,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_decontaminate": op10_decontaminate,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_window_dedup": op13_window_dedup,
 }
 
 
