@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import quality
 from .bpe_count import token_counts
 from .chat import conversation_digests, format_turns
+from .collocations import collocations
 from .common import table
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
@@ -125,6 +126,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents"), with_tails=True)
 
@@ -144,6 +149,7 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_token_counts": op9_token_counts,
     "op10_decontaminate": op10_decontaminate,
+    "op11_collocations": op11_collocations,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_window_dedup": op13_window_dedup,
 }
@@ -198,7 +204,35 @@ def _mix_sql(docs: str) -> str:
         FROM placed WHERE epochs + (upto <= rest)::INT > 0"""
 
 
+_COLLOCATIONS_SQL = r"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents),
+    worded AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+    grams AS (
+        SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+        FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM worded, (VALUES (1), (2), (3), (4)) t(m) WHERE len(w) >= m)),
+    f AS (SELECT lang, phrase, m, count(*) AS f FROM grams GROUP BY ALL),
+    totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY ALL),
+    cand AS (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 30),
+    cuts AS (
+        SELECT c.lang, c.phrase, c.a, k, array_to_string(w[1:k], ' ') AS part1, array_to_string(w[k + 1:], ' ') AS part2
+        FROM cand c, (VALUES (1), (2), (3)) t(k) WHERE k < c.m),
+    cut_scores AS (
+        SELECT u.lang, u.phrase, u.a, u.k, x.f AS l, y.f AS r, (u.a::HUGEINT * 2000000 // (x.f + y.f))::BIGINT AS score
+        FROM cuts u JOIN f x ON x.lang = u.lang AND x.phrase = u.part1 JOIN f y ON y.lang = u.lang AND y.phrase = u.part2),
+    worst AS (SELECT * FROM cut_scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    inner_ AS (
+        SELECT lang, array_to_string(w[i:i + short - 1], ' ') AS phrase, max(a) AS longer
+        FROM (SELECT *, unnest(range(1, m - short + 2)) AS i FROM cand, (VALUES (2), (3)) t(short) WHERE short < m) GROUP BY ALL)
+    SELECT w.lang, row_number() OVER (PARTITION BY w.lang ORDER BY w.score DESC, w.a DESC, w.phrase) AS rank, w.phrase, w.a, w.l, w.r, t.n, w.score
+    FROM worst w JOIN totals t ON t.lang = w.lang LEFT JOIN inner_ i ON i.lang = w.lang AND i.phrase = w.phrase
+    WHERE i.longer IS NULL OR 100 * i.longer < 80 * w.a
+    QUALIFY rank <= 2000"""
+
 ORACLE_SQL = {
+    "op11_collocations": _COLLOCATIONS_SQL,
     "op2_source_mixing": _mix_sql("SELECT * FROM documents"),
     "op7_exact_dedup": """
         WITH d AS (
