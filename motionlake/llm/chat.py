@@ -31,7 +31,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,38 +75,68 @@ class Template:
         self.other, self.body, self.end = size + 3, size + 4, size + 5
         self.role_of = {i: r for r, i in self.role_ids.items()}
 
+    def _encoded(self, texts: list[str]) -> dict[str, list[int]]:
+        """The ids of each distinct text."""
+        each = list(dict.fromkeys(texts))
+        return dict(zip(each, (e.ids for e in self.tok.encode_batch_fast(each, add_special_tokens=False))))
+
+    def _decoded(self, ids: list[list[int]]) -> list[str]:
+        return [unescape(t) for t in self.tok.decode_batch(ids, skip_special_tokens=False)]
+
     def assemble(self, roles: list[str], texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], list[str]]:
         """Ids, loss mask and formatted text of each turn."""
+        flat, mask, starts, shown = self.assemble_all(roles, texts)
+        return np.split(flat, starts[1:-1]), np.split(mask, starts[1:-1]), shown
+
+    def read(self, ids: list[np.ndarray], masks: list[np.ndarray]) -> tuple[list[str], list[str], list[str]]:
+        """Role, text and the text under the mask, of each turn."""
+        return self.read_all(np.concatenate(ids), np.concatenate(masks), np.cumsum([0, *map(len, ids)]))
+
+    def assemble_all(self, roles: list[str], texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """Ids and loss mask of all turns, one after the other, where each turn begins (and the last ends), and each formatted text."""
         bodies = [escape(t) for t in texts]
-        names = [escape(r) for r in roles]
-        encode = lambda xs: [e.ids for e in self.tok.encode_batch(xs, add_special_tokens=False)]
-        body_ids, name_ids = encode(bodies), encode(["" if r in self.role_ids else n for r, n in zip(roles, names)])
-        all_ids, masks, shown = [], [], []
-        for role, name, text, b, n in zip(roles, names, bodies, body_ids, name_ids):
-            head = [self.role_ids[role]] if role in self.role_ids else [self.other, *n, self.body]
-            ids = np.fromiter((*head, *b, self.end), np.int32, len(head) + len(b) + 1)
-            steps = np.zeros(len(ids) + 1, np.int8)
+        body_ids = self._encoded(bodies)
+        heads = {r: [self.role_ids[r]] for r in USUAL}
+        names = {r: escape(r) for r in set(roles)}
+        odd = [r for r in names if r not in heads]
+        name_ids = self._encoded([names[r] for r in odd])
+        heads |= {r: [self.other, *name_ids[names[r]], self.body] for r in odd}
+        flat, starts, edges = [], [0], []
+        for role, body in zip(roles, bodies):
+            flat += heads[role]
+            opens = len(flat)
+            flat += body_ids[body]
             if role == "assistant":
-                steps[len(head)] += 1
-                steps[len(head) + len(b)] -= 1
-            all_ids.append(ids)
-            masks.append(np.cumsum(steps[:-1], dtype=np.int8))
-            shown.append(f"<|role:{name}|>{text}<|end|>")
-        return all_ids, masks, shown
-
-    def read(self, all_ids: list[np.ndarray], masks: list[np.ndarray]) -> tuple[list[str], list[str], list[str]]:
-        """Role, text and the text under the mask, of each turn."""
-        roles, bodies, kept, names = [], [], [], []
-        for ids, mask in zip(all_ids, masks):
-            first = int(ids[0])
-            at = 1 if first != self.other else int(np.flatnonzero(ids == self.body)[0]) + 1
+                edges.append((opens, len(flat)))
+            flat.append(self.end)
+            starts.append(len(flat))
+        steps = np.zeros(len(flat) + 1, np.int8)
+        if edges:
+            opens, closes = np.array(edges).T
+            steps[opens] += 1
+            steps[closes] -= 1
+        shown = [f"<|role:{names[r]}|>{b}<|end|>" for r, b in zip(roles, bodies)]
+        return np.array(flat, np.int32), np.cumsum(steps[:-1], dtype=np.int8), np.array(starts), shown
+
+    def read_all(self, flat: np.ndarray, mask: np.ndarray, starts: np.ndarray) -> tuple[list[str], list[str], list[str]]:
+        """read() for turns that lie one after the other."""
+        roles, names, bodies, kept = [], [], [], []
+        masked = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])[starts]
+        for lo, hi, m in zip(starts[:-1].tolist(), starts[1:].tolist(), np.diff(masked).tolist()):
+            first = int(flat[lo])
+            at = lo + 1
+            names.append([])
+            if first == self.other:
+                at = lo + 1 + int(np.flatnonzero(flat[lo:hi] == self.body)[0])
+                names[-1] = flat[lo + 1 : at - 1].tolist()
             roles.append(self.role_of.get(first))
-            names.append([] if first != self.other else ids[1 : at - 1].tolist())
-            bodies.append(ids[at:-1].tolist())
-            kept.append(ids[mask.astype(bool)].tolist())
-        decode = lambda xs: [unescape(t) for t in self.tok.decode_batch(xs, skip_special_tokens=False)]
-        roles = [n if r is None else r for r, n in zip(roles, decode(names))]
-        return roles, decode(bodies), decode(kept)
+            bodies.append(flat[at : hi - 1].tolist())
+            under = flat[lo:hi][mask[lo:hi].astype(bool)].tolist() if m else []
+            kept.append(None if m and under == bodies[-1] else under)  # the same ids are read once
+        texts = self._decoded(bodies)
+        roles = [n if r is None else r for r, n in zip(roles, self._decoded(names))]
+        rest = iter(self._decoded([k for k in kept if k is not None]))
+        return roles, texts, [t if k is None else next(rest) for k, t in zip(kept, texts)]
 
 
 @lru_cache(maxsize=4)
@@ -124,13 +155,15 @@ def format_turns(turns: DataFrame, tokenizer_path: str, conv="conv_id", turn="tu
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     out = f"conv {kinds['conv']}, turn {kinds['turn']}, ids array<int>, mask array<tinyint>, formatted string"
 
-    def formatted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = template(tokenizer_path)
         for b in batches:
-            ids, mask, shown = t.assemble(list(b["role"]), list(b["text"]))
-            yield pd.DataFrame({"conv": b["conv"], "turn": b["turn"], "ids": ids, "mask": mask, "formatted": shown})
+            flat, mask, starts, shown = t.assemble_all(b.column(2).to_pylist(), b.column(3).to_pylist())
+            at = pa.array(starts, pa.int32())
+            lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (flat, mask)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists, pa.array(shown, pa.string())], ["conv", "turn", "ids", "mask", "formatted"])
 
-    return rows.mapInPandas(formatted, out)
+    return rows.mapInArrow(formatted, out)
 
 
 def conversation_digests(formatted: DataFrame, tokenizer_path: str, conv: str = "conv_id") -> DataFrame:
@@ -138,47 +171,50 @@ def conversation_digests(formatted: DataFrame, tokenizer_path: str, conv: str =
     conv_type = formatted.schema["conv"].dataType.simpleString()
     read_schema = f"conv {conv_type}, turn {formatted.schema['turn'].dataType.simpleString()}, role string, text string, kept string, chars bigint"
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = template(tokenizer_path)
         for b in batches:
-            roles, texts, kept = t.read(list(b["ids"]), list(b["mask"]))
-            yield pd.DataFrame(
-                {"conv": b["conv"], "turn": b["turn"], "role": roles, "text": texts, "kept": kept, "chars": b["formatted"].str.len()}
-            )
+            ids, mask = b.column(2), b.column(3)
+            starts = ids.offsets.to_numpy()
+            told = t.read_all(ids.flatten().to_numpy(), mask.flatten().to_numpy(), starts - starts[0])
+            arrays = [*(pa.array(x, pa.string()) for x in told), pc.utf8_length(b.column(4)).cast(pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *arrays], ["conv", "turn", "role", "text", "kept", "chars"])
 
-    def folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["conv", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state, done = None, None, []
+        kind = None
+
+        def close() -> None:
+            if state is not None:
+                n, turns, chars, loss, total = state
+                done.append((now, n, turns.hexdigest(), chars, loss.hexdigest(), total))
 
-        def closed():
-            n, turns, chars, loss, total = state
-            done.append((now[1], n, turns.hexdigest(), chars, loss.hexdigest(), total))
+        def sent() -> pa.RecordBatch:
+            arrays = [pa.array(x, k) for x, k in zip(zip(*done), [kind, *kinds])]
+            done.clear()
+            return pa.RecordBatch.from_arrays(arrays, names)
 
         for b in batches:
-            for c, null, role, text, kept, chars in zip(b["conv"], b["conv_null"], b["role"], b["text"], b["kept"], b["chars"]):
-                key = (null, None if null else c)
-                if state is None or key != now:
-                    if state is not None:
-                        closed()
-                    now, state = key, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+            kind = b.schema.field(0).type
+            for conv, _, role, text, kept, chars in zip(*(x.to_pylist() for x in b.columns)):
+                if state is None or conv != now:
+                    close()
+                    now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 state[0] += 1
                 state[1].update(f"{role}\n{text}\n".encode())
                 state[2] += len(kept)
                 state[3].update(kept.encode())
                 state[4] += chars
             if len(done) >= 10_000:
-                yield frame(done)
-                done.clear()
-        if state is not None:
-            closed()
-        yield frame(done)
-
-    names = ["conv", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=names)
-        return out.astype({"conv": object}) if rows else out
+                yield sent()
+        close()
+        if done:
+            yield sent()
 
-    back = formatted.mapInPandas(read, read_schema).withColumn("conv_null", F.col("conv").isNull())
+    back = formatted.mapInArrow(read, read_schema)
     met = back.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
     out = f"conv {conv_type}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
-    return met.mapInPandas(folded, out).withColumnRenamed("conv", conv)
+    return met.mapInArrow(folded, out).withColumnRenamed("conv", conv)
