@@ -7,11 +7,14 @@ that differ become text slots, parts that one side lacks become optional groups,
 and a group that meets more of its own kind is repeated. The result is a regular
 expression without unions, the wrapper of the host.
 
-Each page is matched against its host's wrapper. A text that meets a constant of the
-wrapper, required or optional, is template and goes, wherever it stands; what meets a
-slot or a repeated group (whose texts are slots) varies and may be content. A constant
+Each page is matched against its host's wrapper. What meets a slot or a repeated group
+(whose texts are slots) varies and may be content. A text that meets a constant of the
+wrapper, required or optional, is template. Template frames the content, so it goes only around it:
+where pages have an article or a main element all of that stays, fixed headings too,
+and where they have none, constants before the first and behind the last varying text go. A constant
 counts only with ``WITNESSES`` pages of different content that have it: one page, or
 copies of one, do not tell template from content. Wrappers hold 64-bit hashes of constants.
+Where pages have no root, what counts as constant may depend on how they meet: alignment is not associative.
 
 Elements nested more than ``DEPTH`` deep are read as content of the one at that depth, as
 browsers do, so one odd page takes no more time than its length asks for.
@@ -40,9 +43,9 @@ import html
 import json
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pandas as pd
@@ -59,6 +62,7 @@ SALTS = 64
 MERGE_SALTS = (4096, 64, 1)
 WITNESSES = 3
 DEPTH = 150
+REACH = 16
 
 # HTML elements by how they are read.
 RAW = frozenset("script style noscript template iframe object svg math textarea title".split())
@@ -212,8 +216,60 @@ def head(unit: list) -> str:
     return "" if item[0] in "?+" else key(item)
 
 
+def unique_anchors(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of what both lists have exactly once, as many as stand in the same order on both sides."""
+    ca, cb = Counter(a), Counter(b)
+    at = {x: j for j, x in enumerate(b) if cb[x] == 1}
+    met = [(i, at[x]) for i, x in enumerate(a) if ca[x] == 1 and x in at]
+    ends: list[int] = []  # last places of the best chains by length
+    of, back = [], [-1] * len(met)
+    for k, (_, j) in enumerate(met):
+        p = bisect_left(ends, j)
+        if p:
+            back[k] = of[p - 1]
+        if p == len(ends):
+            ends.append(j)
+            of.append(k)
+        else:
+            ends[p], of[p] = j, k
+    chain, k = [], of[-1] if of else -1
+    while k >= 0:
+        chain.append(met[k])
+        k = back[k]
+    return chain[::-1]
+
+
 def opcodes(a: list[str], b: list[str]) -> list[tuple]:
-    return [("equal", 0, len(a), 0, len(b))] if a == b else SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+    """The equal and differing stretches of two lists: between anchors that are unique in both, equal ones are taken from the left,
+    and after a difference the nearest equal pair within REACH goes on. Takes time in proportion to the lists."""
+    pairs: list[tuple[int, int]] = []
+    i = j = 0
+    for x, y in [*unique_anchors(a, b), (len(a), len(b))]:
+        while i < x and j < y:
+            if a[i] != b[j]:
+                steps = ((s, t - s) for t in range(1, REACH) for s in range(t + 1))
+                step = next(((s, t) for s, t in steps if i + s < x and j + t < y and a[i + s] == b[j + t]), None)
+                if step is None:
+                    i, j = i + REACH, j + REACH
+                    continue
+                i, j = i + step[0], j + step[1]
+            pairs.append((i, j))
+            i, j = i + 1, j + 1
+        if x < len(a):
+            pairs.append((x, y))
+        i, j = x + 1, y + 1
+    out: list[tuple] = []
+    i = j = 0
+    for x, y in [*pairs, (len(a), len(b))]:
+        if i < x or j < y:
+            out.append(("differ", i, x, j, y))
+        if x < len(a) and y < len(b):
+            if out and out[-1][0] == "equal":
+                out[-1] = ("equal", out[-1][1], x + 1, out[-1][3], y + 1)
+            else:
+                out.append(("equal", x, x + 1, y, y + 1))
+        i, j = x + 1, y + 1
+    return out
 
 
 def groups(items: list) -> list:
@@ -336,15 +392,14 @@ def template(item: list) -> bool:
     return item[2] is not None and isinstance(item[3], list) and len(item[3]) >= WITNESSES
 
 
-def slot_paths(items: list, varying: bool = False) -> set[str]:
-    """The paths of texts; of those that are not template, if varying."""
+def slot_paths(items: list) -> set[str]:
+    """The paths of texts."""
     found: set[str] = set()
     for i in items:
         if i[0] == SLOT:
-            if not (varying and template(i)):
-                found.add(i[1])
+            found.add(i[1])
         elif i[0] in "?+":
-            found |= slot_paths(i[1], varying)
+            found |= slot_paths(i[1])
     return found
 
 
@@ -382,9 +437,14 @@ def furniture(element: str) -> bool:
     return name in FURNITURE or any(m != "main" for m in marks)
 
 
+def rooted(path: str) -> bool:
+    """Whether an article or a main element is on the path."""
+    return any(root in marks_of(e) for e in path.split("/") for root in ("article", "main"))
+
+
 def content_paths(wrapper: list) -> frozenset[str]:
-    """The paths of a wrapper's texts that are main text, template texts aside."""
-    plain = [p for p in slot_paths(wrapper, varying=True) if not any(furniture(e) for e in p.split("/"))]
+    """The paths of a wrapper's texts that are main text, as far as elements tell."""
+    plain = [p for p in slot_paths(wrapper) if not any(furniture(e) for e in p.split("/"))]
     for root in ("article", "main"):
         below = [p for p in plain if any(root in marks_of(e) for e in p.split("/"))]
         if below:
@@ -409,8 +469,10 @@ def main_text(page: str | None, content: frozenset[str], known: list | None = No
     if content and not any(i[0] == SLOT and i[1] in content for i in items):
         content = content_paths(items)
     gone: set[int] = set()
-    if known:
-        gone = met_constants(known, fold([[SLOT, i[1], constant(texts[i[3]]), i[3]] if i[0] == SLOT else i for i in items]))
+    if known and not any(map(rooted, content)):
+        met = met_constants(known, fold([[SLOT, i[1], constant(texts[i[3]]), i[3]] if i[0] == SLOT else i for i in items]))
+        varies = [i[3] for i in items if i[0] == SLOT and i[1] in content and i[3] not in met]
+        gone = {run for run in met if varies and not varies[0] < run < varies[-1]}
     blocks, now = [], []
 
     def close() -> None:
