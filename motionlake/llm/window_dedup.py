@@ -45,7 +45,7 @@ from .common import Tables
 
 WINDOW, GRAM = 100, 24
 REST = WINDOW - GRAM  # bytes of a window beside its gram; windows of a place start 0 to REST bytes before it
-PACK_BYTES, PACK_PLACES, MOST = 1 << 20, 8192, 4096
+PACK_BYTES, PACK_PLACES, MOST = 1 << 17, 8192, 4096
 PLACE_BITS = 39
 DIGIT = 8
 
@@ -179,43 +179,71 @@ def _surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.mapInArrow(cut_out, out)
 
 
+def msd_order(bucket: np.ndarray, digits: np.ndarray) -> np.ndarray:
+    """The order of rows within their buckets (which come sorted), by passes from the first digit down. Rows that are alone leave."""
+    order = np.arange(len(bucket))
+    group = np.searchsorted(bucket, bucket)
+    live = order.copy()
+    for j in range(digits.shape[1]):
+        g = group[live]
+        tied = g[1:] == g[:-1]
+        live = live[np.r_[False, tied] | np.r_[tied, False]] if len(live) else live
+        if not len(live):
+            break
+        rows, g = order[live], group[live]
+        by = np.lexsort((digits[rows, j], g))
+        rows, g = rows[by], g[by]
+        order[live] = rows
+        digit = digits[rows, j]
+        opens = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (digit[1:] != digit[:-1])])
+        group[live] = np.repeat(live[opens], np.diff(np.r_[opens, len(live)]))
+    return order
+
+
+def side_classes(bucket: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """side: the bytes on one side of each gram, from the gram outwards. The class of each place by its first r bytes, for every r,
+    and how many bytes it shares with any other place of its bucket (-1: there is no other)."""
+    n = len(bucket)
+    order = msd_order(bucket, side.view(">u8"))
+    near = side[order]
+    apart = np.ones((max(0, n - 1), side.shape[1] + 1), bool)
+    np.not_equal(near[1:], near[:-1], out=apart[:, :-1])
+    common = np.argmax(apart, axis=1)
+    common[bucket[order[1:]] != bucket[order[:-1]]] = -1
+    shared = np.empty(n, np.int64)
+    shared[order] = np.maximum(np.r_[-1, common], np.r_[common, -1])
+    classes = np.empty((REST + 1, n), np.int64)
+    classes[:, order] = np.cumsum(np.r_[0, common][None, :] < np.arange(REST + 1)[:, None], axis=1)
+    return classes, shared
+
+
 def radix_repeats(bucket: np.ndarray, before: np.ndarray, size: np.ndarray, data: np.ndarray, start: np.ndarray, lo: np.ndarray, hi: np.ndarray, same: np.ndarray):
     """Which windows repeat an earlier one of their bucket: place number and offset d of the window before the gram.
 
+    All windows of a bucket share the gram, so a window is told by the d bytes before it and the rest
+    behind it. Both sides are ordered by digit passes; windows whose sides both fall into one class are the same.
     Places come in order within each bucket; lo and hi bound d; same marks a place that is its predecessor once more.
     """
-    rank = np.cumsum(~same)  # equal places have the same
-    first = np.maximum(lo, np.maximum(0, WINDOW - (size - before)))
-    last = np.minimum(hi, before)
-    n = np.maximum(0, last - first + 1)
-    place = np.repeat(np.arange(len(n)), n)
-    d = first[place] + np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)
-    at = start[place] + before[place] - d
-    padded = np.concatenate([data, np.zeros(DIGIT, np.uint8)])
-    digits = np.ndarray((len(padded) - DIGIT + 1,), ">u8", padded, 0, (1,))
-    group = bucket[place].astype(np.int64) * (REST + 1) + d
-    index = np.arange(len(place))
-    for depth in [None, *range(0, WINDOW - DIGIT, DIGIT), WINDOW - DIGIT]:
-        if depth is None:
-            order = np.argsort(group, kind="stable")
-            key = group[order]
-            apart = key[1:] != key[:-1]
-        else:
-            digit = digits[at[index] + depth].astype(np.uint64)
-            order = np.lexsort((digit, group))
-            apart = (group[order][1:] != group[order][:-1]) | (digit[order][1:] != digit[order][:-1])
-        if not len(order):
-            break
-        index = index[order]
-        opens = np.r_[True, apart]
-        group = np.cumsum(opens)
-        alone = opens & np.r_[apart, True]
-        index, group = index[~alone], group[~alone]
-    if not len(index):
-        return index, index
-    opens = np.r_[True, group[1:] != group[:-1]]
-    earliest = rank[place[index[opens]]][np.cumsum(opens) - 1]
-    later = index[rank[place[index]] > earliest]
+    n, after = len(bucket), size - before - GRAM
+    reach = np.arange(-(-REST // DIGIT) * DIGIT)
+    padded = np.concatenate([data, np.zeros(1, np.uint8)])
+    gram = start + before
+    take = lambda at, there: padded[np.where(there, at, len(data))]
+    ahead = take(gram[:, None] - 1 - reach, reach < before[:, None])
+    behind = take(gram[:, None] + GRAM + reach, reach < after[:, None])
+    left, left_shared = side_classes(bucket, ahead)
+    right, right_shared = side_classes(bucket, behind)
+    first = np.maximum(lo, REST - np.minimum(after, right_shared))
+    last = np.minimum(hi, np.minimum(before, left_shared))
+    each = np.maximum(0, last - first + 1)
+    place = np.repeat(np.arange(n), each)
+    d = first[place] + np.arange(len(place)) - np.repeat(np.cumsum(each) - each, each)
+    key = (d * n + left[d, place]) * n + right[REST - d, place]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    opens = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+    rank = np.cumsum(~same)[place[order]]  # equal places have the same
+    later = order[rank > rank[opens][np.cumsum(opens) - 1]] if len(key) else order
     return place[later], d[later]
 
 
