@@ -1,7 +1,7 @@
 """Phrases that occur together: candidates from sketch upper bounds, counted by automata.
 
-First pass: each chunk of texts adds its word pairs to a count-min sketch. A sketch is two rows
-of cells, kept as blocks of 65,536 cells: chunks send the cells they touch, and
+First pass: each chunk of texts adds its words and word pairs to a count-min sketch. A sketch is two rows
+of cells in 256 blocks each: chunks send the cells they touch, and
 blocks are summed where they meet. Only one bit of a cell comes back, whether it reached the
 threshold; a phrase whose bits are not all set occurs less often, for sure. Second pass: the
 same for longer phrases all of whose pairs are still possible. Third pass: each chunk compiles the
@@ -23,9 +23,8 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
 from operator import itemgetter
 
 import numpy as np
@@ -39,7 +38,7 @@ from .common import UPPER, Tables
 LEAST, LONGEST, SHARE, TOP = 30, 4, 80, 2000
 CHUNK_BYTES = 8 << 20
 AUTOMATON_PHRASES = 100_000
-BLOCK = 1 << 16
+BLOCK_BITS = 8
 LEAST_BITS, MOST_BITS = 16, 28
 STEP, ROWS = 0x9E3779B97F4A7C15, (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)  # odd multipliers
 
@@ -50,15 +49,20 @@ c = F.col
 
 
 class Words:
-    """The words of some texts as numbers from 1, with 0 between pieces, and their spellings."""
+    """The words of some texts as numbers, the piece that each stands in, and their spellings."""
 
     def __init__(self, texts: list[bytes]):
-        data = b"\n".join(texts).translate(_PLAIN).replace(b"\n", b" \n ")
-        known: defaultdict[bytes, int] = defaultdict(count().__next__, {})
-        nothing, break_ = known[b""], known[b"\n"]
-        ids = np.fromiter(map(known.__getitem__, data.split(b" ")), np.int32)
-        self.ids = ids[ids != nothing] - break_
-        self.spelled = list(known)[break_:]
+        data = np.frombuffer(b"\n".join(texts).translate(_PLAIN), np.uint8)
+        apart = (data == 32) | (data == 10)
+        edges = np.flatnonzero(np.diff(np.r_[True, apart, True].view(np.int8)))
+        self.starts, self.ends = edges[::2], edges[1::2]
+        self.piece = np.cumsum(data == 10, dtype=np.int32)[self.starts]
+        self.data = data
+        offsets = np.r_[0, np.cumsum(self.ends - self.starts)]
+        packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[~apart])])
+        coded = packed.dictionary_encode()
+        self.ids = coded.indices.to_numpy()
+        self.spelled = coded.dictionary.to_pylist()
 
     def counts(self) -> np.ndarray:
         return np.bincount(self.ids, minlength=len(self.spelled))
@@ -66,24 +70,31 @@ class Words:
     def phrase(self, at: int, n: int) -> bytes:
         return b" ".join(self.spelled[i] for i in self.ids[at : at + n].tolist())
 
-    def plain(self) -> bytes:
-        """Every piece with one blank before, between and behind its words."""
-        return b" " + b" ".join(map(self.spelled.__getitem__, self.ids.tolist())) + b" "
+    def plain(self, held: np.ndarray) -> bytes:
+        """The words that are held, with one blank before, between and behind them, and a line feed where others or a new piece come between."""
+        at = np.flatnonzero(held)
+        joined = np.r_[False, (np.diff(at) == 1) & (self.piece[at[1:]] == self.piece[at[:-1]])] if len(at) else held[:0]
+        sizes = self.ends[at] - self.starts[at]
+        to = np.cumsum(sizes + np.where(joined, 1, 3)) - sizes
+        out = np.full(int(to[-1] + sizes[-1]) + 1 if len(at) else 0, 32, np.uint8)
+        out[to[~joined] - 2] = 10
+        from_ = np.repeat(self.starts[at] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        out[np.repeat(to - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())] = self.data[from_]
+        return out.tobytes()
 
     def grams(self, lang: str, longest: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """By length: hash of the phrase that starts at each place, and whether there is one."""
+        """By length: hash of the phrase that starts at each word, and whether there is one."""
         seed = xxhash.xxh3_64_intdigest(lang.encode())
         own = np.fromiter((xxhash.xxh3_64_intdigest(w, seed=seed) for w in self.spelled), np.uint64, len(self.spelled))[self.ids]
-        h, there, out = own, self.ids > 0, {}
-        word = there
-        for n in range(2, longest + 1):
-            if len(h) < 2:
+        h, out = own, {}
+        for n in range(1, longest + 1):
+            if len(own) < n:
                 break
-            h = h[:-1] * np.uint64(STEP) + own[n - 1 :]
-            there = there[:-1] & word[n - 1 :]
+            if n > 1:
+                h = h[:-1] * np.uint64(STEP) + own[n - 1 :]
             mixed = h ^ (h >> np.uint64(31))
             mixed *= np.uint64(ROWS[0] ^ (2 * n))
-            out[n] = mixed ^ (mixed >> np.uint64(29)), there
+            out[n] = mixed ^ (mixed >> np.uint64(29)), self.piece[n - 1 :] == self.piece[: len(h)]
         return out
 
 
@@ -109,9 +120,9 @@ def _possible(grams: dict, pairs: Sketch | None, longer: Sketch | None) -> dict[
     """By length: the places whose phrase may reach the threshold, as far as the sketches given tell."""
     out: dict[int, np.ndarray] = {}
     for n, (h, there) in grams.items():
-        if n > 2 and pairs is not None:
+        if n > 1 and pairs is not None:
             there = there & out[n - 1][: len(h)] & out[n - 1][1 : len(h) + 1]
-        known = pairs if n == 2 else longer
+        known = pairs if n <= 2 else longer
         if known is not None:
             at = np.flatnonzero(there)
             there = np.zeros(len(h), bool)
@@ -133,26 +144,41 @@ def _chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[tup
     yield from held.items()
 
 
+def steps(places: np.ndarray) -> bytes:
+    """Rising numbers as the steps between them, in the least width that holds these; its log is the first byte."""
+    step = np.diff(places, prepend=np.uint32(0))
+    width = 0 if not len(step) or step.max() < 256 else 1 if step.max() < 65536 else 2
+    return bytes([width]) + step.astype((np.uint8, np.uint16, np.uint32)[width]).tobytes()
+
+
+def places(packed: pa.Buffer) -> np.ndarray:
+    """What steps() was given."""
+    (width,) = packed[:1].to_pybytes()
+    return np.cumsum(np.frombuffer(packed[1:].to_pybytes(), (np.uint8, np.uint16, np.uint32)[width]), dtype=np.int64)
+
+
 def _sketched(docs: DataFrame, lengths: range, bits: int, least: int, pairs, chunk_bytes: int) -> Sketch:
     """The sketch of all phrases of these lengths; of those, if pairs are given, whose pairs may all reach the threshold."""
     cap = min(least, 255)
+    cells = 1 << bits >> BLOCK_BITS
+    size, one = np.uint64(bits - BLOCK_BITS), np.uint64(1)
 
     def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, texts in _chunks(batches, chunk_bytes):
             grams = Words(texts).grams(lang, lengths[-1])
-            places = _possible(grams, pairs and pairs.value, None)
-            hashes = np.concatenate([grams[n][0][places[n]] for n in lengths if n in grams] or [np.zeros(0, np.uint64)])
-            for cells in Sketch.cells(hashes, bits):
-                cell = np.sort(cells)
+            there = _possible(grams, pairs and pairs.value, None)
+            hashes = np.concatenate([grams[n][0][there[n]] for n in lengths if n in grams] or [np.zeros(0, np.uint64)])
+            for touched_cells in Sketch.cells(hashes, bits):
+                cell = np.sort(touched_cells)
                 first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, int)
                 times = np.minimum(np.diff(np.r_[first, len(cell)]), cap)
                 cell = cell[first]
-                block, place = (cell >> np.uint64(16)).astype(np.int64), (cell & np.uint64(BLOCK - 1)).astype(np.uint16)
+                block, place = (cell >> size).astype(np.int64), (cell & ((one << size) - one)).astype(np.uint32)
                 at = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, int)
                 rows = []
                 for a, z in zip(at.tolist(), [*at[1:].tolist(), len(block)]):
                     t, p = times[a:z], place[a:z]
-                    rows.append((int(block[a]), p[t == 1].tobytes(), p[t > 1].tobytes(), t[t > 1].astype(np.uint8).tobytes()))
+                    rows.append((int(block[a]), steps(p[t == 1]), steps(p[t > 1]), t[t > 1].astype(np.uint8).tobytes()))
                 if rows:
                     kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["block", "once", "more", "times"])
@@ -161,15 +187,15 @@ def _sketched(docs: DataFrame, lengths: range, bits: int, least: int, pairs, chu
         def closed() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], ["block", "reached"])
 
-        now, total = None, np.zeros(BLOCK, np.int64)
+        now, total = None, np.zeros(cells, np.int64)
         for b in batches:
             for block, once, more, times in zip(b.column(0).to_pylist(), *b.columns[1:]):
                 if block != now:
                     if now is not None:
                         yield closed()
-                    now, total = block, np.zeros(BLOCK, np.int64)
-                total[np.frombuffer(once.as_buffer(), np.uint16)] += 1
-                total[np.frombuffer(more.as_buffer(), np.uint16)] += np.frombuffer(times.as_buffer(), np.uint8)
+                    now, total = block, np.zeros(cells, np.int64)
+                total[places(once.as_buffer())] += 1
+                total[places(more.as_buffer())] += np.frombuffer(times.as_buffer(), np.uint8)
         if now is not None:
             yield closed()
 
@@ -177,23 +203,22 @@ def _sketched(docs: DataFrame, lengths: range, bits: int, least: int, pairs, chu
     met = rows.repartition("block").sortWithinPartitions("block").mapInArrow(summed, "block bigint, reached binary")
     reached = np.zeros(len(ROWS) << bits >> 3, np.uint8)
     for r in met.collect():  # 2 * 2^bits bits in all, 64 MB at most
-        reached[r.block * BLOCK // 8 : (r.block + 1) * BLOCK // 8] = np.frombuffer(r.reached, np.uint8)
+        reached[r.block * cells // 8 : (r.block + 1) * cells // 8] = np.frombuffer(r.reached, np.uint8)
     return Sketch(bits, reached)
 
 
-def matches(words: Words, phrases: list[bytes]) -> np.ndarray:
-    """How often each phrase occurs in the pieces, overlaps included."""
+def matches(text: bytes, phrases: list[bytes]) -> np.ndarray:
+    """How often each phrase occurs in a plain() text, overlaps included."""
     import ahocorasick
 
-    text = words.plain().decode("latin-1")  # a character for each byte
     out = np.zeros(len(phrases), np.int64)
     for lo in range(0, len(phrases), AUTOMATON_PHRASES):
         automaton = ahocorasick.Automaton()
         for k, p in enumerate(phrases[lo : lo + AUTOMATON_PHRASES], lo):
             automaton.add_word(f" {p.decode('latin-1')} ", k)
         automaton.make_automaton()
-        found = Counter(map(itemgetter(1), automaton.iter(text)))
-        out[np.fromiter(found.keys(), np.int64, len(found))] = np.fromiter(found.values(), np.int64, len(found))
+        found = np.fromiter(map(itemgetter(1), automaton.iter(text.decode("latin-1"))), np.int64)  # a character for each byte
+        out += np.bincount(found, minlength=len(phrases))
     return out
 
 
@@ -202,21 +227,26 @@ def phrase_counts(docs: DataFrame, least: int, longest: int, chunk_bytes: int =
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, int(size // 24).bit_length()))
-    pairs = spark.sparkContext.broadcast(_sketched(docs, range(2, 3), bits, least, None, chunk_bytes))
+    pairs = spark.sparkContext.broadcast(_sketched(docs, range(1, 3), bits, least, None, chunk_bytes))
     longer = spark.sparkContext.broadcast(_sketched(docs, range(3, longest + 1), bits, least, pairs, chunk_bytes)) if longest > 2 else None
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, texts in _chunks(batches, chunk_bytes):
             words = Words(texts)
             grams = words.grams(lang, longest)
-            phrases = []
-            for n, places in _possible(grams, pairs.value, longer and longer.value).items():
-                at = np.flatnonzero(places)
+            possible = _possible(grams, pairs.value, longer and longer.value)
+            phrases, held = [], np.zeros(len(words.ids) + 1, np.int32)
+            for n in range(2, max(possible, default=0) + 1):
+                at = np.flatnonzero(possible[n])
+                held[at] += 1
+                np.subtract.at(held, at + n, 1)
                 _, first = np.unique(grams[n][0][at], return_index=True)
                 phrases += [words.phrase(i, n) for i in at[first].tolist()]
             single = words.counts()
-            names = [b"", *words.spelled[1:], *phrases]
-            f = np.concatenate([[single[1:].sum()], single[1:], matches(words, phrases) if phrases else single[:0]])
+            known = np.unique(words.ids[possible[1]]) if possible else []
+            names = [b"", *(words.spelled[i] for i in known), *phrases]
+            met = matches(words.plain(np.cumsum(held[:-1]) > 0), phrases) if phrases else single[:0]
+            f = np.concatenate([[single.sum()], single[known] if possible else single[:0], met])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * len(names), pa.string()), pa.array(names, pa.binary()).cast(pa.string()), pa.array(f, pa.int64())], ["lang", "phrase", "f"]
             )

@@ -86,5 +86,15 @@ def test_sketch_never_understates():
 
 def test_overlapping_matches_and_their_blocks(monkeypatch):
     monkeypatch.setattr(C, "AUTOMATON_PHRASES", 2)
-    words = C.Words([b"a a a a, a a b", b"b a"])
-    assert C.matches(words, [b"a a", b"a a a", b"a b", b"b b", b"b a"]).tolist() == [4, 2, 1, 0, 1]
+    words = C.Words([b"a a a a, a  a\tb", b"b a"])
+    text = words.plain(np.ones(len(words.ids), bool))
+    assert C.matches(text, [b"a a", b"a a a", b"a b", b"b b", b"b a"]).tolist() == [4, 2, 1, 0, 1]
+    some = words.plain(np.array([1, 1, 0, 1, 1, 1, 0, 1, 1], bool))
+    assert C.matches(some, [b"a a", b"a", b"b a"]).tolist() == [2, 6, 1] and C.Words([b" \n"]).plain(np.zeros(0, bool)) == b""
+
+
+def test_steps_come_back():
+    for p in ([], [0], [3, 4, 255], [0, 300], [5, 70000, 1 << 20]):
+        import pyarrow as pa
+
+        assert C.places(pa.py_buffer(C.steps(np.array(p, np.uint32)))).tolist() == p
