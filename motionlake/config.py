@@ -29,7 +29,7 @@ SHOULDER_TO_HEIGHT = 0.26
 CRITICAL_SPAN = 1.0
 
 SEARCH_BACK_SEC, SEARCH_FORWARD_SEC = 0.05, 0.25
-ROI_TOP_MARGIN = 0.02
+ROI_TOP_MARGIN, ROI_FRONT_WIDTH = 0.02, 0.60
 MOTION_MIN_RATIO, TOP_K = 0.20, 3
 MIN_SHIFT, MAX_SHIFT, IMPACT_OFFSET = 1, 12, -1
 ANCHOR_WINDOW, ANCHOR_MIN_RATIO = 3, 0.7

@@ -32,7 +32,26 @@ def scratch(df: DataFrame) -> DataFrame:
         spark.conf.set("motionlake.tables", at)
     path = f"{at}/motionlake-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _places[id(out)] = (out, path)
+    return out
+
+
+_places: dict[int, tuple[DataFrame, str]] = {}  # what scratch() wrote and nobody has dropped
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of scratch() that nothing reads any more; others are left alone."""
+    for t in tables:
+        found, path = _places.pop(id(t), (None, ""))
+        if found is not None:
+            place = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release() -> None:
+    """Delete all tables of scratch(): once their results have been read."""
+    dropped(*(t for t, _ in list(_places.values())))
 
 
 def save_landmarks(frames: DataFrame, path: str) -> None:
