@@ -34,7 +34,8 @@ MOTION_MIN_RATIO, TOP_K = 0.20, 3
 MIN_SHIFT, MAX_SHIFT, IMPACT_OFFSET = 1, 12, -1
 ANCHOR_WINDOW, ANCHOR_MIN_RATIO = 3, 0.7
 WARN_SHIFT = 3
-BALL_REACH_PX = 60.0
+BALL_REACH_PX, BALL_WEIGHT = 60.0, 0.25
+SHAFT_WEIGHT_DTL, SHAFT_WEIGHT_FACE = 0.15, 0.30
 
 CLUB_RATIO_DTL, CLUB_RATIO_FACE = 0.59, 2.4
 CLUB_MIN_PX, CLUB_MAX_FRAMES = 10.0, 28

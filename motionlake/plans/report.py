@@ -39,7 +39,10 @@ class Analysis:
 
     @cached_property
     def swings(self) -> DataFrame:
-        return self.first_swings if self.motion_features is None else scratch(refined(self.rows, self.first_swings, self.motion_features))
+        if self.motion_features is None:
+            return self.first_swings
+        views = task_facts(self.frames, self.first_swings, self.videos).select("task_id", "view")
+        return scratch(refined(self.rows, self.first_swings, self.motion_features, views))
 
     @cached_property
     def events(self) -> DataFrame:

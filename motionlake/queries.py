@@ -434,20 +434,48 @@ def q_swing_refine_frames(spark, sf_dir):
     return refine.refine_frames(a.rows, a.swings)
 
 
-@query(swings_sql(LATES, """SELECT task_id, (CASE WHEN moved THEN new ELSE old END)::INT AS impact, moved, (CASE WHEN moved THEN new - old ELSE 0 END)::INT AS delta FROM (
-    SELECT *, abs(peak - old) BETWEEN 1 AND 12 AND abs(new - old) BETWEEN 1 AND 12 AND new > top AND new < finish AS moved FROM (
-        SELECT task_id, old, top, finish, 52 + task_id % 4 AS peak, greatest(51 + task_id % 4, top + 2) AS new FROM c JOIN (
-            SELECT k, max(i) FILTER (phase_no = 6) AS old, max(i) FILTER (phase_no = 4) AS top, max(i) FILTER (phase_no = 8) AS finish FROM ev GROUP BY k) USING (k)))"""))
+# One feature row per place of a swing: two humps of motion, a shaft at some places, a ball for every third task.
+_FEATURES = """SELECT c.task_id, x AS i, c.task_id % 2 = 1 AS side,
+        greatest(0.0, 10.0 - 3.0 * abs(x - (47 + c.task_id % 9)), 11.0 - 2.5 * abs(x - (53 + c.task_id % 7))) AS raw,
+        CASE WHEN c.task_id % 11 <> 3 THEN 700.0 + c.task_id % 5 * 30 + x % 3 * 5 END AS cy,
+        CASE WHEN c.task_id % 4 <> 0 AND x IN (47 + c.task_id % 9, 53 + c.task_id % 7) THEN 640.0 + c.task_id % 13 * 10 - x END AS shaft,
+        c.task_id % 3 = 0 AND x < 52 AS ball FROM c, range(120) r(x)"""
+
+
+@query(swings_sql(LATES, f"""SELECT task_id, (CASE WHEN ok THEN new ELSE old END)::INT AS impact, ok AS moved, (CASE WHEN ok THEN new - old ELSE 0 END)::INT AS delta FROM done""", f"""
+    p8 AS (SELECT task_id, max(i) FILTER (phase_no = 6) AS old, max(i) FILTER (phase_no = 4) AS top, max(i) FILTER (phase_no = 8) AS finish FROM c JOIN ev USING (k) GROUP BY task_id),
+    feat AS ({_FEATURES}),
+    win AS (SELECT f.*, p.old, p.top, p.finish, i - (old - 2) AS k0 FROM feat f JOIN p8 p USING (task_id) WHERE i BETWEEN old - 2 AND old + 8),
+    m0 AS (SELECT *, CASE WHEN k0 = 0 THEN 0.0 ELSE raw END AS r0 FROM win),
+    m1 AS (SELECT *, CASE WHEN k0 = 0 THEN 0.0 ELSE (lag(r0) OVER w + r0 + coalesce(lead(r0) OVER w, r0)) / 3 END AS m FROM m0 WINDOW w AS (PARTITION BY task_id ORDER BY k0)),
+    m2 AS (SELECT *, max(m) OVER (PARTITION BY task_id) AS most, lag(m) OVER w AS mp, lead(m) OVER w AS mn, lag(r0) OVER w AS rp, lead(r0) OVER w AS rn FROM m1 WINDOW w AS (PARTITION BY task_id ORDER BY k0)),
+    pk AS (SELECT * FROM m2 WHERE most > 0 AND m >= 0.2 * most AND coalesce(m >= mp, true) AND coalesce(m > mn, true) QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY m DESC, k0) <= 3),
+    at_ AS (SELECT DISTINCT task_id, CASE WHEN k0 > 1 AND rp >= r0 AND rp >= coalesce(rn, rp) THEN k0 - 1 WHEN rn IS NOT NULL AND rn > r0 AND (k0 <= 1 OR rn > rp) THEN k0 + 1 ELSE k0 END AS k0 FROM pk),
+    sc AS (SELECT m2.*, m / most * CASE WHEN cy IS NULL THEN 0.0 ELSE least(1.0, greatest(0.0, (cy - 690) / 164)) END
+            * CASE WHEN ball AND cy IS NOT NULL AND sqrt((cy - 760) ** 2 + 100) <= 60 THEN 1.25 ELSE 1.0 END
+            * (1 + CASE WHEN shaft >= 690 - 82 THEN CASE WHEN side THEN 0.15 ELSE 0.30 END ELSE 0 END) AS score FROM m2 JOIN at_ USING (task_id, k0)),
+    lo_ AS (SELECT task_id, arg_max(i, (shaft, -i)) AS anchor FROM sc WHERE shaft IS NOT NULL GROUP BY task_id),
+    nb AS (SELECT sc.*, abs(i - anchor) <= 3 AS near FROM sc LEFT JOIN lo_ USING (task_id)),
+    tr AS (SELECT *, max(score) OVER (PARTITION BY task_id) AS best_all, max(CASE WHEN near THEN score END) OVER (PARTITION BY task_id) AS best_in FROM nb),
+    sel AS (SELECT * FROM tr WHERE best_all > 1e-9 AND (NOT coalesce(best_in >= 0.7 * best_all, false) OR near)
+        QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY round(score, 9) DESC, shaft IS NOT NULL DESC, shaft DESC, CASE WHEN shaft IS NOT NULL THEN i ELSE -i END) = 1),
+    done AS (SELECT p8.task_id, old, i - 1 AS new, coalesce(i - 1 - top >= 2 AND abs(i - old) BETWEEN 1 AND 12 AND abs(i - 1 - old) BETWEEN 1 AND 12 AND i - 1 < finish, false) AS ok
+        FROM p8 LEFT JOIN (SELECT task_id, i FROM sel) USING (task_id))"""))
 def q_swing_refined(spark, sf_dir):
-    """Motion features with one clear peak; the whole analysis with refinement."""
+    """Motion features with two humps, shafts, balls and both views; the whole analysis with refinement."""
     a = swings(spark, sf_dir)
-    apart = F.abs(c("i") - (52 + c("task_id") % 4))
-    none = F.lit(None).cast("double")
-    motion = a.frames.select(
-        "task_id", "i", F.greatest(F.lit(0.0), 10.0 - 3.0 * apart).alias("motion_raw"), F.lit(10.0).alias("centroid_x"), F.lit(10.0).alias("centroid_y"),
-        none.alias("shaft_y"), none.alias("ball_x"), none.alias("ball_y"),
-    ).where(c("i").between(40, 70))
-    moved = Analysis(a.frames, a.videos, motion).swings
+    t, i = c("task_id"), c("i")
+    hump = lambda high, fall, at: high - fall * F.abs(i - at)
+    first, second = 47 + t % 9, 53 + t % 7
+    features = a.frames.select(
+        "task_id", "i", F.greatest(F.lit(0.0), hump(10.0, 3.0, first), hump(11.0, 2.5, second)).alias("motion_raw"),
+        F.lit(10.0).alias("centroid_x"), F.when(t % 11 != 3, 700.0 + t % 5 * 30 + i % 3 * 5).alias("centroid_y"),
+        F.when((t % 4 != 0) & ((i == first) | (i == second)), 640.0 + t % 13 * 10 - i).alias("shaft_y"),
+        F.when((t % 3 == 0) & (i < 52), 20.0).alias("ball_x"), F.when((t % 3 == 0) & (i < 52), 760.0).alias("ball_y"),
+        F.lit(690.0).alias("band_top"), F.lit(854.0).alias("band_bottom"),
+    )
+    videos = a.videos.withColumn("chosen_view", F.when(t % 2 == 1, "down_the_line").otherwise("face_on"))
+    moved = Analysis(a.frames, videos, features).swings
     return moved.select("task_id", F.get("idx", F.lit(5)).alias("impact"), "moved", c("delta").cast("int").alias("delta"))
 
 
