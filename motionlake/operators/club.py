@@ -166,7 +166,9 @@ def smoothed(detections: DataFrame) -> DataFrame:
     s = Series(detections, ["task_id"], ["frame_index"]).numbered("k")
     s = s.add("n", F.count(F.lit(1)).over(s.group)).add("any", F.count("head_x").over(s.group) > 0)
     for axis in ("head_x", "head_y"):
-        s = s.gap_filled(axis, f"{axis}_f", "k").moving_average(f"{axis}_f", f"{axis}_m", SMOOTH_PLACES, "k")
+        s = s.gap_filled(axis, f"{axis}_f", "k")
+        own = c(f"{axis}_f")  # three places are added in their order, so that rounding is the same everywhere
+        s = s.add(f"{axis}_m", (F.coalesce(F.lag(own).over(s.by), own) + own + F.coalesce(F.lead(own).over(s.by), own)) / SMOOTH_PLACES)
     missing = c("head_x").isNull() & c("any")
     out = s.df.withColumn("confidence", F.when(missing, c("confidence") * INTERPOLATED_SHARE).otherwise(c("confidence")))
     out = out.withColumn("method", F.when(missing, F.lit("interp")).otherwise(c("method")))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import dropped, scratch
+
 
 def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], at: str, values: list[str]) -> DataFrame:
     """left with the values of the last right row of its key at or before it.
@@ -44,25 +44,29 @@ def within(left: DataFrame, right: DataFrame, keys: list[str], lo: Column, hi: C
 
 
 def greedy_matches(points: DataFrame, keys: list[str], radius: float) -> DataFrame:
-    """One-to-one nearest matches of side 'a' with side 'b' (x, y) per key, nearest pair first.
+    """One-to-one nearest matches of side 'a' with side 'b' (x, y) per key, nearest pair first, then the lower ids.
 
-    points: keys, side, id, x, y. Sequential by nature, so one pandas call per key.
+    points: keys, side, id, x, y. Points meet in square cells as wide as the radius, so only neighbours form pairs. A pair that is the
+    first of both its points is taken, its points leave, and so on: the same as one after the other, in few rounds, and no
+    key is ever gathered.
     """
-    schema = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in keys) + ", a bigint, b bigint, distance double"
-
-    def match(part: pd.DataFrame) -> pd.DataFrame:
-        a, b = part[part["side"] == "a"], part[part["side"] == "b"]
-        d = np.hypot(a["x"].to_numpy()[:, None] - b["x"].to_numpy()[None, :], a["y"].to_numpy()[:, None] - b["y"].to_numpy()[None, :])
-        i, j = np.nonzero(d <= radius)
-        order = np.lexsort((b["id"].to_numpy()[j], a["id"].to_numpy()[i], d[i, j]))
-        used_a, used_b, out = set(), set(), []
-        for k in order:
-            if i[k] not in used_a and j[k] not in used_b:
-                used_a.add(i[k])
-                used_b.add(j[k])
-                out.append((*(part[c].iloc[0] for c in keys), int(a["id"].iloc[i[k]]), int(b["id"].iloc[j[k]]), float(d[i[k], j[k]])))
-        return pd.DataFrame(out, columns=[*keys, "a", "b", "distance"])
-
-    return points.groupBy(*keys).applyInPandas(match, schema)
-
-
+    width = max(radius, 1e-9)
+    cell = lambda v: F.floor(F.col(v) / width).cast("bigint")
+    side = lambda k: points.where(F.col("side") == k).select(*keys, F.col("id").alias(k), F.col("x").alias(f"{k}x"), F.col("y").alias(f"{k}y"))
+    left = side("a").withColumns({"__i": cell("ax"), "__j": cell("ay")})
+    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    right = side("b").withColumn("__d", near).withColumns({"__i": cell("bx") + F.col("__d.i"), "__j": cell("by") + F.col("__d.j")})
+    pairs = left.join(right, [*keys, "__i", "__j"]).withColumn("distance", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")))
+    rest = scratch(pairs.where(F.col("distance") <= radius).select(*keys, "a", "b", "distance"))
+    order, taken = F.struct("distance", "a", "b"), []
+    while not rest.isEmpty():
+        first = lambda k: F.min(order).over(Window.partitionBy(*keys, k))
+        both = rest.withColumns({"__a": first("a"), "__b": first("b")})
+        taken.append(scratch(both.where((F.col("__a") == order) & (F.col("__b") == order)).select(*rest.columns)))
+        left_over = rest.join(taken[-1], [*keys, "a"], "left_anti").join(taken[-1], [*keys, "b"], "left_anti")
+        before, rest = rest, scratch(left_over)
+        dropped(before)
+    out = rest
+    for t in taken:
+        out = out.unionByName(t)
+    return out

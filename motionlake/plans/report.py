@@ -11,6 +11,7 @@ from .. import config as C
 from ..dims import metric_specs, phase_dim, risk_rules
 from ..functions.text import image_name
 from ..operators import risk
+from ..operators.joins import nearest
 from ..operators.metrics import stage_metrics, task_facts
 from ..operators.refine import refined
 from ..operators.segment import anchors, events, folded, intermediates, ordered, signals
@@ -103,16 +104,15 @@ def parsed_envelope(text: Column, data_type: str) -> Column:
 def frame_lookup(requests: DataFrame, events: DataFrame, frames: DataFrame, totals: DataFrame) -> DataFrame:
     """requests: task_id, frame. Clamped into the video, at most 30 frames off an event; the nearest sampled frame and phase.
 
-    Requests are the small side; events and frames meet them by task, and frames only within reach.
+    Requests meet the eight events of their task; frames meet them in order, without pairs.
     """
     asked = requests.join(totals, "task_id").withColumn("at", F.greatest(F.lit(0), F.least(c("frame"), c("total") - 1)))
     near = asked.join(events.select("task_id", c("frame_index").alias("event_frame"), "phase", "phase_no"), "task_id")
     best = F.min(F.struct(F.abs(c("event_frame") - c("at")).alias("d"), "phase_no", "phase"))
     found = near.groupBy("task_id", "frame", "at").agg(best.alias("e"))
-    sampled = frames.select("task_id", c("frame_index").alias("f"), "i")
-    close = found.join(sampled, "task_id", "left").groupBy("task_id", "frame", "at", "e").agg(F.min(F.struct(F.abs(c("f") - c("at")).alias("d"), "f")).alias("s"))
+    close = nearest(found, frames.select("task_id", c("frame_index").alias("f")), ["task_id"], "at", "f")
     return close.select(
-        "task_id", "frame", c("s.f").alias("actual"), c("e.phase").alias("phase"), (c("e.d") > C.FRAME_RANGE).alias("out_of_range")
+        "task_id", "frame", c("f").alias("actual"), c("e.phase").alias("phase"), (c("e.d") > C.FRAME_RANGE).alias("out_of_range")
     )
 
 

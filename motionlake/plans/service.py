@@ -103,11 +103,12 @@ def dump_reports(reports: DataFrame, path: str) -> None:
 
 
 def markdown_rows(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
-    """Lines of a table in Markdown: place 0 is the head, 1 the rule, then the rows of each partition of the order."""
+    """Lines of a table in Markdown, in order: the head, the rule, then the rows by the order columns."""
     cell = lambda x: F.replace(F.coalesce(c(x).cast("string"), F.lit("-")), F.lit("|"), F.lit("\\|"))
-    body = rows.orderBy(*order).select(F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(x) for x in columns]), F.lit(" |")).alias("line"))
-    head = rows.sparkSession.createDataFrame([(f"| {' | '.join(columns)} |",), ("|" + "-|" * len(columns),)], "line string")
-    return head.unionByName(body)
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(x) for x in columns]), F.lit(" |"))
+    body = rows.select(line.alias("line"), F.lit(2).alias("place"), F.struct(*order).alias("key"))
+    head = rows.sparkSession.createDataFrame([(f"| {' | '.join(columns)} |", 0), ("|" + "-|" * len(columns), 1)], "line string, place int")
+    return head.unionByName(body, allowMissingColumns=True).orderBy("place", "key").select("line")
 
 
 def warnings(found: DataFrame) -> DataFrame:

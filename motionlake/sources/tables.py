@@ -140,9 +140,9 @@ def too_dark(gray_means: DataFrame) -> DataFrame:
 
 
 def clean_indices(raw: DataFrame, key: str = "task_id", col: str = "frame") -> DataFrame:
-    """Castable, not negative, distinct, ascending."""
+    """Castable, not negative, distinct. Sort where they are shown."""
     n = F.expr(f"try_cast({col} AS int)")
-    return raw.select(key, n.alias(col)).where(F.col(col) >= 0).distinct().orderBy(key, col)
+    return raw.select(key, n.alias(col)).where(F.col(col) >= 0).distinct()
 
 
 def targeted(frames: DataFrame, targets: DataFrame) -> DataFrame:

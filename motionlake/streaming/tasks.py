@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -51,16 +52,25 @@ def kept(states: DataFrame, now: float) -> DataFrame:
 
 
 def throttled(log: DataFrame, least: float = 0.02) -> DataFrame:
-    """Progress rows that lead the last one reported by at least `least`; a fold per task."""
-    start = F.struct(F.lit(-1.0).alias("last"), F.array().cast("array<struct<at:double,seq:bigint,progress:double>>").alias("out"))
-
-    def step(s, x):
-        on = x["progress"] - s["last"] >= least
-        return F.struct(F.when(on, x["progress"]).otherwise(s["last"]).alias("last"), F.when(on, F.concat(s["out"], F.array(x))).otherwise(s["out"]).alias("out"))
-
-    row = F.struct(c("at").cast("double").alias("at"), c("seq").cast("bigint").alias("seq"), c("progress").cast("double").alias("progress"))
-    packed = log.where("kind = 'progress'").groupBy("task_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    return packed.select("task_id", F.inline(F.aggregate("rows", start, step, lambda s: s["out"])))
+    """Progress rows that lead the last one reported by at least `least`: a fold in a stream over each task's rows in order, one number of state."""
+    row = log.where("kind = 'progress' AND progress IS NOT NULL")
+    row = row.select("task_id", c("at").cast("double").alias("at"), c("seq").cast("bigint").alias("seq"), c("progress").cast("double").alias("progress"))
+
+    def reported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, last = object(), -1.0
+        for b in batches:
+            keep = []
+            for k, (t, p) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist())):
+                if t != task:
+                    task, last = t, -1.0
+                if p - last >= least:
+                    last = p
+                    keep.append(k)
+            yield b.take(pa.array(keep, pa.int64()))
+
+    kind = row.schema["task_id"].dataType.simpleString()
+    met = row.repartition("task_id").sortWithinPartitions("task_id", "at", "seq", "progress")
+    return met.mapInArrow(reported, f"task_id {kind}, at double, seq bigint, progress double")
 
 
 def eta(elapsed, progress):
