@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -128,3 +128,21 @@ def card_offsets(sections: DataFrame, keys: list[str], order: str, height: str)
     """Each section's top: the sum of the heights before it."""
     before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return sections.withColumn("top", F.coalesce(F.sum(height).over(before), F.lit(0)))
+
+
+def counted_frames(targets: DataFrame, frames: DataFrame, name: str = "frames") -> tuple[DataFrame, Observation]:
+    """targets (task_id, frame_index) with found, and what was counted on the way: asked, found, absent and tasks without any.
+
+    The counts are taken by the plan itself as it runs, with no pass of their own; counters() reads them afterwards.
+    """
+    seen = frames.select("task_id", "frame_index").distinct().withColumn("found", F.lit(True))
+    met = targets.join(seen, ["task_id", "frame_index"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    told = Observation(name)
+    found = F.count(F.when(c("found"), 1))
+    return met.observe(told, F.count(F.lit(1)).alias("asked"), found.alias("found"), (F.count(F.lit(1)) - found).alias("absent")), told
+
+
+def counters(spark: SparkSession, told: list[Observation]) -> DataFrame:
+    """name, metric, value of observations whose queries have run."""
+    rows = [(o._name, k, int(v)) for o in told for k, v in o.get.items()]
+    return spark.createDataFrame(rows, "name string, metric string, value bigint")
