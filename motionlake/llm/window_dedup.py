@@ -365,7 +365,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     rows = docs.select(docs[id_col].alias("id"), text.alias("text"), F.xxhash64(text).bitwiseAND(F.lit((1 << 24) - 1)).alias("tag"))
     tables = Tables(docs.sparkSession)
-    repeated = _grams(rows).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    # a table of its own: the join with it can then split a hot gram
+    repeated = tables.cut(_grams(rows).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
     places = tables.cut(_places(rows).join(repeated, "h"))
     first = tables.cut(places.groupBy("h", "around").agg(F.min(F.struct("id", "place")).alias("first")))
     several = first.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
