@@ -20,7 +20,7 @@ Passages: an item of more than ``PIECE`` characters is also cut into overlapping
 of that length, one every ``STEP`` characters, each with its own budget and bound. An
 item that is not met as a whole is reported with its best piece, and edits are then
 those of the piece. So a verbatim passage of PIECE + STEP - 1 characters is always
-found. Shorter passages, and parts of shorter items, are not reported.
+found; of 100 characters almost every one is (measured, see README). Parts of items of up to PIECE characters are not reported.
 
 Items go to the executors in blocks of at most ``block_chars`` characters, one
 pass over the texts for each block; documents are never shuffled. Long texts are
@@ -44,8 +44,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 Q = 8
 EDIT_SHARE = 0.1
-PIECE = 160
-STEP = 32
+PIECE = 96
+STEP = 16
 REPEATS = 8
 BLOCK_CHARS = 4_000_000
 WINDOW = 1 << 20

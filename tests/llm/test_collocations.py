@@ -66,7 +66,7 @@ def test_collocations(spark, seed, least, longest, share, top, chunk):
 
 
 def test_a_full_sketch_changes_nothing(spark, monkeypatch):
-    monkeypatch.setattr(C, "MOST_BITS", 16)
+    monkeypatch.setattr(C, "MOST_CELLS", 1 << 16)
     rows = [(lang, text) for lang, text in invented(5)] + [("en", " ".join(f"w{i % 997} v{i % 991}" for i in range(40000)))]
     got = C.collocations(spark.createDataFrame(rows, "lang string, text string"), least=2)
     assert sorted(map(tuple, got.collect())) == brute(rows, 2, 4, 80, 2000)
@@ -75,13 +75,13 @@ def test_a_full_sketch_changes_nothing(spark, monkeypatch):
 def test_sketch_never_understates():
     rng = np.random.default_rng(1)
     hashes = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
-    cells = C.Sketch.cells(hashes, 16)
+    cells = C.Sketch.cells(hashes, 1 << 16)
     reached = np.zeros((2 << 16) // 8, np.uint8)
     for cell in cells:
         bits = np.zeros(2 << 16, bool)
         bits[cell[:100]] = True
         reached |= np.packbits(bits)
-    assert C.Sketch(16, reached).may_reach(hashes[:100]).all() and C.Sketch(16, reached).may_reach(hashes).sum() < 200
+    assert C.Sketch(1 << 16, reached).may_reach(hashes[:100]).all() and C.Sketch(1 << 16, reached).may_reach(hashes).sum() < 200
 
 
 def test_overlapping_matches_and_their_blocks(monkeypatch):
