@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from motionlake.llm import queries
-from motionlake.llm.common import cut, table
+from motionlake.llm.common import Tables, table
 from motionlake.llm.decontaminate import drop_contaminated
 from motionlake.llm.exact_dedup import drop_copies
 from motionlake.llm.jaccard_join import drop_near_copies
@@ -52,7 +52,8 @@ ORACLE_SQL = None  # the toxicity model and the edit distances are beyond SQL; t
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, tables = table(spark, sf_dir, "documents"), Tables(spark)
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        before, docs = docs, tables.cut(stage(spark, docs, sf_dir))
+        tables.free(before)  # what the next stage reads is written
     return STAGES[-1][1](spark, docs, sf_dir)
