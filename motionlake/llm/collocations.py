@@ -38,8 +38,9 @@ from .common import UPPER, Tables
 LEAST, LONGEST, SHARE, TOP = 30, 4, 80, 2000
 CHUNK_BYTES = 8 << 20
 AUTOMATON_PHRASES = 100_000
-BLOCK_BITS = 8
-LEAST_BITS, MOST_BITS = 16, 28
+BLOCKS = 256  # of a row
+LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 28
+SENT_HASHES = 3_000_000
 STEP, ROWS = 0x9E3779B97F4A7C15, (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)  # odd multipliers
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -99,19 +100,20 @@ class Words:
 
 
 class Sketch:
-    """Which cells reached the threshold, as bits."""
+    """Which cells reached the threshold, as bits. Two rows of `width` cells."""
 
-    def __init__(self, bits: int, reached: np.ndarray):
-        self.bits, self.reached = bits, reached
+    def __init__(self, width: int, reached: np.ndarray):
+        self.width, self.reached = width, reached
 
     @staticmethod
-    def cells(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
+    def cells(hashes: np.ndarray, width: int) -> list[np.ndarray]:
         """The cell of each hash in both rows, counted through."""
-        return [((hashes * np.uint64(m)) >> np.uint64(64 - bits)) + np.uint64(r << bits) for r, m in enumerate(ROWS)]
+        half = np.uint64(32)
+        return [(((hashes * np.uint64(m)) >> half) * np.uint64(width) >> half) + np.uint64(r * width) for r, m in enumerate(ROWS)]
 
     def may_reach(self, hashes: np.ndarray) -> np.ndarray:
         out = np.ones(len(hashes), bool)
-        for cell in self.cells(hashes, self.bits):
+        for cell in self.cells(hashes, self.width):
             out &= (self.reached[cell >> np.uint64(3)] >> (np.uint8(7) - (cell & np.uint64(7)).astype(np.uint8))) & 1 == 1
         return out
 
@@ -145,43 +147,51 @@ def _chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[tup
 
 
 def steps(places: np.ndarray) -> bytes:
-    """Rising numbers as the steps between them, in the least width that holds these; its log is the first byte."""
-    step = np.diff(places, prepend=np.uint32(0))
-    width = 0 if not len(step) or step.max() < 256 else 1 if step.max() < 65536 else 2
-    return bytes([width]) + step.astype((np.uint8, np.uint16, np.uint32)[width]).tobytes()
+    """Rising numbers as the steps between them: a byte for what is left of a step, after a 255 for every 255 in it."""
+    step = np.diff(places, prepend=np.uint32(0)).astype(np.int64)
+    more = step // 255
+    out = np.full(len(step) + int(more.sum()), 255, np.uint8)
+    out[np.cumsum(more + 1) - 1] = step % 255
+    return out.tobytes()
 
 
 def places(packed: pa.Buffer) -> np.ndarray:
     """What steps() was given."""
-    (width,) = packed[:1].to_pybytes()
-    return np.cumsum(np.frombuffer(packed[1:].to_pybytes(), (np.uint8, np.uint16, np.uint32)[width]), dtype=np.int64)
+    step = np.frombuffer(packed, np.uint8)
+    return np.cumsum(step, dtype=np.int64)[step != 255]
 
 
-def _sketched(docs: DataFrame, lengths: range, bits: int, least: int, pairs, chunk_bytes: int) -> Sketch:
+def _sketched(docs: DataFrame, lengths: range, width: int, least: int, pairs, chunk_bytes: int) -> Sketch:
     """The sketch of all phrases of these lengths; of those, if pairs are given, whose pairs may all reach the threshold."""
     cap = min(least, 255)
-    cells = 1 << bits >> BLOCK_BITS
-    size, one = np.uint64(bits - BLOCK_BITS), np.uint64(1)
+    cells = width // BLOCKS
+
+    def sent(hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for touched_cells in Sketch.cells(hashes, width):
+            cell = np.sort(touched_cells).astype(np.int64)
+            first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, int)
+            times = np.minimum(np.diff(np.r_[first, len(cell)]), cap)
+            block, place = np.divmod(cell[first], cells)
+            at = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, int)
+            rows = []
+            for a, z in zip(at.tolist(), [*at[1:].tolist(), len(block)]):
+                t, p = times[a:z], place[a:z]
+                rows.append((int(block[a]), steps(p[t == 1]), steps(p[t > 1]), t[t > 1].astype(np.uint8).tobytes()))
+            if rows:
+                kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["block", "once", "more", "times"])
 
     def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
         for lang, texts in _chunks(batches, chunk_bytes):
             grams = Words(texts).grams(lang, lengths[-1])
             there = _possible(grams, pairs and pairs.value, None)
-            hashes = np.concatenate([grams[n][0][there[n]] for n in lengths if n in grams] or [np.zeros(0, np.uint64)])
-            for touched_cells in Sketch.cells(hashes, bits):
-                cell = np.sort(touched_cells)
-                first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, int)
-                times = np.minimum(np.diff(np.r_[first, len(cell)]), cap)
-                cell = cell[first]
-                block, place = (cell >> size).astype(np.int64), (cell & ((one << size) - one)).astype(np.uint32)
-                at = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, int)
-                rows = []
-                for a, z in zip(at.tolist(), [*at[1:].tolist(), len(block)]):
-                    t, p = times[a:z], place[a:z]
-                    rows.append((int(block[a]), steps(p[t == 1]), steps(p[t > 1]), t[t > 1].astype(np.uint8).tobytes()))
-                if rows:
-                    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["block", "once", "more", "times"])
+            held += [grams[n][0][there[n]] for n in lengths if n in grams]
+            if sum(map(len, held)) >= SENT_HASHES:
+                yield from sent(np.concatenate(held))
+                held = []
+        if held:
+            yield from sent(np.concatenate(held))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def closed() -> pa.RecordBatch:
@@ -201,10 +211,10 @@ def _sketched(docs: DataFrame, lengths: range, bits: int, least: int, pairs, chu
 
     rows = docs.mapInArrow(touched, "block bigint, once binary, more binary, times binary")
     met = rows.repartition("block").sortWithinPartitions("block").mapInArrow(summed, "block bigint, reached binary")
-    reached = np.zeros(len(ROWS) << bits >> 3, np.uint8)
-    for r in met.collect():  # 2 * 2^bits bits in all, 64 MB at most
+    reached = np.zeros(len(ROWS) * width // 8, np.uint8)
+    for r in met.collect():  # two bits a cell, 64 MB at most
         reached[r.block * cells // 8 : (r.block + 1) * cells // 8] = np.frombuffer(r.reached, np.uint8)
-    return Sketch(bits, reached)
+    return Sketch(width, reached)
 
 
 def matches(text: bytes, phrases: list[bytes]) -> np.ndarray:
@@ -226,9 +236,9 @@ def phrase_counts(docs: DataFrame, least: int, longest: int, chunk_bytes: int =
     """lang, phrase, f: all words and phrases that occur `least` times or more, and the number of all words as the phrase ''."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(MOST_BITS, max(LEAST_BITS, int(size // 24).bit_length()))
-    pairs = spark.sparkContext.broadcast(_sketched(docs, range(1, 3), bits, least, None, chunk_bytes))
-    longer = spark.sparkContext.broadcast(_sketched(docs, range(3, longest + 1), bits, least, pairs, chunk_bytes)) if longest > 2 else None
+    width = -(-min(MOST_CELLS, max(LEAST_CELLS, size // 24)) // (8 * BLOCKS)) * 8 * BLOCKS  # a word has about six bytes
+    pairs = spark.sparkContext.broadcast(_sketched(docs, range(1, 3), width, least, None, chunk_bytes))
+    longer = spark.sparkContext.broadcast(_sketched(docs, range(3, longest + 1), width, least, pairs, chunk_bytes)) if longest > 2 else None
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, texts in _chunks(batches, chunk_bytes):
