@@ -521,11 +521,11 @@ def _heads(spark, sf_dir):
             first_value(CASE WHEN x IS NOT NULL THEN i END IGNORE NULLS) OVER a AS i1, count(*) OVER (PARTITION BY user_id) AS m FROM d
         WINDOW b AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
     f AS (SELECT *, CASE WHEN i0 = i1 THEN x0 ELSE coalesce(x0 + (x1 - x0) * (i - i0) / (i1 - i0), x0, x1) END AS y FROM k)
-    SELECT user_id, i, round(CASE WHEN m >= 3 THEN (coalesce(lag(y) OVER w, y) + y + coalesce(lead(y) OVER w, y)) / 3 ELSE y END, 4) AS head_x,
+    SELECT user_id, i, CASE WHEN m >= 3 THEN (coalesce(lag(y) OVER w, y) + y + coalesce(lead(y) OVER w, y)) / 3 ELSE y END AS head_x,
         CASE WHEN x IS NULL AND y IS NOT NULL THEN conf / 2 ELSE conf END AS confidence FROM f WINDOW w AS (PARTITION BY user_id ORDER BY i)""")
 def q_club_smoothed(spark, sf_dir):
     d = club.smoothed(_heads(spark, sf_dir))
-    return d.select(c("task_id").alias("user_id"), c("frame_index").cast("long").alias("i"), F.round("head_x", 4).alias("head_x"), "confidence")
+    return d.select(c("task_id").alias("user_id"), c("frame_index").cast("long").alias("i"), "head_x", "confidence")
 
 
 @query(f"""WITH {NUMBERED}, d AS (SELECT user_id, i, event_type, event_id % 3 = 0 AS seen, CASE WHEN event_id % 3 = 0 THEN 0.8::DOUBLE ELSE 0.2::DOUBLE END AS conf FROM e WHERE i < 28)
