@@ -43,6 +43,15 @@ def within(left: DataFrame, right: DataFrame, keys: list[str], lo: Column, hi: C
     return asked.join(right.withColumn("__b", bucket(F.col(at))), [*keys, "__b"]).where(F.col(at).between(lo, hi)).drop("__b")
 
 
+def set_sides(rows: DataFrame, keys: list[str], left: Column, right: Column) -> DataFrame:
+    """op, keys: which keys are in the union, the difference and the intersection of the rows of two conditions, in one aggregation."""
+    sides = rows.groupBy(*keys).agg(F.coalesce(F.bool_or(left), F.lit(False)).alias("__l"), F.coalesce(F.bool_or(right), F.lit(False)).alias("__r"))
+    a, b = F.col("__l"), F.col("__r")
+    ops = {"union": a | b, "except": a & ~b, "intersect": a & b}
+    named = F.filter(F.array(*[F.when(k, F.lit(n)) for n, k in ops.items()]), lambda x: x.isNotNull())
+    return sides.select(F.explode(named).alias("op"), *keys)
+
+
 def greedy_matches(points: DataFrame, keys: list[str], radius: float) -> DataFrame:
     """One-to-one nearest matches of side 'a' with side 'b' (x, y) per key, nearest pair first, then the lower ids.
 

@@ -123,6 +123,11 @@ def implementations() -> dict[str, Column]:
     }
 
 
+def dispatched(names: list[str], measured: str = "m") -> Column:
+    """Of the struct of all measured values the one that a spec's impl_key names; null if none has that name."""
+    return F.coalesce(*[F.when(c("impl_key") == k, c(f"{measured}.{k}")) for k in names])
+
+
 def stage_metrics(frames: DataFrame, swings: DataFrame, videos: DataFrame, specs: DataFrame) -> DataFrame:
     """One row per task, phase (or global) and spec of its view: value, status, filled."""
     facts = task_facts(frames, swings, videos)
@@ -134,8 +139,7 @@ def stage_metrics(frames: DataFrame, swings: DataFrame, videos: DataFrame, specs
     wide = rows.select("task_id", "phase", "phase_no", "view", F.struct(*[v.alias(k) for k, v in measured.items()]).alias("m"))
     whole = wide.where("phase = 'address'").withColumns({"phase": F.lit("global"), "phase_no": F.lit(9)})
     long = wide.unionByName(whole).join(F.broadcast(specs), "phase").where(F.array_contains("views", c("view")))  # 36 rows
-    value = F.coalesce(*[F.when(c("impl_key") == k, c(f"m.{k}")) for k in measured])
-    long = long.withColumn("raw", value)
+    long = long.withColumn("raw", dispatched(list(measured)))
     judged = long.withColumn("value", sanitised(c("raw"), c("unit"), c("ref_min"), c("ref_max"), c("allow_drop"))).where("value is not null")
     return judged.select(
         "task_id", "view", "phase_no", "phase", "spec_no", c("key").alias("metric_key"), "unit", "value", "ref_min", "ref_max",

@@ -73,13 +73,31 @@ def series_of(frames: DataFrame, videos: DataFrame) -> DataFrame:
     )
 
 
+def body_scale(width: Column) -> Column:
+    """The unit of lengths: the median of the shoulders' width. An aggregate, or over a window."""
+    return F.median(width)
+
+
+def wrist_travel(y: Column) -> Column:
+    """From the highest place to the lowest, without the last twentieth. An aggregate."""
+    return F.percentile(y, F.lit(0.95)) - F.min(y)
+
+
+def no_swing(scale: Column, n: Column, fe: Column, peak: Column, travel: Column, least_peak: float = C.V_PEAK_MIN, least_travel: float = C.MIN_WRIST_TRAVEL) -> Column:
+    """Whether a series is no swing at all: no scale, too short, too slow or too small."""
+    return (
+        F.coalesce(scale < C.MIN_SCALE, F.lit(True)) | (n < F.greatest(F.lit(10), rounds(fe * 0.5)))
+        | F.coalesce(peak < least_peak, F.lit(True)) | (travel < least_travel * scale)
+    )
+
+
 def signals(frames: DataFrame, videos: DataFrame) -> DataFrame:
     """Per row: n, dt, fe, S, wrist_y, shoulder_y, h, speed, still_before and still_after, and the first guards in code."""
     g = group()
     moved = ["wrist_x", "wrist_y", "shoulder_y", "hip_y"]
     s = Series(series_of(frames, videos), KEY, ["i"]).filled([*moved, "shoulder_width"])
     s = s.add("n", F.count(F.lit(1)).over(s.group).cast("int")).add("step", c("frame_index") - F.lag("frame_index").over(s.by))
-    df = s.df.withColumn("S", F.median("shoulder_width").over(g)).withColumn("step", F.median(F.when(c("step") > 0, c("step"))).over(g))
+    df = s.df.withColumn("S", body_scale(c("shoulder_width")).over(g)).withColumn("step", F.median(F.when(c("step") > 0, c("step"))).over(g))
     step = F.greatest(F.lit(1), F.coalesce(rounds(c("step")), F.lit(1)))
     df = df.withColumn("dt", F.when(c("fps") > 0, step / c("fps")).otherwise(1 / 30)).withColumn("fe", F.when(c("dt") > 0, 1 / c("dt")).otherwise(1.0))
     df = df.withColumn("w", smoothing_width(c("fe"), C.SMOOTH_SEC))
@@ -94,12 +112,7 @@ def signals(frames: DataFrame, videos: DataFrame) -> DataFrame:
     before, after = F.max(moving).over(s.by), F.min(moving).over(s.back)
     s = s.add("still_before", c("i") - F.coalesce(before, F.lit(-1))).add("still_after", F.coalesce(after, c("n")) - c("i"))  # lengths of the still run up to and from here
     travel = F.percentile("wrist_y", F.lit(0.95)).over(g) - F.min("wrist_y").over(g)
-    bad = (
-        F.coalesce(c("S") < C.MIN_SCALE, F.lit(True))
-        | (c("n") < F.greatest(F.lit(10), rounds(c("fe") * 0.5)))
-        | F.coalesce(F.max("speed").over(g) < C.V_PEAK_MIN, F.lit(True))
-        | (travel < C.MIN_WRIST_TRAVEL * c("S"))
-    )
+    bad = no_swing(c("S"), c("n"), c("fe"), F.max("speed").over(g), travel)
     return s.add("code", F.when(bad, NO_SWING)).df.drop("shoulder_width", "wrist_x", "hip_y", "step", "w")
 
 

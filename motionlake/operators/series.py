@@ -45,6 +45,13 @@ class Series:
             df = df.withColumn(out, F.when(F.col(v).isNotNull(), F.col(v)).otherwise(F.coalesce(between, lo["v"], hi["v"], F.lit(0.0))))
         return Series(df.drop(*[f"__{side}_{v}" for side in near for v in values]), self.keys, self.order)
 
+    def crossings(self, value: str, levels: tuple[float, ...]) -> DataFrame:
+        """keys, level, at: the first place at a level or above after one below it, for all levels in one pass: some earlier value is below a level if the least is."""
+        low = self.add("__low", F.min(value).over(self.by.rowsBetween(First, -1))).df
+        firsts = [F.min(F.when((F.col("__low") < x) & (F.col(value) >= x), F.col("i"))).alias(f"at_{k}") for k, x in enumerate(levels)]
+        pairs = F.array(*[F.struct(F.lit(float(x)).alias("level"), F.col(f"at_{k}").alias("at")) for k, x in enumerate(levels)])
+        return low.groupBy(*self.keys).agg(*firsts).select(*self.keys, F.inline(pairs))
+
     def moving_average(self, value: str, out: str, width: int, i: str = "i") -> Series:
         """Centred, the ends padded with the end values."""
         df = self.df.withColumn("__w", F.lit(width)).withColumn("__n", F.count(F.lit(1)).over(self.group)).withColumn(out, F.col(value))

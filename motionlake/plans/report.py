@@ -68,18 +68,23 @@ class Analysis:
     def report(self, base_url: str = "") -> DataFrame:
         """task_id, report (JSON): phases by number, each with its metrics and risks; the global values."""
         fields = ["spec_no", "metric_key", "value", "unit", "ref_min", "ref_max", "status", "filled"]
-        lists = self.metrics.groupBy("task_id", "view", "phase_no").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("metrics"))
+        lists = nested(self.metrics, ["task_id", "view", "phase_no"], fields, "metrics")
         found = risk.per_phase(self.risks, self.events.select("task_id").distinct(), self.phases).select("task_id", "phase_no", "risks")
         rows = self.events.join(lists, ["task_id", "phase_no"], "left").join(found, ["task_id", "phase_no"], "left")
         url = F.concat(F.lit(base_url), F.lit("/"), c("task_id").cast("string"), F.lit("/"), image_name(c("phase_no"), c("phase")))
         phase = F.struct("phase_no", "phase", "frame_index", "timestamp", "estimated", url.alias("image"), "metrics", "risks")
-        nested = rows.groupBy("task_id").agg(F.array_sort(F.collect_list(phase)).alias("phases"), F.max("view").alias("view"))
+        listed = rows.groupBy("task_id").agg(F.array_sort(F.collect_list(phase)).alias("phases"), F.max("view").alias("view"))
         whole = lists.where("phase_no = 9").select("task_id", c("metrics").alias("global"))
-        out = nested.join(whole, "task_id", "left")
+        out = listed.join(whole, "task_id", "left")
         total = F.aggregate("phases", F.lit(0), lambda s, p: s + F.size(p["risks"]))
         return out.select("task_id", F.to_json(F.struct("task_id", "view", "phases", "global", total.alias("risk_count"))).alias("report"))
 
 
+def nested(rows: DataFrame, keys: list[str], fields: list[str], name: str) -> DataFrame:
+    """keys and the rows of each as an array, sorted by the fields in their order."""
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+
+
 def quality_gate(detected: DataFrame) -> DataFrame:
     """detected: task_id, detected, vis (mean of the core landmarks). The first code that applies, else null."""
     miss = F.avg((~c("detected")).cast("double"))

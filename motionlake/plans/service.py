@@ -136,6 +136,11 @@ def risk_view(risks: DataFrame) -> DataFrame:
     return risks.withColumn("level_text", text)
 
 
+def success_rates(rows: DataFrame, key: str, succeeded: Column, high: Column) -> DataFrame:
+    """key, n, success_pct, n_high: how many of a corpus's cases there are, succeed and are of high risk."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), (F.avg(succeeded.cast("double")) * 100).alias("success_pct"), F.count_if(high).alias("n_high"))
+
+
 def step_list(states: DataFrame) -> DataFrame:
     """Each task's steps: done, doing or todo by its current step."""
     steps = F.explode(F.array(*[F.struct(F.lit(k).alias("no"), F.lit(v).alias("name")) for k, v in STEPS]))

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from .functions import geo as G
 from .functions import text as T
-from .operators import club, joins, risk
+from .operators import club, joins, metrics, risk, segment
 from .operators.series import Series, even_subsample, increasing, top_k
 from .operators import refine
-from .plans import service
+from .plans import report, service
 from .plans.report import Analysis, quality_gate
 from .sources import synth, tables
 from .sources.tables import read_table
@@ -159,16 +159,15 @@ def q_quality_gate(spark, sf_dir):
 @query("""SELECT user_id, count(*) AS n, max(value) AS peak, round(quantile_cont(value, 0.95) - min(value), 4) AS travel,
     count(*) < 10 OR max(value) < 100 OR quantile_cont(value, 0.95) - min(value) < 50 AS rejected FROM events GROUP BY user_id""")
 def q_swing_guard(spark, sf_dir):
-    travel = F.percentile("value", F.lit(0.95)) - F.min("value")
-    return read_table(spark, sf_dir, "events").groupBy("user_id").agg(
-        F.count("*").alias("n"), F.max("value").alias("peak"), F.round(travel, 4).alias("travel"),
-        ((F.count("*") < 10) | (F.max("value") < 100) | (travel < 50)).alias("rejected"),
-    )
+    v = c("value")
+    travel = segment.wrist_travel(v)
+    bad = segment.no_swing(F.lit(1.0), F.count("*"), F.lit(20.0), F.max(v), travel, LEVEL, STILL)
+    return read_table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.max(v).alias("peak"), F.round(travel, 4).alias("travel"), bad.alias("rejected"))
 
 
 @query("SELECT l_suppkey, round(median(l_extendedprice), 4) AS scale FROM lineitem GROUP BY l_suppkey")
 def q_median_scale(spark, sf_dir):
-    return read_table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.round(F.median("l_extendedprice"), 4).alias("scale"))
+    return read_table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.round(segment.body_scale(c("l_extendedprice")), 4).alias("scale"))
 
 
 @query("""SELECT l_orderkey, max(l_quantity) AS most, arg_max(k, (l_quantity, -k)) AS at FROM (SELECT *, l_partkey * 10 + l_linenumber AS k FROM lineitem) GROUP BY l_orderkey""")
@@ -221,9 +220,10 @@ def q_theta_rules(spark, sf_dir):
 @query("""SELECT c_custkey, 'with' AS side FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)
     UNION ALL SELECT c_custkey, 'without' FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
 def q_semi_anti(spark, sf_dir):
-    who, o = read_table(spark, sf_dir, "customer").select("c_custkey"), read_table(spark, sf_dir, "orders").select(c("o_custkey").alias("c_custkey"))
-    side = lambda how, name: who.join(o, "c_custkey", how).withColumn("side", F.lit(name))
-    return side("left_semi", "with").unionByName(side("left_anti", "without"))
+    who = read_table(spark, sf_dir, "customer").select(c("c_custkey").alias("task_id"), F.lit(0).alias("frame_index"))
+    o = read_table(spark, sf_dir, "orders").select(c("o_custkey").alias("task_id"), F.lit(0).alias("frame_index"))
+    side = lambda rows, name: rows.select(c("task_id").alias("c_custkey"), F.lit(name).alias("side"))
+    return side(tables.targeted(who, o), "with").unionByName(side(tables.absent(who, o), "without"))
 
 
 _SPEC = "('quantity','l_quantity',10.0,40.0),('discount','l_discount',0.02,0.08),('tax','',0.0,0.05)"
@@ -234,10 +234,9 @@ _SPEC = "('quantity','l_quantity',10.0,40.0),('discount','l_discount',0.02,0.08)
     SELECT l_returnflag, key, round(v, 6) AS value, v < lo AS low, v > hi AS high FROM u JOIN s ON u.impl_key = CASE WHEN s.impl = '' THEN s.key ELSE s.impl END""")
 def q_spec_dispatch(spark, sf_dir):
     spec = spark.sql(f"SELECT key, coalesce(nullif(impl, ''), key) AS impl_key, lo, hi FROM VALUES {_SPEC} AS t(key, impl, lo, hi)")
-    wide = read_table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
-        F.avg("l_quantity").alias("l_quantity"), F.avg("l_discount").alias("l_discount"), F.avg("l_tax").alias("tax")
-    )
-    long = wide.unpivot("l_returnflag", ["l_quantity", "l_discount", "tax"], "impl_key", "v").join(F.broadcast(spec), "impl_key")  # 3 rows
+    names = {"l_quantity": "l_quantity", "l_discount": "l_discount", "tax": "l_tax"}
+    wide = read_table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.struct(*[F.avg(v).alias(k) for k, v in names.items()]).alias("m"))
+    long = wide.crossJoin(F.broadcast(spec)).withColumn("v", metrics.dispatched(list(names)))  # 3 rows
     return long.select("l_returnflag", "key", F.round("v", 6).alias("value"), (c("v") < c("lo")).alias("low"), (c("v") > c("hi")).alias("high"))
 
 
@@ -292,27 +291,15 @@ def q_line_fit(spark, sf_dir):
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS armed FROM e CROSS JOIN p)
     SELECT user_id, level::DOUBLE AS level, min(CASE WHEN armed = 1 AND value >= level THEN i END) AS at FROM a GROUP BY ALL""")
 def q_threshold_sweep(spark, sf_dir):
-    """One pass for all levels: a running count of those already crossed from below would need no cross join of rows."""
-    s = users(spark, sf_dir)
-    before = s.by.rowsBetween(Window.unboundedPreceding, -1)
-    low = s.add("low", F.min("value").over(before)).df  # some earlier value is below a level if the least is
-    levels = (50.0, 100.0, 150.0)
-    firsts = [F.min(F.when((c("low") < x) & (c("value") >= x), c("i"))).alias(str(int(x))) for x in levels]
-    wide = low.groupBy("user_id").agg(*firsts)
-    pairs = F.array(*[F.struct(F.lit(x).alias("level"), c(str(int(x))).cast("long").alias("at")) for x in levels])
-    return wide.select("user_id", F.inline(pairs))
+    found = users(spark, sf_dir).crossings("value", (50.0, 100.0, 150.0))
+    return found.select("user_id", "level", c("at").cast("long").alias("at"))
 
 
 @query("""WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase'), b AS (SELECT DISTINCT user_id FROM events WHERE value > 400)
     SELECT 'union' AS op, user_id FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'except', user_id FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
     UNION ALL SELECT 'intersect', user_id FROM (SELECT * FROM a INTERSECT SELECT * FROM b)""")
 def q_union_frames(spark, sf_dir):
-    """All three in one aggregation: which sides a key is on."""
-    e = read_table(spark, sf_dir, "events")
-    sides = e.groupBy("user_id").agg(F.max((c("event_type") == "purchase").cast("int")).alias("a"), F.max((c("value") > 400).cast("int")).alias("b"))
-    ops = {"union": (c("a") == 1) | (c("b") == 1), "except": (c("a") == 1) & (c("b") == 0), "intersect": (c("a") == 1) & (c("b") == 1)}
-    named = F.filter(F.array(*[F.when(k, F.lit(n)) for n, k in ops.items()]), lambda x: x.isNotNull())
-    return sides.select(F.explode(named).alias("op"), "user_id")
+    return joins.set_sides(read_table(spark, sf_dir, "events"), USER, c("event_type") == "purchase", c("value") > 400)
 
 
 @query(f"""WITH {NUMBERED}, k AS (SELECT DISTINCT user_id, n, round_even(j * (n - 1) / 4.0, 0)::BIGINT AS i FROM (SELECT DISTINCT user_id, n FROM e) CROSS JOIN range(5) t(j))
@@ -324,18 +311,16 @@ def q_even_subsample(spark, sf_dir):
 @query("""SELECT o_orderkey, count(*) AS n_items, round(sum(l_quantity), 2) AS quantity, min(l_linenumber) AS first_line FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
 def q_report_nested(spark, sf_dir):
     """Nested, then read back from the nested rows."""
-    l = read_table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("o_orderkey"), F.struct("l_linenumber", "l_quantity").alias("x"))
-    nested = l.groupBy("o_orderkey").agg(F.array_sort(F.collect_list("x")).alias("items"))
-    met = read_table(spark, sf_dir, "orders").select("o_orderkey").join(nested, "o_orderkey")
+    told = report.nested(read_table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_quantity"], "items").withColumnRenamed("l_orderkey", "o_orderkey")
+    met = read_table(spark, sf_dir, "orders").select("o_orderkey").join(told, "o_orderkey")
     total = F.aggregate("items", F.lit(0.0), lambda s, x: s + x["l_quantity"])
     return met.select("o_orderkey", F.size("items").cast("long").alias("n_items"), F.round(total, 2).alias("quantity"), F.get("items", F.lit(0))["l_linenumber"].alias("first_line"))
 
 
 @query("""SELECT event_type, count(*) AS n, round(avg((value >= 50)::INT) * 100, 4) AS success_pct, count(CASE WHEN value > 400 THEN 1 END) AS n_high FROM events GROUP BY event_type""")
 def q_corpus_success(spark, sf_dir):
-    return read_table(spark, sf_dir, "events").groupBy("event_type").agg(
-        F.count("*").alias("n"), F.round(F.avg((c("value") >= 50).cast("double")) * 100, 4).alias("success_pct"), F.count_if(c("value") > 400).alias("n_high")
-    )
+    found = service.success_rates(read_table(spark, sf_dir, "events"), "event_type", c("value") >= 50, c("value") > 400)
+    return found.withColumn("success_pct", F.round("success_pct", 4))
 
 
 @query("""WITH l AS (SELECT user_id AS task_id, epoch(ts) AS sec, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'succeed' WHEN 'error' THEN 'fail' ELSE 'progress' END AS kind,

@@ -150,6 +150,11 @@ def targeted(frames: DataFrame, targets: DataFrame) -> DataFrame:
     return frames.join(targets, ["task_id", "frame_index"], "left_semi")
 
 
+def absent(targets: DataFrame, frames: DataFrame) -> DataFrame:
+    """The frames that are asked for and do not exist."""
+    return targets.join(frames, ["task_id", "frame_index"], "left_anti")
+
+
 def accepted_uploads(files: DataFrame) -> DataFrame:
     """files: name, length. Adds the first reason against each in code."""
     c = F.col
