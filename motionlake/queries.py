@@ -337,7 +337,15 @@ def q_task_state(spark, sf_dir):
     return task_states(log).select("task_id", "status", F.round("progress", 6).alias("progress"))
 
 
-@query()
+_WIDE = r"'[\x{0}-\x{2E80}]', '', 'g'"
+_FITS = f"""CASE WHEN NOT wide THEN least(36, length(x) - s + 1)
+    ELSE len(list_filter(range(1, 37), lambda n: n <= length(x) - s + 1 AND 55 * n + 45 * length(regexp_replace(substring(x, s, n), {_WIDE})) <= 2000)) END"""
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT doc_id, regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g') AS x FROM documents),
+    l AS (SELECT *, regexp_replace(x, {_WIDE}) <> '' AS wide FROM t),
+    w AS (SELECT *, 1::BIGINT AS s, 0 AS k FROM l UNION ALL SELECT doc_id, x, wide, s + {_FITS}, k + 1 FROM w WHERE s <= length(x))
+    SELECT doc_id, max(k)::INT AS n_lines, max(CASE WHEN k = 0 AND x <> '' THEN substring(x, 1, {_FITS}) END) AS first_line FROM w GROUP BY doc_id""")
 def q_line_wrap(spark, sf_dir):
     lines = T.wrapped(F.regexp_replace("text", r"\s+", " "), 20.0)
     return read_table(spark, sf_dir, "documents").select("doc_id", F.size(lines).alias("n_lines"), F.get(lines, F.lit(0)).alias("first_line"))
