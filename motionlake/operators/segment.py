@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..dims import PHASES
+from ..sources.tables import hashed
 from .series import Series, smoothing_width
 
 c = F.col
@@ -57,7 +58,7 @@ def at(value: str, place: Column) -> Column:
 
 
 def series_of(frames: DataFrame, videos: DataFrame) -> DataFrame:
-    """The series that segmentation reads, in units of the frame's width. videos joins before the only exchange."""
+    """The series that segmentation reads, in units of the frame's width. Frames that are dealt by task stay where they are."""
     v = videos.select("task_id", "fps", "width", "height")
     p = lambda k, x: F.get("norm", F.lit(k))[x]
     ratio = F.when((c("width") > 0) & (c("height") > 0), c("height") / c("width")).otherwise(1.0)
@@ -65,7 +66,7 @@ def series_of(frames: DataFrame, videos: DataFrame) -> DataFrame:
         "task_id", "i", "frame_index", "ts",
         p(C.L_SHOULDER, "x").alias("lsx"), p(C.L_SHOULDER, "y").alias("lsy"), p(C.R_SHOULDER, "x").alias("rsx"), p(C.R_SHOULDER, "y").alias("rsy"),
         p(C.L_WRIST, "x").alias("wx"), p(C.L_WRIST, "y").alias("wy"), p(C.L_HIP, "y").alias("lhy"), p(C.R_HIP, "y").alias("rhy"),
-    ).join(v, "task_id")
+    ).join(hashed(v), "task_id")
     return rows.select(
         "task_id", "fps", "width", "height", "i", "frame_index", "ts",
         F.hypot(c("lsx") - c("rsx"), (c("lsy") - c("rsy")) * ratio).alias("shoulder_width"), c("wx").alias("wrist_x"), (c("wy") * ratio).alias("wrist_y"),

@@ -37,6 +37,19 @@ def scratch(df: DataFrame) -> DataFrame:
     return out
 
 
+def hashed(own: DataFrame) -> DataFrame:
+    """The side of a join that has one row per task, against many: a hash table of each partition, the other side stays unsorted.
+
+    Like sorted_side it is never broadcast: the size of a table's file, on which Spark decides, says little of its rows, as equal ones take no room in it.
+    """
+    return own.hint("shuffle_hash")
+
+
+def sorted_side(rows: DataFrame) -> DataFrame:
+    """A side of a join that grows with the tasks: never broadcast."""
+    return rows.hint("merge")
+
+
 _places: dict[int, tuple[DataFrame, str]] = {}  # what scratch() wrote and nobody has dropped
 
 
