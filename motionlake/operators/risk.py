@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..dims import LEVELS
 from ..functions.text import meets, rendered, shown
+from ..sources.tables import sorted_side
 
 c = F.col
 
@@ -52,7 +53,7 @@ def per_phase(found: DataFrame, tasks: DataFrame, phases: DataFrame) -> DataFram
     items = F.array_sort(F.collect_list(F.struct("level_no", "rule_id", "name", "level", "phase", "metric_key", "value", "unit", "ref_min", "ref_max", "description", "suggestions", "excerpt")))
     lists = found.groupBy("task_id", "phase_no").agg(items.alias("risks"))
     grid = tasks.select("task_id").crossJoin(F.broadcast(phases))  # eight rows
-    out = grid.join(lists, ["task_id", "phase_no"], "left")
+    out = grid.join(sorted_side(lists), ["task_id", "phase_no"], "left")
     empty = F.array().cast(lists.schema["risks"].dataType)
     return out.withColumn("risks", F.coalesce("risks", empty))
 

@@ -15,7 +15,7 @@ from ..operators.joins import nearest
 from ..operators.metrics import stage_metrics, task_facts
 from ..operators.refine import refined
 from ..operators.segment import anchors, events, folded, intermediates, ordered, signals
-from ..sources.tables import scratch
+from ..sources.tables import scratch, sorted_side
 
 c = F.col
 
@@ -70,12 +70,12 @@ class Analysis:
         fields = ["spec_no", "metric_key", "value", "unit", "ref_min", "ref_max", "status", "filled"]
         lists = nested(self.metrics, ["task_id", "view", "phase_no"], fields, "metrics")
         found = risk.per_phase(self.risks, self.events.select("task_id").distinct(), self.phases).select("task_id", "phase_no", "risks")
-        rows = self.events.join(lists, ["task_id", "phase_no"], "left").join(found, ["task_id", "phase_no"], "left")
+        rows = self.events.join(sorted_side(lists), ["task_id", "phase_no"], "left").join(sorted_side(found), ["task_id", "phase_no"], "left")
         url = F.concat(F.lit(base_url), F.lit("/"), c("task_id").cast("string"), F.lit("/"), image_name(c("phase_no"), c("phase")))
         phase = F.struct("phase_no", "phase", "frame_index", "timestamp", "estimated", url.alias("image"), "metrics", "risks")
         listed = rows.groupBy("task_id").agg(F.array_sort(F.collect_list(phase)).alias("phases"), F.max("view").alias("view"))
         whole = lists.where("phase_no = 9").select("task_id", c("metrics").alias("global"))
-        out = listed.join(whole, "task_id", "left")
+        out = listed.join(sorted_side(whole), "task_id", "left")
         total = F.aggregate("phases", F.lit(0), lambda s, p: s + F.size(p["risks"]))
         return out.select("task_id", F.to_json(F.struct("task_id", "view", "phases", "global", total.alias("risk_count"))).alias("report"))
 

@@ -5,6 +5,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from motionlake.dims import metric_specs
+from motionlake.operators.metrics import stage_metrics
 from motionlake.plans import report
 from motionlake.sources import synth, tables
 
@@ -101,3 +103,16 @@ def test_side_view_risks_name_side_rules_only(side):
     front_only = {"RISK-001", "RISK-002", "RISK-005", "RISK-007", "RISK-010", "RISK-016"}
     assert not found & front_only
     assert ("RISK-014" in found) == (metrics[1, "impact", "spine_tilt_change"].value >= 10)
+
+
+def joins_by_broadcast(df):
+    return df._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("BroadcastHashJoin")
+
+
+def test_tables_of_tasks_are_not_broadcast(spark, side):
+    """Files of equal rows are tiny however many rows they hold, so only the specs (36 rows) and the rules may go to all executors."""
+    a = side[0]
+    assert joins_by_broadcast(a.rows) == 0
+    assert joins_by_broadcast(a.facts) == 0
+    assert joins_by_broadcast(stage_metrics(a.frames, a.swings, a.videos, metric_specs(spark))) == 1
+    assert joins_by_broadcast(a.report()) == 1
