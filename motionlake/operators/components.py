@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
-from ..sources.tables import dropped, scratch
+from ..sources.tables import dropped, scratch, sorted_side
 from .raster import SIDE, pixels_of
 
 # Fixed values.
@@ -52,20 +52,20 @@ def runs(tiles: DataFrame, least: int) -> DataFrame:
 
 
 def labelled(pieces: DataFrame) -> DataFrame:
-    """Runs with label: the least y * SHIFT + x0 of their component."""
+    """Runs with label: the least y * SHIFT + x0 of their component. All its joins grow with the images, so none is a broadcast."""
     own = pieces.withColumn("run", c("y") * SHIFT + c("x0"))
     up = own.select(*FRAME, (c("y") + 1).alias("y"), c("x0").alias("u0"), c("x1").alias("u1"), c("run").alias("other"))
-    links = own.join(up, [*FRAME, "y"]).where("x0 <= u1 AND u0 <= x1").select(*FRAME, "run", "other")
+    links = own.join(sorted_side(up), [*FRAME, "y"]).where("x0 <= u1 AND u0 <= x1").select(*FRAME, "run", "other")
     links = scratch(links.unionByName(links.select(*FRAME, c("other").alias("run"), c("run").alias("other"))))
     now = scratch(own.withColumn("label", c("run")))
     while True:
         seen = now.select(*FRAME, c("run").alias("other"), c("label").alias("near"))
-        least = links.join(seen, [*FRAME, "other"]).groupBy(*FRAME, "run").agg(F.min("near").alias("near"))
-        step = now.join(least, [*FRAME, "run"], "left").withColumn("next", F.least("label", F.coalesce("near", "label")))
+        least = links.join(sorted_side(seen), [*FRAME, "other"]).groupBy(*FRAME, "run").agg(F.min("near").alias("near"))
+        step = now.join(sorted_side(least), [*FRAME, "run"], "left").withColumn("next", F.least("label", F.coalesce("near", "label")))
         step = scratch(step.drop("near"))
         # a label is a run as well, and that run may know a smaller one
         jump = step.select(*FRAME, c("run").alias("next"), c("next").alias("far"))
-        spread = scratch(step.join(jump, [*FRAME, "next"]).withColumn("moved", F.least("next", "far") < c("label")).withColumn("label", F.least("next", "far")).drop("next", "far"))
+        spread = scratch(step.join(sorted_side(jump), [*FRAME, "next"]).withColumn("moved", F.least("next", "far") < c("label")).withColumn("label", F.least("next", "far")).drop("next", "far"))
         done = spread.where("moved").isEmpty()
         dropped(now, step)
         now = spread
@@ -99,7 +99,7 @@ def moved_head(parts: DataFrame, frames: DataFrame) -> DataFrame:
     frames: task_id, frame_index, grip_x, grip_y, club_px, dir_x, dir_y, fan_deg. Frames without one have no row.
     Ties go to the component that begins first.
     """
-    met = parts.join(frames, FRAME)
+    met = parts.join(sorted_side(frames), FRAME)
     to = G.point(c("x") - c("grip_x"), c("y") - c("grip_y"))
     far = G.norm(to)
     met = met.withColumn("align", G.angle_between(to, G.point(c("dir_x"), c("dir_y"))))

@@ -282,3 +282,12 @@ def test_tiles_from_vectors(spark):
     rows = [(0, [0.001 * i for i in range(64)]), (130, [-0.5] * 64), (5, [0.1] * 9), (6, [None] * 64), (7, None)]
     got = {(r.task_id, r.frame_index, r.ty, r.tx): r.pixels for r in tiles_from_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
     assert got.keys() == {(0, 0, 0, 0), (1, 0, 0, 2)} and got[1, 0, 0, 2] == [244] * 64
+
+
+def test_no_join_of_components_is_a_broadcast(spark, monkeypatch):
+    plans, real = [], components.scratch
+    monkeypatch.setattr(components, "scratch", lambda df: plans.append(df._jdf.queryExecution().toString()) or real(df))
+    image = np.zeros((8, 8), int)
+    image[1:3, 1:4] = image[5, 5] = 255
+    assert components.component_sizes(tiles_of(spark, {(1, 0): image}), 200).count() == 2
+    assert plans and not any("BroadcastHashJoin" in p for p in plans)
