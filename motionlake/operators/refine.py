@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..dims import DTL
+from ..sources.tables import hashed, sorted_side
 from .raster import region_motion
 from .segment import folded, intermediates, ordered, reanchored, rounds
 from .series import Series, top_k
@@ -29,7 +30,7 @@ def refine_frames(rows: DataFrame, swings: DataFrame) -> DataFrame:
     """task_id, frame_index: the frames of the window and the frame before each. rows: task_id, i, frame_index."""
     lo, hi = search_window(F.get("idx", F.lit(5)), c("fe"), c("n"))
     near = swings.where("code is null").select("task_id", F.greatest(F.lit(0), lo - 1).alias("lo"), hi.alias("hi"))
-    met = rows.select("task_id", "i", "frame_index").join(near, "task_id").where(c("i").between(c("lo"), c("hi")))
+    met = rows.select("task_id", "i", "frame_index").join(hashed(near), "task_id").where(c("i").between(c("lo"), c("hi")))
     return met.select("task_id", "frame_index").distinct()
 
 
@@ -65,7 +66,7 @@ def in_window(features: DataFrame, swings: DataFrame) -> DataFrame:
     """The features of each swing's search window; none of a swing that lacks a frame of it."""
     lo, hi = search_window(F.get("idx", F.lit(5)), c("fe"), c("n"))
     own = swings.where("code is null").select("task_id", lo.alias("__lo"), hi.alias("__hi"))
-    met = features.join(own, "task_id").where(c("i").between(c("__lo"), c("__hi")))
+    met = features.join(hashed(own), "task_id").where(c("i").between(c("__lo"), c("__hi")))
     met = met.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("task_id")))
     return met.where(c("__n") == c("__hi") - c("__lo") + 1).drop("__lo", "__hi", "__n")
 
@@ -119,7 +120,7 @@ def accepted(best: DataFrame, swings: DataFrame) -> DataFrame:
     Rejected, not moved, where that comes too soon after the top for a body or leaves the video, where the peak is
     not 1 to 12 frames from the old impact, or the new place more than 12. A peak that leads back to the old impact is accepted: it confirms it.
     """
-    rows = best.join(swings.select("task_id", "idx", "fe", "n"), "task_id")
+    rows = best.join(sorted_side(swings.select("task_id", "idx", "fe", "n")), "task_id")
     old, top = F.get("idx", F.lit(5)), F.get("idx", F.lit(3))
     gap = F.greatest(F.lit(2), rounds(c("fe") * C.MIN_IMPACT_TOP_SEC))
     new = c("peak") + C.IMPACT_OFFSET
@@ -136,11 +137,11 @@ def refined(rows: DataFrame, swings: DataFrame, features: DataFrame, views: Data
     A second gate holds the shift within MIN_SHIFT and MAX_SHIFT before phases are found anew.
     """
     found = candidates(motion_signal(in_window(features, swings)))
-    found = found.withColumn("view", F.lit(None).cast("string")) if views is None else found.join(views.select("task_id", "view"), "task_id", "left")
+    found = found.withColumn("view", F.lit(None).cast("string")) if views is None else found.join(sorted_side(views.select("task_id", "view")), "task_id", "left")
     weight = F.when(c("view") == DTL, C.SHAFT_WEIGHT_DTL).otherwise(C.SHAFT_WEIGHT_FACE)
     best = selected(anchored(scored(found, weight)))
     found = accepted(best, swings).where(c("available") & F.abs(c("delta")).between(C.MIN_SHIFT, C.MAX_SHIFT))
-    out = reanchored(rows, swings, found).join(found.select("task_id", "delta", "warn"), "task_id", "left")
+    out = reanchored(rows, swings, found).join(sorted_side(found.select("task_id", "delta", "warn")), "task_id", "left")
     return out.withColumns({"delta": F.when(c("moved"), c("delta")).otherwise(0), "warn": c("moved") & F.coalesce("warn", F.lit(False))})
 
 
