@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..dims import PHASES
-from ..sources.tables import hashed
+from ..sources.tables import hashed, sorted_side
 from .series import Series, smoothing_width
 
 c = F.col
@@ -26,7 +26,8 @@ def group() -> WindowSpec:
 
 
 def rounds(x: Column) -> Column:
-    return F.bround(x).cast("int")
+    """Half to even. Not bround, which goes by way of decimal text."""
+    return F.rint(x).cast("int")
 
 
 def frames_of(seconds: float, least: int) -> Column:
@@ -102,19 +103,20 @@ def signals(frames: DataFrame, videos: DataFrame) -> DataFrame:
     step = F.greatest(F.lit(1), F.coalesce(rounds(c("step")), F.lit(1)))
     df = df.withColumn("dt", F.when(c("fps") > 0, step / c("fps")).otherwise(1 / 30)).withColumn("fe", F.when(c("dt") > 0, 1 / c("dt")).otherwise(1.0))
     df = df.withColumn("w", smoothing_width(c("fe"), C.SMOOTH_SEC))
-    s = Series(df, KEY, ["i"]).averaged(moved, "w", "n")
+    s = Series(df, KEY, ["i"]).scaled("w").scaled_averaged(moved, "w", "n")  # from here on all windows share its order
     scale = F.when(c("S") >= C.MIN_SCALE, c("S"))
     prev, nxt = lambda x: F.coalesce(F.lag(x).over(s.by), c(x)), lambda x: F.coalesce(F.lead(x).over(s.by), c(x))
     apart = F.hypot(nxt("wrist_x") - prev("wrist_x"), nxt("wrist_y") - prev("wrist_y"))
     span = nxt("i") - prev("i")
     s = s.add("h", (c("hip_y") - c("wrist_y")) / scale).add("speed", F.when(span > 0, apart / (span * c("dt")) / scale).otherwise(0.0))
-    s = s.averaged(["speed"], "w", "n")
+    s = s.scaled_averaged(["speed"], "w", "n")
     moving = F.when(~F.coalesce(c("speed") < C.V_STILL, F.lit(False)), c("i"))
-    before, after = F.max(moving).over(s.by), F.min(moving).over(s.back)
+    s = s.add("moving", moving)
+    before, after = F.coalesce("moving", s.known("moving", "lag")), F.coalesce("moving", s.known("moving", "lead"))
     s = s.add("still_before", c("i") - F.coalesce(before, F.lit(-1))).add("still_after", F.coalesce(after, c("n")) - c("i"))  # lengths of the still run up to and from here
     travel = F.percentile("wrist_y", F.lit(0.95)).over(g) - F.min("wrist_y").over(g)
     bad = no_swing(c("S"), c("n"), c("fe"), F.max("speed").over(g), travel)
-    return s.add("code", F.when(bad, NO_SWING)).df.drop("shoulder_width", "wrist_x", "hip_y", "step", "w")
+    return s.add("code", F.when(bad, NO_SWING)).df.drop("shoulder_width", "wrist_x", "hip_y", "step", "w", "__at", "moving")
 
 
 def _fails(df: DataFrame, bad: Column) -> DataFrame:
@@ -240,12 +242,12 @@ def reanchored(rows: DataFrame, swings: DataFrame, impacts: DataFrame) -> DataFr
     """
     k = lambda j, col="idx": F.get(col, F.lit(j))
     able = c("code").isNull() & (c("new") > k(3)) & (c("new") < k(7)) & (c("new") != k(5))
-    asked = swings.join(impacts.select("task_id", "new"), "task_id").where(able)
+    asked = swings.join(sorted_side(impacts.select("task_id", "new")), "task_id").where(able)
     asked = asked.select("task_id", k(0).alias("address"), k(3).alias("top"), c("new").alias("impact"), k(7).alias("finish"),
                          k(0, "est").alias("address_est"), F.lit(False).alias("impact_est"), k(7, "est").alias("finish_est"))
-    redone = folded(ordered(intermediates(rows.withColumn("code", F.lit(None).cast("string")).join(asked, "task_id"))))
+    redone = folded(ordered(intermediates(rows.withColumn("code", F.lit(None).cast("string")).join(hashed(asked), "task_id"))))
     good = redone.where("code is null").select("task_id", F.struct(*[x for x in swings.columns if x != "task_id"]).alias("redone"))
-    met = swings.join(good, "task_id", "left")
+    met = swings.join(sorted_side(good), "task_id", "left")
     return met.select(
         "task_id", *[F.when(c("redone").isNotNull(), c("redone")[x]).otherwise(c(x)).alias(x) for x in swings.columns if x != "task_id"],
         c("redone").isNotNull().alias("moved"),

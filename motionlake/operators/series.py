@@ -20,8 +20,6 @@ class Series:
         self.by = Window.partitionBy(*keys).orderBy(*order)
         self.whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(First, Last)
         self.group = Window.partitionBy(*keys)
-        # from the last row to this one; a frame that ends behind would be summed anew for each row
-        self.back = Window.partitionBy(*keys).orderBy(*[F.col(o).desc() for o in order]).rowsBetween(First, 0)
 
     def add(self, name: str, column: Column) -> Series:
         return Series(self.df.withColumn(name, column), self.keys, self.order)
@@ -35,15 +33,20 @@ class Series:
         return self.filled([value], [out], i)
 
     def filled(self, values: list[str], outs: list[str] | None = None, i: str = "i") -> Series:
-        """gap_filled for several columns, in two windows."""
-        df, near = self.df, {"b": self.by.rowsBetween(First, 0), "a": self.back}
-        for side, over in near.items():
-            df = df.withColumns({f"__{side}_{v}": F.last(F.when(F.col(v).isNotNull(), F.struct(F.col(v).alias("v"), F.col(i).alias("i"))), True).over(over) for v in values})
+        """gap_filled for several columns, in one window over one order."""
+        df, parts = self.df, lambda v: [f"__{side}{x}_{v}" for side in "ba" for x in "vi"]
+        for v in values:
+            known = [v, f"CASE WHEN {v} IS NOT NULL THEN {i} END"]
+            df = df.withColumns(dict(zip(parts(v), [self.known(x, side) for side in ("lag", "lead") for x in known])))
         for v, out in zip(values, outs or values):
-            lo, hi = F.col(f"__b_{v}"), F.col(f"__a_{v}")
-            between = lo["v"] + (hi["v"] - lo["v"]) * (F.col(i) - lo["i"]) / (hi["i"] - lo["i"])
-            df = df.withColumn(out, F.when(F.col(v).isNotNull(), F.col(v)).otherwise(F.coalesce(between, lo["v"], hi["v"], F.lit(0.0))))
-        return Series(df.drop(*[f"__{side}_{v}" for side in near for v in values]), self.keys, self.order)
+            v0, i0, v1, i1 = (F.col(k) for k in parts(v))
+            between = v0 + (v1 - v0) * (F.col(i) - i0) / (i1 - i0)
+            df = df.withColumn(out, F.when(F.col(v).isNotNull(), F.col(v)).otherwise(F.coalesce(between, v0, v1, F.lit(0.0))))
+        return Series(df.drop(*[k for v in values for k in parts(v)]), self.keys, self.order)
+
+    def known(self, value: str, side: str) -> Column:
+        """The nearest value that is not null before (lag) or after (lead) this row, itself not counted. One pass, for both in one order."""
+        return F.expr(f"{side}({value}) IGNORE NULLS OVER (PARTITION BY {', '.join(self.keys)} ORDER BY {', '.join(self.order)})")
 
     def crossings(self, value: str, levels: tuple[float, ...]) -> DataFrame:
         """keys, level, at: the first place at a level or above after one below it, for all levels in one pass: some earlier value is below a level if the least is."""
@@ -60,19 +63,28 @@ class Series:
 
     def averaged(self, values: list[str], width: str, n: str, i: str = "i") -> Series:
         """moving_average of several columns in place, with an odd width that may differ from key to key."""
+        done = self.scaled(width, i).scaled_averaged(values, width, n, i)
+        return Series(done.df.drop("__at"), self.keys, self.order)
+
+    def scaled(self, width: str, i: str = "i") -> Series:
+        """Ordered by __at, the place in half widths: one order for averages and all else, so that rows are sorted once."""
+        return Series(self.df.withColumn("__at", F.col(i) * F.lit(2.0) / F.col(width)), self.keys, ["__at"])
+
+    def scaled_averaged(self, values: list[str], width: str, n: str, i: str = "i") -> Series:
+        """averaged, of a series that is scaled."""
         w, size, place = F.col(width), F.col(n), F.col(i)
         p = F.floor(w / 2).cast("int")
         # |i - j| <= p just where |i - j| * 2 / w <= 1
-        around = Window.partitionBy(*self.keys).orderBy("__at").rangeBetween(-1, 1)
+        around = self.by.rangeBetween(-1, 1)
         ends = lambda f, v: f(v).over(self.whole)
         sums = {f"__s_{v}": F.sum(v).over(around) for v in values}
         edges = {f"__f_{v}": ends(F.first, v) for v in values} | {f"__l_{v}": ends(F.last, v) for v in values}
-        df = self.df.withColumns(edges).withColumn("__at", place * F.lit(2.0) / w).withColumns(sums)
+        df = self.df.withColumns(edges).withColumns(sums)
         for v in values:
             short = F.greatest(F.lit(0), p - place) * F.col(f"__f_{v}")
             long = F.greatest(F.lit(0), place + p - size + 1) * F.col(f"__l_{v}")
             df = df.withColumn(v, F.when((size <= 2) | (w <= 1), F.col(v)).otherwise((F.col(f"__s_{v}") + short + long) / w))
-        return Series(df.drop("__at", *sums, *edges), self.keys, self.order)
+        return Series(df.drop(*sums, *edges), self.keys, self.order)
 
     def central_speed(self, value: str, out: str, dt: float) -> Series:
         prev, nxt, v = F.lag(value).over(self.by), F.lead(value).over(self.by), F.col(value)
@@ -140,7 +152,7 @@ def top_k(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> Data
 
 def smoothing_width(fps: Column, seconds: float) -> Column:
     """Odd and at least 3."""
-    w = F.bround(fps * seconds).cast("int")
+    w = F.rint(fps * seconds).cast("int")  # half to even
     w = F.when(w % 2 == 0, w + 1).otherwise(w)
     return F.greatest(w, F.lit(3))
 

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from motionlake.dims import metric_specs
+from motionlake.operators import refine
 from motionlake.operators.metrics import stage_metrics
+from motionlake.operators.series import Series
 from motionlake.plans import report
 from motionlake.sources import synth, tables
 
@@ -116,3 +118,11 @@ def test_tables_of_tasks_are_not_broadcast(spark, side):
     assert joins_by_broadcast(a.facts) == 0
     assert joins_by_broadcast(stage_metrics(a.frames, a.swings, a.videos, metric_specs(spark))) == 1
     assert joins_by_broadcast(a.report()) == 1
+    assert joins_by_broadcast(refine.refine_frames(a.rows, a.swings)) == 0
+
+
+def test_gaps_are_filled_in_one_order(spark):
+    rows = spark.createDataFrame([(1, 0, None), (1, 1, 2.0), (1, 2, None), (1, 3, None), (1, 4, 8.0), (1, 5, None), (2, 0, None)], "k int, i int, v double")
+    done = Series(rows, ["k"], ["i"]).filled(["v"]).df
+    assert [r.v for r in done.orderBy("k", "i").collect()] == [2.0, 2.0, 4.0, 6.0, 8.0, 8.0, 0.0]
+    assert done._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
